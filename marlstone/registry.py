@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "derived_lookup_join"
+import importlib
+import pkgutil
+
+from marlstone import plans
+from marlstone.operators.registering import ORACLE_SQL, QUERIES
+
+for module in pkgutil.iter_modules(plans.__path__):
+    importlib.import_module(f"marlstone.plans.{module.name}")
+
+FLAGSHIP = "list_filtered_flagship"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
