@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import jsonv
+from marlstone.sources.shipping import ship
 
 HEALTH = ("healthy", "suspect", "degraded", "quarantined", "probation")
 
@@ -18,6 +19,7 @@ def fingerprinted(rows: DataFrame, data: str = "data", derived: tuple[str, ...]
 
     Malformed or null JSON has null for both. One Arrow pass.
     """
+    ship(rows.sparkSession)
     fields = [f.name for f in rows.schema.fields if f.name not in ("hash", "canon")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +94,8 @@ def removed_revisions(gone: DataFrame, state: DataFrame, at: str) -> DataFrame:
 def diffs(pairs: DataFrame) -> DataFrame:
     """``pairs`` (key, old, new JSON texts) with the field-level diff as a map path -> {from, to} of JSON texts."""
 
+    ship(pairs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.struct([("from", pa.string()), ("to", pa.string())]))
         for batch in batches:
