@@ -119,7 +119,7 @@ def near_pairs(hashes: DataFrame, key: str, distance: int, min_band: int = 10) -
     if 64 // bands < min_band:
         bands, pick = distance + 2, 2
     cuts = [64 * k // bands for k in range(bands + 1)]
-    part = [f"(shiftrightunsigned(simhash, {lo}) & {(1 << hi - lo) - 1}L)" for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    part = [f"(shiftrightunsigned(simhash, {lo}) & {(1 << hi - lo) - 1 if hi - lo < 64 else -1}L)" for lo, hi in zip(cuts, cuts[1:], strict=False)]
     groups = [(k,) for k in range(bands)] if pick == 1 else [(i, j) for i in range(bands) for j in range(i + 1, bands)]
     keys = F.array(*[F.struct(F.lit(n).alias("t"), F.expr(part[g[0]]).alias("x"), (F.expr(part[g[1]]) if pick == 2 else F.lit(0).cast("long")).alias("y")) for n, g in enumerate(groups)])
     rows = classes.select("simhash", "rep", F.explode(keys).alias("k")).select("simhash", "rep", "k.*")
