@@ -20,7 +20,7 @@ KEYPOINTS, SCALES = 48, (1.0, 0.75, 0.5)
 #: Radius of a patch, binary tests, tables of 32 bits each, and bits in which two descriptors may differ.
 PATCH, TESTS, TABLES, NEAR = 9, 128, 4, 14
 #: Matches that agree on one transform for two images to be copies, and the bins of rotation, log2 scale and shift.
-CONSENSUS, TURN_BINS, SCALE_BIN, SHIFT_BIN = 5, 12, 0.35, 12.0
+CONSENSUS, TURN_BINS, SCALE_BIN, SHIFT_BIN = 7, 12, 0.35, 10.0
 #: Rows of one part of a table bucket.
 PART = 4_000
 

@@ -2,39 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.shipping import ship
+
+__all__ = ["crc32_mod", "key_filter", "marked", "shared_dir", "ship", "slices", "unused", "without", "written"]
+
 #: Bits of a key filter. 2^22 bits are at most 65,536 words of 64 bits, about 1 MB, whatever the input size.
 FILTER_BITS = 22
 #: Bytes of text handed to numpy or regex work at once.
 SLICE_BYTES = 8 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a context, so that their Python finds it wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_marlstone_sent", False):
-        return
-    top, folder = Path(__file__).resolve().parents[1], tempfile.mkdtemp(prefix="marlstone-code-")
-    atexit.register(shutil.rmtree, folder, True)
-    with zipfile.ZipFile(f"{folder}/marlstone.zip", "w") as out:
-        for p in sorted(top.rglob("*.py")):
-            out.write(p, f"{top.name}/{p.relative_to(top)}")
-    sc.addPyFile(f"{folder}/marlstone.zip")
-    sc._marlstone_sent = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a temporary one only where the cluster names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -59,13 +45,21 @@ def key_filter(keys: DataFrame, key: Column) -> DataFrame:
     return bits.groupBy("word").agg(F.bit_or("bit").alias("mask"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def marked(df: DataFrame, bitmap: DataFrame, key: Column, name: str) -> DataFrame:
     """``df`` with boolean ``name``: false if ``key`` is surely not in the bitmap, true if it may be. No shuffle of ``df``."""
-    h = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).cast("int")
-    small = F.broadcast(bitmap.select(F.col("word").alias("_word"), F.col("mask").alias("_mask")))
-    hit = F.expr("coalesce((shiftright(_mask, _h & 63) & 1L) = 1L, false)")
-    out = df.withColumn("_h", h).withColumn("_at", F.shiftright("_h", 6))
-    return out.join(small, F.col("_at") == F.col("_word"), "left").withColumn(name, hit).drop("_h", "_at", "_word", "_mask")
+    h, word, mask = (unused(df, n) for n in ("_hash", "_word", "_mask"))
+    small = F.broadcast(bitmap.select(F.col("word").alias(word), F.col("mask").alias(mask)))
+    hit = F.expr(f"coalesce((shiftright(`{mask}`, `{h}` & 63) & 1L) = 1L, false)")
+    out = df.withColumn(h, F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).cast("int"))
+    return out.join(small, F.shiftright(F.col(h), 6) == F.col(word), "left").withColumn(name, hit).drop(h, word, mask)
 
 
 def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -73,10 +67,11 @@ def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
     Null keys stay. Columns of ``docs`` keep their order and names.
     """
-    gone = gone.select(F.col(key).alias("_gone"))
-    maybe = marked(docs, key_filter(gone, F.col("_gone")), F.col(key), "_maybe")
-    sure = maybe.where("not _maybe").drop("_maybe")
-    rest = maybe.where("_maybe").drop("_maybe").join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    maybe, id_ = unused(docs, "_maybe"), unused(docs, "_gone")
+    gone = gone.select(F.col(key).alias(id_))
+    both = marked(docs, key_filter(gone, F.col(id_)), F.col(key), maybe)
+    sure = both.where(~F.col(maybe)).drop(maybe)
+    rest = both.where(F.col(maybe)).drop(maybe).join(gone, F.col(key) == F.col(id_), "left_anti")
     return sure.unionByName(rest)
 
 

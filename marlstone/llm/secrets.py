@@ -85,7 +85,7 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in CANDIDATE.finditer(text):
         word = m[0]
-        if ALLOWED.fullmatch(word) or any(p in word for p in ALLOWED_PARTS) or text[max(0, m.start() - 3) : m.start()] == "://":
+        if ALLOWED.fullmatch(word) or any(p in word for p in ALLOWED_PARTS) or "://" in text[max(0, m.start() - 3) : m.start() + 2]:
             continue
         out += [(m.start() + s, m.start() + e, "entropy") for s, e in high_entropy(word)]
     return out

@@ -156,7 +156,7 @@ def near_links(classes: DataFrame, radius: int = 4, part: int = PART) -> DataFra
     """
     blocks = radius + 1
     cuts = [64 * k // blocks for k in range(blocks + 1)]
-    keys = [f"shiftleft({k}L, 32) + (shiftrightunsigned(fp, {lo}) & {(1 << hi - lo) - 1}L)" for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    keys = [f"shiftleft({k}L, 32) + (shiftrightunsigned(fp, {lo}) & {(1 << hi - lo) - 1 if hi - lo < 64 else -1}L)" for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
     rows = classes.select("fp", "id", F.explode(F.array(*map(F.expr, keys))).alias("key"))
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part)
     large = F.broadcast(large.select("key", F.ceil(F.col("n") / (part / 2)).cast("int").alias("parts")))
