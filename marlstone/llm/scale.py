@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.sources.shipping import ship
 
-__all__ = ["crc32_mod", "key_filter", "marked", "shared_dir", "ship", "slices", "unused", "without", "written"]
+__all__ = ["crc32_mod", "held", "key_filter", "marked", "shared_dir", "ship", "slices", "unused", "without", "written"]
 
 #: Bits of a key filter. 2^22 bits are at most 65,536 words of 64 bits, about 1 MB, whatever the input size.
 FILTER_BITS = 22
@@ -89,6 +89,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """Per worker: what ``make`` returned for ``key``. Only the last key's is held, so stages that follow in one worker don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
