@@ -135,3 +135,26 @@ def test_text_sources(tmp_path):
     assert texts.catalog(str(tmp_path / "none.toml")) == []
     (tmp_path / "c.toml").write_text('[[source]]\nname = "a"\n')
     assert texts.catalog(str(tmp_path / "c.toml")) == [{"name": "a"}]
+
+
+def test_plans():
+    from datetime import datetime
+
+    from marlstone.operators import replay
+
+    assert len(replay.firings("*/15 8-9 * * *", datetime(2024, 1, 1), datetime(2024, 1, 2))) == 8
+    assert replay.firings("0 0 13 * 5", datetime(2024, 9, 1), datetime(2024, 9, 14))[0].day == 6
+    with pytest.raises(ValueError):
+        replay.cron_field("70", 0, 59)
+    assert replay.decide([], False, "collapse") == "idle" and replay.decide([1, 2], False, "collapse") == "fire" and replay.decide([1], True, "each") == "skip"
+    assert replay.bucket_step(0, 0, 0.5, 1, 5) == (False, 0.5) and replay.bucket_step(5, 0, 100, 1, 5) == (True, 4)
+    assert replay.yields({"a": [1, 2], "b": {"c": 3, "d": {"e": {"f": 1}}}, "t": True}) == [("a", 2), ("b.c", 3)]
+
+
+def test_deadlines():
+    from marlstone.operators.domain import upcoming_deadline
+
+    now = 1_700_000_000
+    assert upcoming_deadline("Deadline: January 5, 2024", now) == 1704412800
+    assert upcoming_deadline("deadline" + " " * 130 + "2024-01-05", now) is None
+    assert upcoming_deadline("due 2024-02-31", now) is None and upcoming_deadline(None, now) is None
