@@ -43,7 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = F.sha2(F.col("_t").cast("binary"), 256)
     some = written(full.where("_m").select("_id", sha.alias("_sha")), "digests")
     groups = some.groupBy("_sha").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.where("group_size > 1")
+    groups = written(groups.where("group_size > 1"), "groups")  # else the join takes the aggregation's partitions, which can't be split
     hashed = some.join(groups, "_sha", "left").select(
         F.col("_id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -61,5 +61,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its own columns, without the rows that ``exact_dedup`` doesn't keep. Ids are taken to be distinct."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone_id"))
-    return without(docs, written(gone.withColumnRenamed("_gone_id", id_col), "copies"), id_col)
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(id_col)
+    return without(docs, written(gone, "copies"), id_col)
