@@ -68,7 +68,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     found = written(hashed_units(docs, id_col, text_col, unit, least), "units")
     first = found.groupBy("_digest").agg(F.min(F.struct("_id", "_start")).alias("_first"), F.max(F.struct("_id", "_start")).alias("_last"), F.count(F.lit(1)).alias("occurrences"))
-    first = first.where("not (_first <=> _last)").drop("_last")
+    first = written(first.where("not (_first <=> _last)").drop("_last"), "first")  # else the join takes the aggregation's partitions, which can't be split
     joined = found.join(first, "_digest")
     return joined.where(~F.struct("_id", "_start").eqNullSafe(F.col("_first"))).select(
         F.col("_id").alias(id_col), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_first._id").alias("keep_id"), F.col("_first._start").alias("keep_start"), "occurrences"
