@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.scale import slices
+from marlstone.llm.scale import held, slices
 from marlstone.llm.word_bpe import Bounded, byte_letters, splitter, vocabulary
 
 #: Added to the code point of a word's last letter: the same letter with the word-end mark is another symbol.
@@ -121,18 +122,14 @@ class PrefixEncoder:
         return " ".join(self.by_id[i] for i in ids if i in self.by_id)
 
 
-_loaded: dict[str, tuple] = {}
-
-
 def _digester(source: str):
-    """Per worker: the encoder, and for each word (n, ids as text, decoded text) in bounded memory."""
-    key = hashlib.md5(source.encode()).hexdigest()
-    if key not in _loaded:
+    """Per worker: the encoder, and for each word (ids as text, decoded text) in bounded memory."""
+
+    def make():
         enc = PrefixEncoder(source)
-        by_word: dict = Bounded(lambda w: _word(enc, w), 220_000)
-        _loaded.clear()
-        _loaded[key] = (enc, by_word)
-    return _loaded[key]
+        return enc, Bounded(lambda w: _word(enc, w), 150_000)
+
+    return held(("bpe", zlib.crc32(source.encode())), make)
 
 
 def _word(enc: PrefixEncoder, word: str) -> tuple[bytes, bytes]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 from collections.abc import Callable
 
@@ -16,7 +15,7 @@ CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
 ANY_SCRIPT = regex.compile(rf"\p{{L}}+|{CONTRACTIONS}|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 #: Below this code point a pattern of plain classes does the same, faster.
-LATIN_END = 0x250
+LATIN_END = 0x180
 
 
 def _class(kind: str) -> str:
@@ -56,19 +55,34 @@ def splitter(specials: list[str]) -> Callable[[str], list[str]]:
 
 
 class Bounded(dict):
-    """Word -> value, made by ``make`` when missing; emptied when ``most`` words are held, so memory stays bounded."""
+    """Word -> value, made by ``make`` when missing, in bounded memory.
+
+    Two generations of ``most`` words each: when the younger is full it becomes
+    the older, whose words come back when they are met again; the others go.
+    """
 
     def __init__(self, make: Callable, most: int = 300_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        """Hold a value; very long words aren't held."""
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self.make(key)
         if len(key) <= 64:
-            self[sys.intern(key) if type(key) is str else key] = value
-        return value
+            self[key] = value
+
+    def unseen(self, keys: set) -> list:
+        """Those of ``keys`` that neither generation holds."""
+        return list(keys.difference(self).difference(self.old))
 
 
 def vocabulary(source: str) -> tuple[dict[str, int], list[tuple[str, str]], dict[str, int]]:
