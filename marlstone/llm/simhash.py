@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,10 @@ from marlstone.llm.scale import slices, without, written
 PART = 40_000
 #: Up to so many rows a set is compared directly.
 LEAF = 96
+#: Up to so many rows a shard is compared directly, all such shards at once.
+FEW = 12
+#: Rows up to which a table of large shards is broadcast.
+MOST_BROADCAST = 50_000
 
 
 def shingle_bits(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -42,16 +47,23 @@ def majority(h: np.ndarray) -> int:
     return int("".join("1" if 2 * x > len(h) else "0" for x in total), 2)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """One row (id, fp long) for each row: the fingerprint's 64 bits as a signed number; null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """One row (id, fp long, fp1 long, ...) for each row: 64 bits a seed as signed numbers; null and wordless texts have 0."""
+    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
-            fp = np.array([shingle_bits(t, words, seed) if t else 0 for t in batch.column("_t").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(fp)], [id_col, "fp"])
+            texts = batch.column("_t").to_pylist()
+            found = [np.array([shingle_bits(t, words, seed) if t else 0 for t in texts], np.uint64).view(np.int64) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *map(pa.array, found)], [id_col, *names])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, whose words are the last axis."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
 class Forest:
@@ -93,8 +105,8 @@ def link(fps: np.ndarray, radius: int, forest: Forest, left: np.ndarray, right:
         if n > LEAF and (b is None or len(a) * len(b) > LEAF * LEAF):
             from_ = a if b is None or len(a) >= len(b) else b
             vantage = fps[from_[len(from_) // 2]]
-            da = np.bitwise_count(fps[a] ^ vantage)
-            db = da if b is None else np.bitwise_count(fps[b] ^ vantage)
+            da = apart(fps[a], vantage)
+            db = da if b is None else apart(fps[b], vantage)
             d = da if from_ is a else db
             if b is None:  # all within the radius of the vantage point hang together
                 near = a[da <= radius]
@@ -125,7 +137,7 @@ def compare(fps: np.ndarray, radius: int, forest: Forest, a: np.ndarray, b: np.n
     for at in range(0, len(a), step):
         rows = a[at : at + step]
         columns = b[at:] if own else b
-        hit = np.bitwise_count(fps[rows][:, None] ^ fps[columns][None, :]) <= radius
+        hit = apart(fps[rows][:, None], fps[columns][None, :]) <= radius
         if hit.any():
             i, j = np.nonzero(hit)
             for x, y in set(zip(rows[i].tolist(), columns[j].tolist())):
@@ -135,37 +147,68 @@ def compare(fps: np.ndarray, radius: int, forest: Forest, a: np.ndarray, b: np.n
 
 def links_of_shard(fps: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect what the shard connects: within side 0, or across sides 0 and 1 if both are there."""
+    fps = fps.reshape(len(fps), -1)
     forest = Forest(len(fps))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     link(fps, radius, forest, left, right if len(right) else None)
     return forest.edges
 
 
-def near_links(classes: DataFrame, radius: int = 4, part: int = PART) -> DataFrame:
-    """Links (a, b) of ids in ``classes`` (fp, id), distinct fingerprints, that connect all pairs within ``radius``.
+def block_keys(bits: int, radius: int) -> list[str]:
+    """A key a block, of ``radius + 1`` blocks of ``bits`` 64: two fingerprints within ``radius`` agree on one at least."""
+    blocks = radius + 1
+    cuts = [bits * k // blocks for k in range(blocks + 1)]
+    return [f"shiftleft({k}L, 32) + (shiftrightunsigned(fp, {lo}) & {(1 << hi - lo) - 1 if hi - lo < 64 else -1}L)" for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
+def sampled_keys(words: int, rows: int, agree: float, recall: float) -> list[str]:
+    """Keys of as many random sets of bits as it takes for ``recall`` at that share of agreeing bits.
 
-    The 64 bits are cut into ``radius + 1`` blocks. Two fingerprints within
-    ``radius`` agree on one block at least, that is, in that block they lie in
-    the same shell of radius 0 around any vantage point, so each block's
-    Hamming distance deals the rows into shards. In its shard a fingerprint
-    meets the others by vantage-point partitioning on all 64 bits (``link``).
-    A shard returns a spanning forest, at most one link a row, never all
-    pairs. Shards of more than ``part`` rows are cut into parts by hash; each
-    pair of parts is a shard of its own, so no task holds more than two parts.
-    The table of shard sizes has at most (radius + 1) * 2^13 rows.
+    A set has about log2 of the rows less two bits, so that shards of unlike
+    fingerprints stay at a few rows at every size; the number of sets follows.
     """
-    blocks = radius + 1
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    keys = [f"shiftleft({k}L, 32) + (shiftrightunsigned(fp, {lo}) & {(1 << hi - lo) - 1 if hi - lo < 64 else -1}L)" for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    rows = classes.select("fp", "id", F.explode(F.array(*map(F.expr, keys))).alias("key"))
+    size = max(8, math.ceil(math.log2(max(2, rows))) - 2)
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**size))
+    rng, out = np.random.default_rng(11), []
+    for t in range(tables):
+        masks = [0] * words
+        for b in rng.choice(64 * words, min(size, 64 * words), replace=False).tolist():
+            masks[b // 64] |= 1 << b % 64
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        parts = [f"fp{k or ''} & {f'{m}L' if m > -(1 << 63) else 'shiftleft(1L, 63)'}" for k, m in enumerate(signed)]
+        out.append(f"xxhash64({t}, {', '.join(parts)})")
+    return out
+
+
+def near_links(classes: DataFrame, radius: int = 4, part: int = PART, keys: list[str] | None = None) -> DataFrame:
+    """Links (a, b) of ids in ``classes`` (fp, fp1..., id), distinct fingerprints, that connect pairs within ``radius``.
+
+    Without ``keys`` all pairs are connected, exactly: the 64 bits are cut into
+    ``radius + 1`` blocks. Two fingerprints within ``radius`` agree on one
+    block at least, that is, in that block they lie in the same shell of radius
+    0 around any vantage point, so each block's Hamming distance deals the rows
+    into shards. With ``keys`` these deal them, and pairs that meet in none are
+    missed. In its shard a fingerprint meets the others by vantage-point
+    partitioning on all bits (``link``); shards of a few rows are compared
+    directly. A larger shard returns a spanning forest, at most one link a row,
+    never all pairs. Shards of more than ``part`` rows are cut into parts by
+    hash; each pair of parts is a shard of its own, so no task holds more than
+    two parts. The table of large shards is broadcast only if it is small.
+    """
+    names = [c for c in classes.columns if c.startswith("fp")]
+    w = len(names)
+    rows = classes.select(*names, "id", F.explode(F.array(*map(F.expr, keys or block_keys(64, radius)))).alias("key"))
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part)
-    large = F.broadcast(large.select("key", F.ceil(F.col("n") / (part / 2)).cast("int").alias("parts")))
+    large = written(large.select("key", F.ceil(F.col("n") / (part / 2)).cast("int").alias("parts")), "large")
+    if large.count() <= MOST_BROADCAST:
+        large = F.broadcast(large)
     rows = rows.join(large, "key", "left").withColumn("at", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
     # part i of p meets itself (shard i, i) and every other part (shards i, j and j, i)
     pairs = F.expr("""if(parts is null, array(named_struct('i', 0, 'j', 0, 'side', 0)), transform(sequence(0, parts - 1),
         x -> named_struct('i', least(x, at), 'j', greatest(x, at), 'side', if(at > x, 1, 0))))""")
-    rows = rows.select("fp", "id", "key", F.explode(pairs).alias("s")).select("fp", "id", "key", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.side").alias("side"))
+    rows = rows.select(*names, "id", "key", F.explode(pairs).alias("s")).select(*names, "id", "key", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.side").alias("side"))
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    shard = slice(w + 1, w + 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -173,20 +216,32 @@ def near_links(classes: DataFrame, radius: int = 4, part: int = PART) -> DataFra
         def links(x: np.ndarray) -> pa.RecordBatch:
             """Links of whole shards, which follow each other in ``x``."""
             out: list[np.ndarray] = []
-            edge = np.flatnonzero((x[1:, 2:5] != x[:-1, 2:5]).any(axis=1)) + 1
-            for lo, hi in zip([0, *edge], [*edge, len(x)]):
-                if hi - lo > 1 and (found := links_of_shard(x[lo:hi, 0].view(np.uint64), x[lo:hi, 5], radius)):
-                    out.append(x[lo:hi, 1][np.array(found)])
+            fps, ids, side = x[:, :w].view(np.uint64), x[:, w], x[:, w + 4]
+            first = np.concatenate(([0], np.flatnonzero((x[1:, shard] != x[:-1, shard]).any(axis=1)) + 1))
+            size = np.diff(np.append(first, len(x)))
+            few = (size > 1) & (size <= FEW)
+            last = np.repeat(first + size, size)
+            at = np.flatnonzero(np.repeat(few, size))
+            for step in range(1, FEW):
+                at = at[at + step < last[at]]
+                hit = at[(apart(fps[at], fps[at + step]) <= radius)]
+                if len(hit):
+                    one = np.repeat((np.maximum.reduceat(side, first) == 0), size)[hit]
+                    hit = hit[one | (side[hit] != side[hit + step])]
+                    out.append(np.stack([ids[hit], ids[hit + step]], axis=1))
+            for lo, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+                if found := links_of_shard(fps[lo : lo + n], side[lo : lo + n], radius):
+                    out.append(ids[lo : lo + n][np.array(found)])
             both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         for batch in batches:
-            x = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) if batch.num_rows else None
-            if x is None:
+            if not batch.num_rows:
                 continue
-            last = np.flatnonzero((x[:, 2:5] != x[-1, 2:5]).any(axis=1))
-            at = last[-1] + 1 if len(last) else 0  # the last shard may go on
-            if at or held and (held[-1][-1, 2:5] != x[0, 2:5]).any():
+            x = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            new = np.flatnonzero((x[:, shard] != x[-1, shard]).any(axis=1))
+            at = new[-1] + 1 if len(new) else 0  # the last shard may go on
+            if at or held and (held[-1][-1, shard] != x[0, shard]).any():
                 yield links(np.concatenate([*held, x[:at]]))
                 held = []
             held.append(x[at:])
@@ -245,7 +300,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its own columns; of each component the row with the smallest id stays. Rows with null ids stay."""
-    gone = near_dedup(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col)
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.95, part: int = PART) -> DataFrame:
+    """One row (id, component_id) for each row: texts whose shingle sets overlap by ``similarity`` (Jaccard) or more hang together.
+
+    Fingerprints have 128 bits, on which unlike texts don't come close by
+    chance. Their distance estimates the overlap; two texts are linked up to
+    the distance expected at ``similarity`` and half a standard deviation, so
+    some pairs slightly below are linked too. That many bits leave no block
+    whole, so shards are dealt by sampled bits; a pair just at ``similarity``
+    meets with probability ``recall``, a closer one more surely. Nulls, empty
+    texts, repeated rows and other columns: as for ``near_dedup``.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = int(128 * share + 0.5 * math.sqrt(128 * share * (1 - share)))
+    rows = written(fingerprints(docs, id_col, text_col, words, (42, 43)).select(F.col(id_col).cast("long").alias("_id"), "fp", "fp1"), "fingerprints")
+    classes = written(rows.groupBy("fp", "fp1").agg(F.min("_id").alias("id")), "classes")
+    known = classes.where("id is not null")
+    found = components(near_links(known, radius, part, sampled_keys(2, known.count(), 1 - share, recall)))
+    named = written(classes.join(found, "id", "left").select(F.col("fp").alias("_f"), F.col("fp1").alias("_g"), F.coalesce("component", "id").alias("component_id")), "named")
+    return rows.join(named, (F.col("fp") == F.col("_f")) & (F.col("fp1") == F.col("_g"))).select(F.col("_id").alias(id_col), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with its own columns; of texts that are similar, the row with the smallest id stays. Rows with null ids stay."""
+    gone = similar_dedup(docs, id_col, text_col, words, similarity).where(F.col(id_col) != F.col("component_id")).select(id_col)
     return without(docs, written(gone, "near"), id_col)
