@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import bisect
-import hashlib
+import os
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -13,8 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.scale import slices, written
-from marlstone.llm.word_bpe import Bounded, splitter, vocabulary
+from marlstone.llm.scale import held, slices, written
+from marlstone.llm.word_bpe import Bounded, byte_letters, splitter, vocabulary
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -107,19 +108,40 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return slots, bins
 
 
-_loaded: dict[str, tuple] = {}
+class WordIds:
+    """Words of a text to the tokenizers library's ids, packed; words seen are kept in bounded memory.
 
+    The library's model is given pre-tokens, already lower-cased and split as
+    its file says, in the file's byte letters, so only its merges remain to do.
+    """
 
-def _encoder(source: str):
-    """Per worker: the split function, and word -> packed ids in bounded memory, made by the tokenizers library."""
-    key = hashlib.md5(source.encode()).hexdigest()
-    if key not in _loaded:
+    def __init__(self, source: str):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_str(source)
-        _loaded.clear()
-        _loaded[key] = (splitter(list(vocabulary(source)[2])), Bounded(lambda w: b"".join([i.to_bytes(4, "little") for i in tok.encode(w, add_special_tokens=False).ids]), 350_000))
-    return _loaded[key]
+        specials = vocabulary(source)[2]
+        self.split = splitter(list(specials))
+        self.model = Tokenizer(Tokenizer.from_str(source).model)
+        self.letters = byte_letters()
+        self.specials = {w: packed_ids([i]) for w, i in specials.items()}
+        self.known = Bounded(lambda w: self.encode([w])[0], 500_000)
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        at = self.letters.__getitem__
+        found = self.model.encode_batch_fast(["".join(map(at, w.encode())) for w in words], add_special_tokens=False)
+        return [self.specials[w] if w in self.specials else packed_ids(x.ids) for w, x in zip(words, found, strict=True)]
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; words that are new to a batch go to the library together."""
+        split = [self.split(t) if t else [] for t in texts]
+        new = self.known.unseen(set().union(*split))
+        for w, ids in zip(new, self.encode(new), strict=True):
+            self.known.keep(w, ids)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,12 +154,13 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, by_word = _encoder(source.value)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
+        words = held(("packing", zlib.crc32(source.value.encode())), lambda: WordIds(source.value))
         part, ranks = TaskContext.get().partitionId(), defaultdict(int)
-        for batch in slices(batches, "_t"):
+        for batch in slices(batches, "_t", 4 << 20):
             rows, piece, start, length, crc, rank = [], [], [], [], [], []
-            for row, text in enumerate(batch.column("_t").to_pylist()):
-                ids = b"".join(map(by_word.__getitem__, split(text))) + end if text else end
+            for row, ids in enumerate(words.texts(batch.column("_t").to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 for k, at in enumerate(range(0, n, capacity)):
                     m = min(capacity, n - at)
