@@ -23,8 +23,8 @@ FEW = 12
 MOST_BROADCAST = 50_000
 
 
-def shingle_bits(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """The fingerprint of one text in UTF-8: bit i is 1 if more than half of its shingles' hashes have it."""
+def shingle_bits(text: bytes, words: int = 4, seed: int = 42, distinct: bool = False) -> int:
+    """The fingerprint of one text in UTF-8: bit i is 1 if more than half of its shingles' hashes have it, repeats counted unless ``distinct``."""
     units = text.lower().split()  # bytes: only A-Z change, and white space is \x20 and \x09-\x0D
     if not units:
         return 0
@@ -36,7 +36,7 @@ def shingle_bits(text: bytes, words: int = 4, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(units) - words + 1
     h = np.fromiter([digest(flat[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())], np.uint64, n)
-    return majority(h)
+    return majority(np.unique(h) if distinct else h)
 
 
 def majority(h: np.ndarray) -> int:
@@ -47,14 +47,14 @@ def majority(h: np.ndarray) -> int:
     return int("".join("1" if 2 * x > len(h) else "0" for x in total), 2)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
     """One row (id, fp long, fp1 long, ...) for each row: 64 bits a seed as signed numbers; null and wordless texts have 0."""
     names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
             texts = batch.column("_t").to_pylist()
-            found = [np.array([shingle_bits(t, words, seed) if t else 0 for t in texts], np.uint64).view(np.int64) for seed in seeds]
+            found = [np.array([shingle_bits(t, words, seed, distinct) if t else 0 for t in texts], np.uint64).view(np.int64) for seed in seeds]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *map(pa.array, found)], [id_col, *names])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"))
@@ -305,15 +305,15 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Fingerprints have 128 bits, on which unlike texts don't come close by
     chance. Their distance estimates the overlap; two texts are linked up to
-    the distance expected at ``similarity`` and half a standard deviation, so
-    some pairs slightly below are linked too. That many bits leave no block
+    the distance expected at ``similarity`` and a standard deviation, so some
+    pairs slightly below are linked too. That many bits leave no block
     whole, so shards are dealt by sampled bits; a pair just at ``similarity``
     meets with probability ``recall``, a closer one more surely. Nulls, empty
     texts, repeated rows and other columns: as for ``near_dedup``.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(128 * share + 0.5 * math.sqrt(128 * share * (1 - share)))
-    rows = written(fingerprints(docs, id_col, text_col, words, (42, 43)).select(F.col(id_col).cast("long").alias("_id"), "fp", "fp1"), "fingerprints")
+    radius = int(128 * share + math.sqrt(128 * share * (1 - share)))
+    rows = written(fingerprints(docs, id_col, text_col, words, (42, 43), True).select(F.col(id_col).cast("long").alias("_id"), "fp", "fp1"), "fingerprints")
     classes = written(rows.groupBy("fp", "fp1").agg(F.min("_id").alias("id")), "classes")
     known = classes.where("id is not null")
     found = components(near_links(known, radius, part, sampled_keys(2, known.count(), 1 - share, recall)))

@@ -238,6 +238,29 @@ def test_shard_links():
         assert [a.root(i) for i in range(n)] == [b.root(i) for i in range(n)]
 
 
+def test_similar_texts(spark, docs):
+    """Edited copies hang together, unlike texts don't; links lie within the radius of the 128-bit fingerprints."""
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(3000)]
+    rows, family = [], {}
+    for f in range(60):
+        base = r.choices(words, k=r.choice((200, 400, 900)))
+        for k in range(1 + f % 4):
+            w = base[:]
+            for at in r.sample(range(len(w)), k * len(w) // 200):  # five shingles an edit
+                w[at] = r.choice(words)
+            family[len(rows)] = f
+            rows.append((len(rows), " ".join(w)))
+    got = {x.doc_id: x.component_id for x in simhash.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    for i, f in sorted(family.items()):
+        first.setdefault(f, i)
+    assert got == {i: first[f] for i, f in family.items()}
+    edge = {x.doc_id: x.component_id for x in simhash.similar_dedup(docs).collect() if x.doc_id is not None}
+    assert edge[1] == edge[0] == edge[4] == 0 and edge[2] == edge[3] == edge[12] == 2 and edge[6] == 6
+    assert simhash.drop_near_copies(docs).columns == docs.columns
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (5, 5)], "a long, b long")
     got = {r.id: r.component for r in simhash.components(links).collect()}

@@ -10,13 +10,13 @@ from pathlib import Path
 from conftest import ROOT, SMALL
 from pyspark.sql import functions as F
 
-from llm.test_operators import brute_components, brute_fp, check_pack
+from llm.test_operators import check_pack
 
 
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
-    from marlstone.llm import language, queries, secrets
+    from marlstone.llm import language, queries, secrets, simhash
     from marlstone.llm.scale import crc32_mod
 
     docs = queries.read(spark, SMALL)
@@ -27,7 +27,8 @@ def test_pipeline(spark):
     for i in sorted(texts):
         keep[texts[i]] = i
     texts = {i: t for t, i in keep.items()}
-    comp = brute_components({i: brute_fp(t) for i, t in texts.items()}, 4)
+    kept = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    comp = {r.doc_id: r.component_id for r in simhash.similar_dedup(kept).collect()}
     texts = {i: secrets.redact(t) for i, t in texts.items() if comp[i] == i}
     check_pack(cp.run(spark, SMALL).collect(), texts.items(), 4096)
     assert [n for n, _ in cp.STAGES] == ["language", "exact_dedup", "near_dedup", "secrets", "packing"] and cp.ORACLE_SQL is None
