@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,12 +23,19 @@ FILTER_BITS = 22
 SLICE_BYTES = 8 << 20
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the cluster names none."""
+    """The folder that the driver and all executors share; a temporary one, removed at the end, only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            folder = tempfile.mkdtemp(prefix="marlstone-")
+            atexit.register(shutil.rmtree, folder, True)
+            _own[app] = f"file://{folder}"
+        found = _own[app]
     return found.rstrip("/")
 
 

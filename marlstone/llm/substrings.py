@@ -1,4 +1,4 @@
-"""Operator 2, substring dedup: units (lines, or their sentences) hashed, grouped, and all but the earliest removed."""
+"""Operator 2, substring dedup: units (lines and their sentences, or paragraphs) hashed, grouped, and all but the earliest removed."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from marlstone.llm.scale import slices, written
 
 #: A unit of fewer words is no passage; it is never removed.
 LEAST_WORDS = 8
+#: Lines, and their sentences: a passage may fill a line or lie within one.
+LEVELS = ("line", "sentence")
 PATTERNS = {
     "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+"),
     "line": re.compile(r"[^\n]+"),
@@ -22,28 +24,34 @@ PATTERNS = {
 NOT_WORD = re.compile(r"[\W_]+")
 
 
-def units(text: str, unit: str = "sentence", least: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
+def units(text: str, levels: tuple[str, ...] = LEVELS, least: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the text's units with at least ``least`` words, in code points of the text.
 
-    Normalised: lower case, and every run of anything but letters and digits is one blank.
+    Normalised: lower case, and every run of anything but letters and digits is
+    one blank. A unit that spans one of the level before is that one again and
+    isn't repeated.
     """
-    out = []
-    for m in PATTERNS[unit].finditer(text):
-        words = NOT_WORD.sub(" ", m[0].lower()).strip()
-        if words.count(" ") >= least - 1:
-            a = m.start() + len(m[0]) - len(m[0].lstrip())
-            out.append((a, m.end(), hashlib.blake2b(words.encode(), digest_size=16).digest()))
-    return out
-
-
-def hashed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", least: int = LEAST_WORDS) -> DataFrame:
+    found: dict[tuple[int, int], bytes] = {}
+    for level in levels:
+        for m in PATTERNS[level].finditer(text):
+            part = m[0]
+            a, b = m.start() + len(part) - len(part.lstrip()), m.start() + len(part.rstrip())
+            if (a, b) in found:
+                continue
+            words = NOT_WORD.sub(" ", part.lower()).strip()
+            if words.count(" ") >= least - 1:
+                found[a, b] = hashlib.blake2b(words.encode(), digest_size=16).digest()
+    return [(a, b, h) for (a, b), h in sorted(found.items())]
+
+
+def hashed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str, ...] = LEVELS, least: int = LEAST_WORDS) -> DataFrame:
     """Rows (_id, _start, _end, _digest) for the units of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
             rows, found = [], []
             for k, text in enumerate(batch.column("_t").to_pylist()):
-                mine = units(text, unit, least) if text else []
+                mine = units(text, levels, least) if text else []
                 rows += [k] * len(mine)
                 found += mine
             a, b, c = zip(*found, strict=True) if found else ((), (), ())
@@ -53,11 +61,11 @@ def hashed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _start int, _end int, _digest binary")
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", least: int = LEAST_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str, ...] = LEVELS, least: int = LEAST_WORDS) -> DataFrame:
     """One row (id, start, end, keep_id, keep_start, occurrences) for each unit to remove.
 
     Units rank by id and then by start; the first of a digest stays, all later
-    ones go. Offsets are those of the original text. Counts and the first
+    ones go. A line that goes holds sentences that go; their rows are given too. Offsets are those of the original text. Counts and the first
     occurrence combine on the map side; a digest that many rows share is split
     by adaptive execution in the join back, where rows are narrow.
 
@@ -66,7 +74,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same occurrence and lose nothing to each other. Other columns are ignored;
     an empty table gives an empty result.
     """
-    found = written(hashed_units(docs, id_col, text_col, unit, least), "units")
+    found = written(hashed_units(docs, id_col, text_col, levels, least), "units")
     first = found.groupBy("_digest").agg(F.min(F.struct("_id", "_start")).alias("_first"), F.max(F.struct("_id", "_start")).alias("_last"), F.count(F.lit(1)).alias("occurrences"))
     first = written(first.where("not (_first <=> _last)").drop("_last"), "first")  # else the join takes the aggregation's partitions, which can't be split
     joined = found.join(first, "_digest")
