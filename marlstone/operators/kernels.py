@@ -6,14 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank_cells(df: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of each group, by rank over a sort rather than arrays, so that a large group needs no array.
+def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., value, rank, count, n): a row a different value with its first rank from 0, how often it occurs, and the group's size.
 
-    Index round((n - 1) p), halves up; nulls take no rank.
+    Equal values combine before the shuffle, so a hot group costs its different
+    values, not its rows. Nulls take no rank.
     """
-    rows = df.where(F.col(value).isNotNull())
-    ranked = rows.select(*by, value, (F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1).alias("_k"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("_n"))
-    return ranked.groupBy(*by).agg(F.max("_n").alias("n"), *[F.max(F.when(F.col("_k") == F.floor((F.col("_n") - 1) * p + 0.5), F.col(value))).alias(name) for name, p in ps.items()])
+    c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("count"))
+    w = Window.partitionBy(*by)
+    before = F.sum("count").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return c.select(*by, value, F.coalesce(before, F.lit(0)).alias("rank"), "count", F.sum("count").over(w).alias("n"))
+
+
+def nearest_rank_cells(df: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles of each group: the value at index round((n - 1) p), halves up."""
+    r = value_ranks(df, by, value)
+    at = lambda p: F.floor((F.col("n") - 1) * p + 0.5)
+    hit = lambda p: (F.col("rank") <= at(p)) & (at(p) < F.col("rank") + F.col("count"))
+    return r.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(hit(p), F.col(value))).alias(name) for name, p in ps.items()])
 
 
 def region_cube(df: DataFrame, region: str, kind: str, aggs: list[Column], all_regions: str = "ALL", all_kinds: str = "all") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import stats
+from marlstone.operators.kernels import value_ranks
 from marlstone.sources.shipping import ship
 
 # Weights of the five terms, gates of a run, and bounds of a collapse.
@@ -61,11 +62,8 @@ def cohort_drift(now: DataFrame, before: DataFrame, key: str, channels: list[str
 def mine_invariants(values: DataFrame, field_col: str, value: str, conf: float = 0.99, support: int = 500, trim: float = 0.01) -> DataFrame:
     """(field, kind, detail, support): never null, numeric, range without the outer percent, one pattern, distinct.
 
-    Quantiles are exact ranks of the sorted values over a window, so no array
-    of a field's values is built.
+    Quantiles are exact ranks over a field's different values.
     """
-    from pyspark.sql import Window
-
     v = F.col(value)
     num = v.try_cast("double")
     rows = values.select(F.col(field_col).alias("field"), v.alias("v"), num.alias("x"), pattern_of(v).alias("p"))
@@ -76,11 +74,10 @@ def mine_invariants(values: DataFrame, field_col: str, value: str, conf: float =
         enough.where(F.col("numbers") >= conf * F.col("held")).select("field", F.lit("type"), F.lit("number"), "held"),
         enough.where(F.col("distinct") >= 0.9 * F.col("held")).select("field", F.lit("distinct"), F.lit(""), "held"),
     ]
-    k = F.row_number().over(Window.partitionBy("field").orderBy("x")) - 1
-    m = F.count(F.lit(1)).over(Window.partitionBy("field"))
-    cut = F.floor(F.col("m") * trim)
-    ranked = rows.where("x is not null").select("field", "x", k.alias("k"), m.alias("m"))
-    rng = ranked.where((F.col("k") >= cut) & (F.col("k") < F.col("m") - cut)).groupBy("field").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("m").alias("m"))
+    r = value_ranks(rows, ["field"], "x")
+    cut = F.floor(F.col("n") * trim)
+    inside = (F.col("rank") + F.col("count") > cut) & (F.col("rank") < F.col("n") - cut)
+    rng = r.where(inside).groupBy("field").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("n").alias("m"))
     out.append(rng.join(enough.where(F.col("numbers") >= conf * F.col("held")).select("field"), "field").select("field", F.lit("range"), F.concat_ws("..", F.col("lo").cast("decimal(28,4)").cast("string"), F.col("hi").cast("decimal(28,4)").cast("string")), "m"))
     pats = rows.where("v is not null").groupBy("field", "p").agg(F.count(F.lit(1)).alias("c"))
     tot = pats.groupBy("field").agg(F.max(F.struct("c", "p")).alias("b"), F.sum("c").alias("t"))
