@@ -95,9 +95,37 @@ def predicate(f: Filter, data: Column, mode: str = "sql") -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def all_of(filters: list[Filter], data: Column, mode: str = "sql") -> Column:
-    """Conjunction; no filters match everything."""
-    return reduce(lambda a, b: a & b, [predicate(f, data, mode) for f in filters], F.lit(True))
+def typed_predicate(f: Filter, columns: dict[str, tuple[Column, str]], mode: str = "sql") -> Column | None:
+    """The same predicate on typed columns that hold the members (path -> column, ``string`` or ``number``); None if one isn't held.
+
+    Null where the JSON form is false, which a WHERE clause takes alike; such
+    comparisons reach the scan.
+    """
+    if not all(p in columns for p in f.paths):
+        return None
+    c, kind = columns[f.paths[0]]
+    if f.op == "numgte":
+        hits = [columns[p][0] >= float(f.value) for p in f.paths if columns[p][1] == "number"]
+        return reduce(lambda a, b: a | b, hits) if hits else F.lit(False)
+    if kind == "number" and mode == "sql" and f.op in ("gte", "lte"):
+        return c >= _leading_number(f.value) if f.op == "gte" else c <= _leading_number(f.value)
+    if kind == "number" and mode == "sql" and f.op == "eq":
+        return F.lit(False)
+    text = c if kind == "string" else c.cast("string")
+    if f.op == "contains":
+        low = _ascii_lower(text) if mode == "sql" else F.lower(text)
+        needle = "".join(x.lower() if x.isascii() else x for x in f.value) if mode == "sql" else f.value.lower()
+        return F.contains(F.coalesce(low, F.lit("")) if mode == "sql" else low, F.lit(needle))
+    return {"eq": text == f.value, "gte": text >= f.value, "lte": text <= f.value}[f.op]
+
+
+def all_of(filters: list[Filter], data: Column, mode: str = "sql", columns: dict[str, tuple[Column, str]] | None = None) -> Column:
+    """Conjunction; no filters match everything. Members held in typed ``columns`` are compared there."""
+    tests = []
+    for f in filters:
+        t = typed_predicate(f, columns or {}, mode)
+        tests.append(predicate(f, data, mode) if t is None else t)
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
 def trust_label(trust: Column) -> Column:

@@ -31,7 +31,7 @@ def shown(df, *more):
 
 
 def money(path):
-    return F.get_json_object("data", path).cast("double")
+    return F.col(f"value.{path.removeprefix('$.')}").cast("double")
 
 
 @query(RECORDS + f"select {SHOW}, o_totalprice as price from r where removed_at is null and o_orderstatus = 'F' and o_totalprice >= 100000 order by updated_at desc, key desc limit 50")
@@ -78,7 +78,7 @@ def filter_eq_two_modes(spark, d):
 
 @query(RECORDS + "select key, o_totalprice as price from r where removed_at is null order by o_totalprice, key limit 100")
 def list_filtered_ordered(spark, d):
-    r = R.live(orders(spark, d)).withColumn("v", F.get_json_object("data", "$.o_totalprice"))
+    r = R.live(orders(spark, d)).withColumn("v", F.col("value.o_totalprice").cast("string"))
     return R.ordered_by_path(r, F.col("v"), 100).select("key", F.col("v").cast("double").alias("price"))
 
 
@@ -93,7 +93,7 @@ def filter_event_props(spark, d):
 @query(RECORDS + "select key, o_orderstatus as status from r where key in ('1', '34', '4000', '99999999')")
 def get_by_keys(spark, d):
     keys = spark.createDataFrame([("1",), ("34",), ("4000",), ("99999999",)], "key string")
-    return orders(spark, d).join(F.broadcast(keys), "key", "left_semi").select("key", F.get_json_object("data", "$.o_orderstatus").alias("status"))
+    return orders(spark, d).join(F.broadcast(keys), "key", "left_semi").select("key", F.col("value.o_orderstatus").alias("status"))
 
 
 @query("select c_custkey, exists (select 1 from orders where o_custkey = c_custkey) as seen from customer")
@@ -123,7 +123,7 @@ def trust_labels(spark, d):
 def weakest_trust_by_customer(spark, d):
     from marlstone.functions.filters import trust_rank
 
-    o = orders(spark, d).withColumn("c", F.get_json_object("data", "$.o_custkey"))
+    o = orders(spark, d).withColumn("c", F.col("value.o_custkey"))
     m = F.max(F.struct(trust_rank(F.col("trust")).alias("r"), trust_label(F.col("trust")).alias("l")))["l"]
     return o.groupBy("c").agg(F.min("key").alias("k"), m.alias("weakest")).drop("c")
 

@@ -79,7 +79,7 @@ def field_diffs(spark, d):
 def _with_customers(spark, d):
     c = R.table(spark, d, "customer")
     lookup = R.as_records(c.select("c_name", "c_nationkey", F.col("c_custkey").alias("_k")), "tpch", "customers", F.col("_k"), F.lit("2024-01-01").cast("timestamp"), F.when(F.col("_k") % 13 == 0, F.lit("2024-02-01").cast("timestamp")), F.when(F.col("_k") % 3 == 0, "quarantined"))
-    return orders(spark, d).unionByName(lookup)
+    return orders(spark, d).drop("value").unionByName(lookup.drop("value"))
 
 
 LOOKUP = RECORDS + """, c as (select cast(c_custkey as varchar) as k, c_name, c_nationkey, case when c_custkey % 3 = 0 then 'quarantined' else 'stable' end as t from customer where c_custkey % 13 <> 0),

@@ -21,13 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_records(df: DataFrame, app: str, dataset: str, key: Column, updated: Column, removed: Column | None = None, trust: Column | None = None) -> DataFrame:
-    """Rows of any table as records, the row itself as JSON; columns that start with _ stay out of it."""
+    """Rows of any table as records, the row itself as JSON (``data``) and typed (``value``); columns that start with _ stay out of both.
+
+    A query that doesn't ask for ``data`` never builds it, and members taken
+    from ``value`` prune and filter the scan.
+    """
+    inside = [c for c in df.columns if c[0] != "_"]
     return df.select(
-        F.lit(app).alias("app"), F.lit(dataset).alias("dataset"), key.cast("string").alias("key"), F.to_json(F.struct(*[c for c in df.columns if c[0] != "_"])).alias("data"), updated.alias("updated_at"),
+        F.lit(app).alias("app"), F.lit(dataset).alias("dataset"), key.cast("string").alias("key"), F.to_json(F.struct(*inside)).alias("data"), F.struct(*inside).alias("value"), updated.alias("updated_at"),
         (F.lit(None).cast("timestamp") if removed is None else removed).alias("removed_at"), (F.lit(None).cast("string") if trust is None else trust).alias("trust"),
     )
 
 
+def members(records: DataFrame) -> dict[str, tuple[Column, str]]:
+    """Path -> (column, kind) of the members that ``value`` holds as strings or integers and doubles."""
+    if "value" not in records.columns:
+        return {}
+    kinds = {"string": "string", "bigint": "number", "int": "number", "double": "number"}
+    return {f"$.{f.name}": (F.col(f"value.{f.name}"), kinds[k]) for f in records.schema["value"].dataType.fields if (k := f.dataType.simpleString()) in kinds}
+
+
 def live(records: DataFrame) -> DataFrame:
     """Rows without a tombstone."""
     return records.where(F.col("removed_at").isNull())
@@ -50,7 +63,7 @@ def records_view(records: DataFrame, app: str, dataset: str, filters: list[str]
         raise ValueError("removed is include or exclude")
     if trust not in (None, "", "all"):
         out = out.where(trust_label(F.col("trust")) == trust)
-    out = out.where(all_of(parse_filters(filters), F.col("data"), mode)).where(before_cursor(F.col("updated_at"), F.col("key"), cursor))
+    out = out.where(all_of(parse_filters(filters), F.col("data"), mode, members(records))).where(before_cursor(F.col("updated_at"), F.col("key"), cursor))
     return out if limit is None else out.orderBy(F.desc("updated_at"), F.desc("key")).limit(limit)
 
 

@@ -158,3 +158,25 @@ def test_deadlines():
     assert upcoming_deadline("Deadline: January 5, 2024", now) == 1704412800
     assert upcoming_deadline("deadline" + " " * 130 + "2024-01-05", now) is None
     assert upcoming_deadline("due 2024-02-31", now) is None and upcoming_deadline(None, now) is None
+
+
+def test_typed_filters_agree(spark):
+    from marlstone.sources import records
+
+    rows = [(1, "F", 5.0, 7), (2, "O", None, 10), (3, None, 100.5, 5), (4, "f", -1.0, None)]
+    t = spark.createDataFrame(rows, "k int, s string, d double, n long")
+    r = records.as_records(t, "a", "b", F.col("k"), F.lit("2024-01-01").cast("timestamp"))
+    for spec in ("$.s:eq:F", "$.s:contains:f", "$.s:gte:G", "$.d:gte:5", "$.d:lte:5x", "$.n:eq:7", "$.n:gte:10", "$.n:lte:5", "$.d,$.n:numgte:7", "$.s:contains:"):
+        for mode in ("sql", "memory"):
+            a, b = (sorted(x.key for x in records.records_view(df, "a", "b", [spec], mode=mode).select("key").collect()) for df in (r, r.drop("value")))
+            assert a == b, (spec, mode)
+
+
+def test_filters_reach_the_scan(spark, capsys):
+    from conftest import SMALL
+
+    from marlstone import registry
+
+    registry.QUERIES["filter_sql_ranges"](spark, SMALL).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PushedFilters" in plan and "o_totalprice" in plan.split("PushedFilters")[1][:300] and "to_json" not in plan
