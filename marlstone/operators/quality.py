@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,19 +157,23 @@ def next_state(state: str, bad: bool, judged: bool, streak: int) -> tuple[str, i
 
 
 def replay_states(runs: DataFrame, source: str, at: str, tie: str, bad: str, judged: str) -> DataFrame:
-    """(source, at, tie, state) after each run, a fold in time order. A source's runs are a bounded log, kept by retention."""
-    schema = f"`{source}` {runs.schema[source].dataType.simpleString()}, `{at}` {runs.schema[at].dataType.simpleString()}, `{tie}` {runs.schema[tie].dataType.simpleString()}, state string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, tie])
-        state, streak, out = "healthy", 0, []
-        for b, j in zip(pdf[bad], pdf[judged], strict=True):
-            state, streak = next_state(state, bool(b), bool(j), streak)
-            out.append(state)
-        return pdf[[source, at, tie]].assign(state=out)
-
+    """(source, at, tie, state) after each run: a fold in time order over sorted partitions, one state held, however long a source's log is."""
     ship(runs.sparkSession)
-    return runs.select(source, at, tie, bad, judged).groupBy(source).applyInPandas(fold, schema)
+    rows = runs.select(source, at, tie, bad, judged).repartition(source).sortWithinPartitions(source, at, tie)
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (source, at, tie)) + ", state string"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, streak = object(), "healthy", 0
+        for batch in batches:
+            out = []
+            for k, b, j in zip(*(batch.column(c).to_pylist() for c in (source, bad, judged)), strict=True):
+                if k != last:
+                    last, state, streak = k, "healthy", 0
+                state, streak = next_state(state, bool(b), bool(j), streak)
+                out.append(state)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (source, at, tie)), pa.array(out, pa.string())], [source, at, tie, "state"])
+
+    return rows.mapInArrow(fold, schema)
 
 
 def scrapeability(parts: dict[str, tuple[Column, float]]) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import stats
 from marlstone.functions.scalars import month_index
+from marlstone.operators.kernels import value_ranks
 
 
 def newest(df: DataFrame, key: list[str], order: list[Column], keep: int) -> DataFrame:
@@ -59,14 +59,22 @@ def velocity(months: DataFrame, group: list[str], period: str, value: str) -> Da
     )
 
 
-def freshness(checks: DataFrame, key: str, at: str, changed: str, now: Column, prior: float) -> DataFrame:
-    """A row a key: checks, changes, exponential mean gap between changes, predicted next change and seconds until it."""
-    t = F.when(F.col(changed), F.unix_micros(F.col(at).cast("timestamp")) / 1e6)
-    rows = checks.groupBy(key).agg(F.count(F.lit(1)).alias("checks"), F.count(t).alias("changes"), F.max(F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("last_check"), F.array_sort(F.collect_list(t)).alias("_t"))
-    gaps = F.when(F.size("_t") > 1, F.zip_with(F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))), lambda a, b: a - b)).otherwise(F.array().cast("array<double>"))
-    out = rows.withColumn("ewma_gap", stats.ewma(gaps)).withColumn("last_change", F.try_element_at("_t", F.lit(-1)))
+def freshness(checks: DataFrame, key: str, at: str, changed: str, now: Column, prior: float, alpha: float = 0.3) -> DataFrame:
+    """A row a key: checks, changes, exponential mean gap between changes, predicted next change and seconds until it.
+
+    The mean, started by the first gap, is a sum of gaps times powers of
+    1 - alpha by their place from the newest; no key's times are gathered.
+    """
+    t = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
+    rows = checks.select(key, t.alias("_t"), F.col(changed).alias("_c"))
+    base = rows.groupBy(key).agg(F.count(F.lit(1)).alias("checks"), F.count_if("_c").alias("changes"), F.max("_t").alias("last_check"), F.max(F.when(F.col("_c"), F.col("_t"))).alias("last_change"))
+    w = Window.partitionBy(key)
+    hits = rows.where("_c").select(key, (F.col("_t") - F.lag("_t").over(w.orderBy("_t"))).alias("_g"), F.row_number().over(w.orderBy(F.desc("_t"))).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
+    gaps = hits.where("_r < _n")  # the oldest change ends no gap
+    weight = F.pow(F.lit(1 - alpha), F.col("_r") - 1) * F.when(F.col("_r") == F.col("_n") - 1, 1.0).otherwise(alpha)
+    mean = gaps.groupBy(key).agg(F.sum(F.col("_g") * weight).alias("ewma_gap"))
     due = F.coalesce("last_change", "last_check") + F.coalesce("ewma_gap", F.lit(prior)) - F.unix_micros(now) / 1e6
-    return out.withColumn("due_in", due).drop("_t")
+    return base.join(mean, key, "left").withColumn("due_in", due)
 
 
 def head_streak(df: DataFrame, key: str, order: Column, ok: Column) -> DataFrame:
@@ -86,11 +94,13 @@ def recurrence(df: DataFrame, key: str, day: str, within: int = 45, least: int =
     """A row a key: cycles, upper-median gap in days, whether all gaps lie within ``within`` days of it, and the next day where predictable."""
     w = Window.partitionBy(key).orderBy(day)
     g = df.select(key, day).distinct().withColumn("_g", F.datediff(day, F.lag(day).over(w)))
-    a = g.groupBy(key).agg(F.count(F.lit(1)).alias("cycles"), F.max(day).alias("last_day"), F.array_compact(F.collect_list("_g")).alias("_a"))
-    m = stats.upper_median(F.col("_a"))
-    regular = F.forall("_a", lambda x: F.abs(x - F.col("median_gap")) <= within)
-    out = a.withColumn("median_gap", m).withColumn("regular", F.coalesce(regular & (F.size("_a") > 0), F.lit(False)))
-    return out.withColumn("next_day", F.when(F.col("regular") & (F.col("cycles") >= least), F.date_add("last_day", F.col("median_gap")))).drop("_a")
+    base = g.groupBy(key).agg(F.count(F.lit(1)).alias("cycles"), F.max(day).alias("last_day"), F.min("_g").alias("_lo"), F.max("_g").alias("_hi"))
+    r = value_ranks(g, [key], "_g")
+    at = F.floor(F.col("n") / 2)
+    median = r.where((F.col("rank") <= at) & (at < F.col("rank") + F.col("count"))).select(key, F.col("_g").alias("median_gap"))
+    m = F.col("median_gap")
+    out = base.join(median, key, "left").withColumn("regular", F.coalesce((m - F.col("_lo") <= within) & (F.col("_hi") - m <= within), F.lit(False)))
+    return out.withColumn("next_day", F.when(F.col("regular") & (F.col("cycles") >= least), F.date_add("last_day", m))).drop("_lo", "_hi")
 
 
 def transitions(df: DataFrame, key: str, order: list[str], state: str) -> DataFrame:

@@ -69,3 +69,15 @@ def test_state_machine():
         seen.append(state)
     assert seen == ["suspect", "degraded", "degraded", "degraded", "quarantined", "probation", "probation", "probation", "healthy"]
     assert quality.next_state("suspect", True, False, 0) == ("suspect", 0)
+
+
+def test_freshness_fold(spark):
+    r = random.Random(3)
+    rows = [(f"k{i % 7}", t, r.random() < 0.4) for i, t in enumerate(r.sample(range(100_000), 200))]
+    df = spark.createDataFrame(rows, "k string, s long, c boolean").withColumn("t", F.timestamp_seconds("s"))
+    got = {x.k: x for x in timeseries.freshness(df, "k", "t", "c", F.lit("1970-01-02").cast("timestamp"), 60.0).collect()}
+    for k in got:
+        times, mean = sorted(s for n, s, c in rows if n == k and c), None
+        for a, b in zip(times, times[1:]):
+            mean = float(b - a) if mean is None else 0.3 * (b - a) + 0.7 * mean
+        assert got[k].changes == len(times) and (mean is None) == (got[k].ewma_gap is None) and (mean is None or abs(mean - got[k].ewma_gap) < 1e-6)
