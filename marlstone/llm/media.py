@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.scale import slices, written
-from marlstone.llm.simhash import components
+from marlstone.llm.scale import mapped, slices, written
+from marlstone.llm.simhash import MOST_BROADCAST, components
 
 #: Corners described in an image at most, over all scales, strongest first; this is the size of a signature.
-KEYPOINTS, SCALES = 48, (1.0, 0.75, 0.5)
+KEYPOINTS, SCALES = 40, (1.0, 0.75, 0.5)
 #: Radius of a patch, binary tests, tables of 32 bits each, and bits in which two descriptors may differ.
-PATCH, TESTS, TABLES, NEAR = 9, 128, 4, 14
+PATCH, TESTS, TABLES, NEAR = 9, 128, 4, 6
 #: Matches that agree on one transform for two images to be copies, and the bins of rotation, log2 scale and shift.
-CONSENSUS, TURN_BINS, SCALE_BIN, SHIFT_BIN = 7, 12, 0.35, 10.0
+CONSENSUS, TURN_BINS, SCALE_BIN, SHIFT_BIN = 5, 12, 0.35, 10.0
 #: Rows of one part of a table bucket.
 PART = 4_000
 
@@ -158,8 +158,19 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(points, np.float32), np.array(codes).view(">u8").astype(np.uint64)
 
 
+def packed(points: np.ndarray) -> np.ndarray:
+    """A corner's number, place (half pixels), scale (1/64) and angle (1/1024 turn) in 63 bits, to keep shuffled rows narrow."""
+    x, y = (np.minimum(np.rint(2 * points[:, k]), (1 << 17) - 1).astype(np.int64) for k in (0, 1))
+    s, a = np.rint(64 * points[:, 2]).astype(np.int64), np.rint(points[:, 3] / (2 * np.pi) * 1024).astype(np.int64) % 1024
+    return np.arange(len(points)) | x << 8 | y << 25 | s << 42 | a << 52
+
+
+def unpacked(g: np.ndarray) -> dict[str, np.ndarray]:
+    return {"k": g & 255, "x": (g >> 8 & (1 << 17) - 1) / 2, "y": (g >> 25 & (1 << 17) - 1) / 2, "s": (g >> 42 & 1023) / 64, "a": (g >> 52 & 1023) * (2 * np.pi / 1024)}
+
+
 def descriptors(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
-    """Rows (_id, _class binary, _n, _d array<struct<x,y,s,a,d0,d1>>) for every image; _class digests the decoded pixels, or the bytes."""
+    """Rows (_id, _class binary, _n, _d array<struct<g,d0,d1>>) for every image; _class digests the decoded pixels, or the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_i"):
@@ -172,12 +183,12 @@ def descriptors(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
                     continue
                 digest.append(hashlib.blake2b(repr(image.shape).encode() + image.tobytes(), digest_size=16).digest())
                 points, codes = describe(image)
-                all_d.append([{"x": x, "y": y, "s": s, "a": a, "d0": d0, "d1": d1} for (x, y, s, a), (d0, d1) in zip(points.tolist(), codes.view(np.int64).tolist(), strict=True)])
-            kind = pa.list_(pa.struct([(k, pa.float32()) for k in "xysa"] + [("d0", pa.int64()), ("d1", pa.int64())]))
+                all_d.append([{"g": g, "d0": d0, "d1": d1} for g, (d0, d1) in zip(packed(points).tolist(), codes.view(np.int64).tolist(), strict=True)])
+            kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("g", "d0", "d1")]))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(digest, pa.binary()), pa.array(all_d, kind)], ["_id", "_class", "_d"])
 
     rows = images.select(F.col(id_col).cast("long").alias("_id"), F.col(image_col).alias("_i"))
-    return rows.mapInArrow(run, "_id long, _class binary, _d array<struct<x:float,y:float,s:float,a:float,d0:long,d1:long>>")
+    return mapped(rows, run, "_id long, _class binary, _d array<struct<g:long,d0:long,d1:long>>")
 
 
 def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
@@ -198,10 +209,10 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     empty table gives an empty result.
     """
     rows = written(descriptors(images, id_col, image_col), "descriptors")
-    classes = rows.groupBy("_class").agg(F.min("_id").alias("c"), F.count(F.lit(1)).alias("n"), F.first("_d").alias("d"))
-    points = classes.where("c is not null").select("c", F.posexplode("d").alias("k", "p")).select("c", "k", "p.*")
+    classes = rows.groupBy("_class").agg(F.min("_id").alias("c"), F.count(F.lit(1)).alias("n"), F.max("_d").alias("d"))
+    points = classes.where("c is not null").select("c", F.explode("d").alias("p")).select("c", "p.*")
     keys = [f"named_struct('t', {t}, 'key', shiftrightunsigned(d{t // 2}, {32 * (1 - t % 2)}) & 4294967295L)" for t in range(TABLES)]
-    votes = matches(points.withColumn("b", F.explode(F.array(*map(F.expr, keys)))).select("c", "k", "x", "y", "s", "a", "d0", "d1", F.expr("b.key * 4 + b.t").alias("key")))
+    votes = matches(points.withColumn("b", F.explode(F.array(*map(F.expr, keys)))).select("c", "g", "d0", "d1", F.expr("b.key * 4 + b.t").alias("key")))
     # each vote counts a corner once, however many tables it came by
     votes = votes.groupBy("u", "v", "turn", "size", "dx", "dy").agg(F.countDistinct("k").alias("n")).where(F.col("n") >= CONSENSUS)
     links = written(votes.select("u", "v").distinct(), "copies")
@@ -216,11 +227,14 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
 def matches(points: DataFrame) -> DataFrame:
     """Votes (u, v, k, turn, size, dx, dy) of matching descriptors of classes u < v that share a bucket; k is u's corner."""
     large = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
-    points = points.join(large.select("key", F.ceil(F.col("n") / (PART / 2)).cast("int").alias("parts")), "key", "left")
-    points = points.withColumn("at", F.pmod(F.xxhash64("c", "k"), F.col("parts")).cast("int"))
+    large = written(large.select("key", F.ceil(F.col("n") / (PART / 2)).cast("int").alias("parts")), "large")
+    if large.count() <= MOST_BROADCAST:
+        large = F.broadcast(large)
+    points = points.join(large, "key", "left")
+    points = points.withColumn("at", F.pmod(F.xxhash64("c", "g"), F.col("parts")).cast("int"))
     pairs = F.expr("""if(parts is null, array(named_struct('i', 0, 'j', 0, 'side', 0)), transform(sequence(0, parts - 1),
         x -> named_struct('i', least(x, at), 'j', greatest(x, at), 'side', if(at > x, 1, 0))))""")
-    points = points.withColumn("p", F.explode(pairs)).select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.side").alias("side"), "c", "k", "x", "y", "s", "a", "d0", "d1")
+    points = points.withColumn("p", F.explode(pairs)).select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.side").alias("side"), "c", "g", "d0", "d1")
     points = points.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +252,7 @@ def matches(points: DataFrame) -> DataFrame:
 
     def votes(t: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
         col = {n: t.column(n).to_numpy() for n in t.column_names}
+        col |= unpacked(col["g"])
         d = np.stack([col["d0"], col["d1"]], axis=1).view(np.uint64)
         for lo, hi in zip(bounds, bounds[1:], strict=False):
             if hi - lo < 2:
@@ -269,26 +284,36 @@ def matches(points: DataFrame) -> DataFrame:
                         o.append(x.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["u", "v", "k", "turn", "size", "dx", "dy"])
 
-    return points.mapInArrow(run, "u long, v long, k long, turn long, size long, dx long, dy long")
+    return mapped(points, run, "u long, v long, k long, turn long, size long, dx long, dy long")
 
 
-def rendered_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", side: int = 8, zoom: int = 10) -> DataFrame:
-    """(id, image): each vector drawn as a binary PGM, a smooth surface through its values in rows of ``side``; a null vector has a null image.
+def picture_of(values: np.ndarray, side: int = 96) -> np.ndarray:
+    """Plane waves whose directions, lengths, phases and heights are the vector's values, four at a time: close vectors draw close pictures."""
+    z = values / (np.sqrt(np.mean(values**2)) or 1.0)
+    u = 1 / (1 + np.exp(-1.7 * np.concatenate([z, np.roll(z, 2)[::-1]])))
+    u = np.pad(u, (0, -len(u) % 4), constant_values=0.5).reshape(-1, 4)
+    at = 2 * np.pi * np.arange(side)
+    waves = np.cos(np.multiply.outer(0.24 * (u[:, 0] - 0.5), at)[:, :, None] + np.multiply.outer(0.24 * (u[:, 1] - 0.5), at)[:, None, :] + (2 * np.pi * u[:, 2])[:, None, None])
+    x = np.tensordot(0.3 + u[:, 3], waves, 1)
+    return ((x - x.min()) / ((x.max() - x.min()) or 1) * 255).astype(np.uint8)
+
+
+def rendered_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, image): each vector drawn as a binary PGM by ``picture_of``; null and empty vectors have a null image, null values count as 0.
 
     The given tables hold no images; these stand in for them, one for each vector.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column("_v").to_pylist():
-                x = np.array([y or 0.0 for y in v or []], float)
-                if v is None or not len(x):
-                    out.append(None)
-                    continue
-                x = np.nan_to_num(np.pad(x, (0, -len(x) % side))).reshape(-1, side)
-                grey = np.clip(128 + 127 * _resized((x / (np.abs(x).max() or 1)).astype(np.float32), zoom), 0, 255).astype(np.uint8)
-                out.append(b"P5 %d %d 255\n" % (grey.shape[1], grey.shape[0]) + grey.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out, pa.binary())], [id_col, "image"])
-
-    return embeddings.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).mapInArrow(run, f"`{id_col}` long, image binary")
+            for at in range(0, batch.num_rows, 512):
+                part, out = batch.slice(at, 512), []
+                for v in part.column("_v").to_pylist():
+                    if not v:
+                        out.append(None)
+                        continue
+                    grey = picture_of(np.nan_to_num(np.array([y or 0.0 for y in v], float)))
+                    out.append(b"P5 %d %d 255\n" % (grey.shape[1], grey.shape[0]) + grey.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(out, pa.binary())], [id_col, "image"])
+
+    return mapped(embeddings.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")), run, f"`{id_col}` long, image binary")
