@@ -81,3 +81,15 @@ def test_freshness_fold(spark):
         for a, b in zip(times, times[1:]):
             mean = float(b - a) if mean is None else 0.3 * (b - a) + 0.7 * mean
         assert got[k].changes == len(times) and (mean is None) == (got[k].ewma_gap is None) and (mean is None or abs(mean - got[k].ewma_gap) < 1e-6)
+
+
+def test_replay_states(spark):
+    r = random.Random(8)
+    rows = [(f"s{r.randint(0, 4)}", t, t, r.random() < 0.4, r.random() < 0.8) for t in range(300)]
+    df = spark.createDataFrame(rows, "s string, t long, e long, bad boolean, judged boolean")
+    got = {(x.s, x.t): x.state for x in quality.replay_states(df, "s", "t", "e", "bad", "judged").collect()}
+    want, held = {}, {}
+    for s, t, _, b, j in rows:
+        held[s] = quality.next_state(*held.get(s, ("healthy", 0))[:1], b, j, held.get(s, ("healthy", 0))[1])
+        want[s, t] = held[s][0]
+    assert got == want
