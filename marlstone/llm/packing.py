@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.scale import held, slices, written
+from marlstone.llm.scale import held, mapped, slices, written
 from marlstone.llm.word_bpe import Bounded, byte_letters, splitter, vocabulary
 
 
@@ -123,7 +123,7 @@ class WordIds:
         self.model = Tokenizer(Tokenizer.from_str(source).model)
         self.letters = byte_letters()
         self.specials = {w: packed_ids([i]) for w, i in specials.items()}
-        self.known = Bounded(lambda w: self.encode([w])[0], 500_000)
+        self.known = Bounded(lambda w: self.encode([w])[0], 350_000)
 
     def encode(self, words: list[str]) -> list[bytes]:
         at = self.letters.__getitem__
@@ -175,7 +175,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *big, pa.array([part] * len(rows), pa.int32()), pa.array(rank, pa.int64())], [id_col, "piece", "start", "length", "ids_crc32", "_part", "_rank"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, _part int, _rank long")
+    return mapped(rows, run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, _part int, _rank long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.scale import slices
+from marlstone.llm.scale import mapped, slices
 from marlstone.llm.toxicity import logistic
 
 #: Labelled rows and unlabelled rows that the classifiers are fitted on at most (about; chosen by hash of the id).
@@ -157,7 +157,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str =
             text, m = _views(batch)
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64())), batch.column("_y")], ["i", "t", "m", "y"])
 
-    found = rows.mapInArrow(measure, "i string, t array<double>, m array<double>, y double").toPandas().sort_values("i")
+    found = mapped(rows, measure, "i string, t array<double>, m array<double>, y double").toPandas().sort_values("i")
     if not len(found):
         return None
     return co_train(np.stack(found["t"]), np.stack(found["m"]), found["y"].to_numpy(float))
@@ -184,4 +184,4 @@ def score_quality(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *map(pa.array, three), pa.array((three[0] >= 0.5).astype(np.int32))], names)
 
     rows = _rows(docs, id_col, text_col, meta)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, score double, text_score double, meta_score double, predicted int")
+    return mapped(rows, run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, score double, text_score double, meta_score double, predicted int")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -12,15 +14,17 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marlstone.sources.shipping import ship
 
-__all__ = ["crc32_mod", "held", "key_filter", "marked", "shared_dir", "ship", "slices", "unused", "without", "written"]
+__all__ = ["crc32_mod", "held", "key_filter", "mapped", "marked", "shared_dir", "ship", "slices", "unused", "without", "written"]
 
 #: Bits of a key filter. 2^22 bits are at most 65,536 words of 64 bits, about 1 MB, whatever the input size.
 FILTER_BITS = 22
-#: Bytes of text handed to numpy or regex work at once.
-SLICE_BYTES = 8 << 20
+#: Bytes of a record batch between Spark and Python, and of text handed to numpy or regex work at once.
+BATCH_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 _own: dict[str, str] = {}
@@ -84,6 +88,21 @@ def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return sure.unionByName(rest)
 
 
+def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors and record batches of ``BATCH_BYTES`` at most, so that long rows don't add up."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+def trimmed() -> None:
+    """Give memory that is free in this worker back to the system; it would else stay with the worker between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of ``column``; a single longer row stays whole."""
     for batch in batches:
@@ -96,6 +115,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             total += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+        trimmed()
+    trimmed()
 
 
 _held: dict = {}

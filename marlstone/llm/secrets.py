@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.scale import slices
+from marlstone.llm.scale import mapped, slices
 
 # Kinds in the order in which they are listed, their patterns, and their least lengths.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -125,7 +125,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(n, pa.int64()) for n in counts), pa.array(digests, pa.string()), pa.array(texts, pa.string())], [id_col, "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+    return mapped(rows, run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
 
 
 def redact(text: str, mark: str = "[SECRET]") -> str:
@@ -155,4 +155,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                 columns[length_col] = pa.array([v if a == b else len(b) for a, b, v in zip(old, new, batch.column(length_col).to_pylist(), strict=True)], kind)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.scale import slices, written
+from marlstone.llm.scale import mapped, slices, written
 
 #: A unit of fewer words is no passage; it is never removed.
 LEAST_WORDS = 8
@@ -58,7 +58,7 @@ def hashed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(rows, pa.int64())), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], ["_id", "_start", "_end", "_digest"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _start int, _end int, _digest binary")
+    return mapped(rows, run, f"_id {rows.schema['_id'].dataType.simpleString()}, _start int, _end int, _digest binary")
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str, ...] = LEVELS, least: int = LEAST_WORDS) -> DataFrame:

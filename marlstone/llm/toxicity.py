@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.scale import slices
+from marlstone.llm.scale import mapped, slices
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n]+")
@@ -156,7 +156,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
         keys = list(n[0].keys() | n[1].keys())
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in n)], ["term", "n0", "n1"])
 
-    terms = rows.mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    terms = mapped(rows, count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     terms = terms.where(F.col("n1") >= LEAST_DOCS).orderBy(F.desc(F.col("n1") / (F.col("n0") + 1)), "term").limit(3 * TERMINALS).toPandas()
     size = {k: (a, b) for k, a, b in terms.itertuples(index=False) if k == ""} or {"": tuple(rows.agg(F.count(F.when(F.col("_y") == 0, 1)), F.count(F.when(F.col("_y") != 0, 1))).first())}
     none, some = size[""]
@@ -175,7 +175,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
             x = [scorer_of(insults).features(t) for t in batch.column("_t").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in x], pa.float64()) for k in range(4)] + [batch.column("_y").cast(pa.float64())], [*"abcd", "y"])
 
-    x = rows.mapInArrow(measure, "a double, b double, c double, d double, y double").toPandas().to_numpy()
+    x = mapped(rows, measure, "a double, b double, c double, d double, y double").toPandas().to_numpy()
     if len({*x[:, 4]}) < 2:
         return Grammar(insults)
     return Grammar(insults, scorer.g.threats, tuple(logistic(x[:, :4], x[:, 4]).tolist()))
@@ -208,4 +208,4 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], [id_col, "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, score double, predicted int")
+    return mapped(rows, run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, score double, predicted int")
