@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.scale import slices, without, written
+from marlstone.llm.scale import mapped, slices, without, written
 
 #: Rows of one part of a shard; larger shards are dealt to pairs of parts.
 PART = 40_000
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *map(pa.array, found)], [id_col, *names])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    return mapped(rows, run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -248,7 +248,7 @@ def near_links(classes: DataFrame, radius: int = 4, part: int = PART, keys: list
         if held:
             yield links(np.concatenate(held))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return mapped(rows, run, "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -258,16 +258,17 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     to its smallest neighbour, then its smaller ones do. The links turn into
     stars around the smallest ids in a number of rounds that grows with the
     logarithm of the component's size. Each round is written to the shared
-    folder. A hub's rows are split by adaptive execution, as both sides of
-    each join are narrow.
+    folder. Both sides of each join are written tables,
+    so adaptive execution can split a hub's rows.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = written(small.where("u <> v").distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
