@@ -172,7 +172,11 @@ def length_profile_shift(spark, d):
     return x.groupBy(F.col("lang").alias("g")).agg(hist(0).alias("p"), hist(1).alias("q")).select("g", F.round(stats.total_variation(F.col("p"), F.col("q")), 9).alias("tv"))
 
 
-@query("with c as (select user_id % 30 as k, count(*) as v, user_id % 30 % 6 as g from events group by all), m as (select k, v, g, (select list(v) from c d where d.g = c.g) as a from c), s as (select *, list_sort(a) as b from m), t as (select k, v, (b[3] + b[len(b) - 2]) / 2.0 as med, b from s), u as (select *, list_sort(list_transform(b, lambda x: abs(x - med))) as dev from t) select k, round(0.6745 * (v - med) / dev[3], 6) as z from u where dev[3] > 0")
+ROBUST = """with c as (select user_id % 30 as k, count(*) as v, user_id % 30 % 6 as g from events group by all), m as (select g, median(v) as med, count(*) as n from c group by g), t as (select c.*, med, n, abs(v - med) as dev from c join m using (g)),
+    s as (select g, median(dev) as mad, avg(dev) as mean from t group by g) select k, case when n < 3 then null when mad > 1e-12 then round(0.6745 * (v - med) / mad, 6) when mean > 1e-12 then round((v - med) / (1.253314 * mean), 6) when abs(v - med) <= 0.02 then 0 else greatest(-25, least(25, (v - med) / 0.02)) end as z from t join s using (g)"""
+
+
+@query(ROBUST)
 def robust_scores(spark, d):
     c = table(spark, d, "events").groupBy(F.pmod("user_id", F.lit(30)).alias("k")).agg(N().cast("double").alias("v")).withColumn("g", F.pmod("k", F.lit(6)))
     a = c.groupBy("g").agg(F.collect_list("v").alias("a"))
