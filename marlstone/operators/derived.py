@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.filters import all_of, member, parse_filters, raw_type, trust_label, trust_rank
+from marlstone.sources.records import members
 
 #: Groups of more rows are marked stale on incremental upkeep instead of being summed.
 MAX_GROUP_SCAN = 10_000
@@ -102,7 +103,7 @@ def row_values(spec: Spec, records: DataFrame) -> DataFrame:
     adaptive execution to broadcast if it turns out small.
     """
     src = records.where((F.col("app") == spec.app) & (F.col("dataset") == spec.source) & F.col("removed_at").isNull())
-    src = src.where(all_of(parse_filters(list(spec.filters)), F.col("data"), "memory"))
+    src = src.where(all_of(parse_filters(list(spec.filters)), F.col("data"), "memory", members(records)))
     fields = {out: member(F.col("data"), p) for out, p in spec.project.items()}
     if spec.lookup is None:
         data = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])) if fields else F.col("data")
@@ -117,11 +118,19 @@ def row_values(spec: Spec, records: DataFrame) -> DataFrame:
     return joined.select("key", F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}")).alias("data"), weakest.alias("trust"))
 
 
-def group_columns(spec: Spec) -> tuple[list[Column], Column]:
-    """Group texts, and whether all of them are strings or numbers."""
-    data = F.col("data")
-    ok = reduce(lambda a, b: a & b, [F.coalesce(raw_type(data, p).isin("string", "number"), F.lit(False)) for p in spec.group_by])
-    return [member(data, p).alias(field_name(p)) for p in spec.group_by], ok
+def group_columns(spec: Spec, typed: dict[str, tuple[Column, str]] | None = None) -> tuple[list[Column], Column]:
+    """Group texts, and whether all of them are strings or numbers; members held in typed columns are taken there."""
+    data, typed = F.col("data"), typed or {}
+    ok = [typed[p][0].isNotNull() if p in typed else F.coalesce(raw_type(data, p).isin("string", "number"), F.lit(False)) for p in spec.group_by]
+    texts = [typed[p][0].cast("string") if p in typed else member(data, p) for p in spec.group_by]
+    return [t.alias(field_name(p)) for t, p in zip(texts, spec.group_by, strict=True)], reduce(lambda a, b: a & b, ok)
+
+
+def number_of(path: str, typed: dict[str, tuple[Column, str]]) -> Column:
+    """The member where it is a number, else null."""
+    if path in typed:
+        return typed[path][0].cast("double") if typed[path][1] == "number" else F.lit(None).cast("double")
+    return F.when(raw_type(F.col("data"), path) == "number", member(F.col("data"), path).try_cast("double"))
 
 
 def group_values(spec: Spec, records: DataFrame, only: DataFrame | None = None, max_scan: int | None = None) -> DataFrame:
@@ -131,11 +140,12 @@ def group_values(spec: Spec, records: DataFrame, only: DataFrame | None = None,
     """
     validate(spec)
     src = records.where((F.col("app") == spec.app) & (F.col("dataset") == spec.source) & F.col("removed_at").isNull())
-    src = src.where(all_of(parse_filters(list(spec.filters)), F.col("data"), "memory" if only is None else "sql"))
-    groups, ok = group_columns(spec)
+    typed = members(records)
+    src = src.where(all_of(parse_filters(list(spec.filters)), F.col("data"), "memory" if only is None else "sql", typed))
+    groups, ok = group_columns(spec, typed)
     names = [field_name(p) for p in spec.group_by]
     sums = {n: parse_aggregate(a) for n, a in spec.aggregates.items()}
-    rows = src.where(ok).select(*groups, *[F.when(raw_type(F.col("data"), p) == "number", member(F.col("data"), p).try_cast("double")).alias(f"_{n}") for n, p in sums.items() if p])
+    rows = src.where(ok).select(*groups, *[number_of(p, typed).alias(f"_{n}") for n, p in sums.items() if p])
     if only is not None:
         rows = rows.join(only.select(*names).distinct(), names, "left_semi")
     aggs = [(F.count(F.lit(1)) if p is None else F.coalesce(F.sum(f"_{n}"), F.lit(0.0))).alias(n) for n, p in sums.items()]

@@ -93,3 +93,14 @@ def test_replay_states(spark):
         held[s] = quality.next_state(*held.get(s, ("healthy", 0))[:1], b, j, held.get(s, ("healthy", 0))[1])
         want[s, t] = held[s][0]
     assert got == want
+
+
+def test_group_values_typed_and_json_agree(spark):
+    from marlstone.operators import derived
+    from marlstone.sources import records
+
+    t = spark.createDataFrame([(1, "a", 5, 1.5), (2, "a", None, 2.0), (3, None, 7, 3.0), (4, "b", 9, None)], "k int, s string, n long, d double")
+    r = records.as_records(t, "x", "y", F.col("k"), F.lit("2024-01-01").cast("timestamp"))
+    spec = derived.Spec("x", "y", "z", ("$.d:numgte:1",), {}, None, ("$.s",), {"rows": "count", "total": "sum($.n)", "text": "sum($.s)"})
+    got = [sorted(map(tuple, derived.group_values(spec, df).collect())) for df in (r, r.drop("value"))]
+    assert got[0] == got[1] == [("a", 2, 5.0, 0.0)]
