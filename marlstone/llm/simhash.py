@@ -1,7 +1,8 @@
-"""Operator 5, SimHash near-dedup: exact pairs by vantage-point partitioning, and their connected components."""
+"""Operator 5, SimHash near-dedup: exact pairs by vantage-point partitioning; similar shingle sets by prefixes; connected components."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.scale import mapped, slices, without, written
+from marlstone.llm.scale import key_filter, mapped, marked, slices, without, written
 
 #: Rows of one part of a shard; larger shards are dealt to pairs of parts.
 PART = 40_000
@@ -21,22 +22,29 @@ LEAF = 96
 FEW = 12
 #: Rows up to which a table of large shards is broadcast.
 MOST_BROADCAST = 50_000
+#: Documents drawn to find common shingles, and common shingles kept at most; they only order a set, so neither changes a result.
+COMMON_DOCS, COMMON = 5_000, 1 << 16
 
 
-def shingle_bits(text: bytes, words: int = 4, seed: int = 42, distinct: bool = False) -> int:
-    """The fingerprint of one text in UTF-8: bit i is 1 if more than half of its shingles' hashes have it, repeats counted unless ``distinct``."""
+def shingles(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """The hash of every run of ``words`` words of a text in UTF-8, in order; of the whole text if it has fewer words."""
     units = text.lower().split()  # bytes: only A-Z change, and white space is \x20 and \x09-\x0D
     if not units:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(units) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(units), seed)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(units), seed)], np.uint64)
     flat = b" ".join(units)
     ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     n = len(units) - words + 1
-    h = np.fromiter([digest(flat[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())], np.uint64, n)
-    return majority(np.unique(h) if distinct else h)
+    return np.fromiter([digest(flat[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())], np.uint64, n)
+
+
+def shingle_bits(text: bytes, words: int = 4, seed: int = 42) -> int:
+    """The fingerprint of one text in UTF-8: bit i is 1 if more than half of its shingles' hashes have it, repeats counted."""
+    h = shingles(text, words, seed)
+    return int(h[0]) if len(h) == 1 else majority(h)
 
 
 def majority(h: np.ndarray) -> int:
@@ -47,18 +55,16 @@ def majority(h: np.ndarray) -> int:
     return int("".join("1" if 2 * x > len(h) else "0" for x in total), 2)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """One row (id, fp long, fp1 long, ...) for each row: 64 bits a seed as signed numbers; null and wordless texts have 0."""
-    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """One row (id, fp long) for each row: 64 bits as a signed number; null and wordless texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
-            texts = batch.column("_t").to_pylist()
-            found = [np.array([shingle_bits(t, words, seed, distinct) if t else 0 for t in texts], np.uint64).view(np.int64) for seed in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *map(pa.array, found)], [id_col, *names])
+            found = np.array([shingle_bits(t, words) if t else 0 for t in batch.column("_t").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found.view(np.int64))], [id_col, "fp"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"))
-    return mapped(rows, run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    return mapped(rows, run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, fp long")
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -161,34 +167,14 @@ def block_keys(bits: int, radius: int) -> list[str]:
     return [f"shiftleft({k}L, 32) + (shiftrightunsigned(fp, {lo}) & {(1 << hi - lo) - 1 if hi - lo < 64 else -1}L)" for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
-def sampled_keys(words: int, rows: int, agree: float, recall: float) -> list[str]:
-    """Keys of as many random sets of bits as it takes for ``recall`` at that share of agreeing bits.
-
-    A set has about log2 of the rows less two bits, so that shards of unlike
-    fingerprints stay at a few rows at every size; the number of sets follows.
-    """
-    size = max(8, math.ceil(math.log2(max(2, rows))) - 2)
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**size))
-    rng, out = np.random.default_rng(11), []
-    for t in range(tables):
-        masks = [0] * words
-        for b in rng.choice(64 * words, min(size, 64 * words), replace=False).tolist():
-            masks[b // 64] |= 1 << b % 64
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-        parts = [f"fp{k or ''} & {f'{m}L' if m > -(1 << 63) else 'shiftleft(1L, 63)'}" for k, m in enumerate(signed)]
-        out.append(f"xxhash64({t}, {', '.join(parts)})")
-    return out
-
-
-def near_links(classes: DataFrame, radius: int = 4, part: int = PART, keys: list[str] | None = None) -> DataFrame:
+def near_links(classes: DataFrame, radius: int = 4, part: int = PART) -> DataFrame:
     """Links (a, b) of ids in ``classes`` (fp, fp1..., id), distinct fingerprints, that connect pairs within ``radius``.
 
-    Without ``keys`` all pairs are connected, exactly: the 64 bits are cut into
+    All pairs are connected, exactly: the 64 bits are cut into
     ``radius + 1`` blocks. Two fingerprints within ``radius`` agree on one
     block at least, that is, in that block they lie in the same shell of radius
     0 around any vantage point, so each block's Hamming distance deals the rows
-    into shards. With ``keys`` these deal them, and pairs that meet in none are
-    missed. In its shard a fingerprint meets the others by vantage-point
+    into shards. In its shard a fingerprint meets the others by vantage-point
     partitioning on all bits (``link``); shards of a few rows are compared
     directly. A larger shard returns a spanning forest, at most one link a row,
     never all pairs. Shards of more than ``part`` rows are cut into parts by
@@ -197,7 +183,7 @@ def near_links(classes: DataFrame, radius: int = 4, part: int = PART, keys: list
     """
     names = [c for c in classes.columns if c.startswith("fp")]
     w = len(names)
-    rows = classes.select(*names, "id", F.explode(F.array(*map(F.expr, keys or block_keys(64, radius)))).alias("key"))
+    rows = classes.select(*names, "id", F.explode(F.array(*map(F.expr, block_keys(64, radius)))).alias("key"))
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part)
     large = written(large.select("key", F.ceil(F.col("n") / (part / 2)).cast("int").alias("parts")), "large")
     if large.count() <= MOST_BROADCAST:
@@ -301,23 +287,205 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.95, part: int = PART) -> DataFrame:
-    """One row (id, component_id) for each row: texts whose shingle sets overlap by ``similarity`` (Jaccard) or more hang together.
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
+    """Shingles that three or more of some ``COMMON_DOCS`` documents have, the rarer first, ``COMMON`` at most."""
+    share = int(min(1.0, COMMON_DOCS / max(1, docs.count())) * 1_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_t"):
+            found = [np.unique(shingles(t, words)) for t in batch.column("_t").to_pylist() if t]
+            h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    rows = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share).select(F.col(text_col).cast("binary").alias("_t"))
+    found = mapped(rows, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON)
+    return np.array([r["h"] for r in found.collect()][::-1], np.int64).view(np.uint64)
+
+
+def parity_sketch(h: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes, modulo a power of two of 64 or more and no less than their number: 1 if it is met an odd number of times."""
+    bits = max(64, 1 << (max(1, len(h)) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Members that two sets with these sketches don't share, at least: each bit that differs needs one. The longer sketch is folded to the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    n = min(len(a), len(b))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, n)) ^ np.bitwise_xor.reduce(b.reshape(-1, n))).sum(dtype=np.int64))
 
-    Fingerprints have 128 bits, on which unlike texts don't come close by
-    chance. Their distance estimates the overlap; two texts are linked up to
-    the distance expected at ``similarity`` and a standard deviation, so some
-    pairs slightly below are linked too. That many bits leave no block
-    whole, so shards are dealt by sampled bits; a pair just at ``similarity``
-    meets with probability ``recall``, a closer one more surely. Nulls, empty
-    texts, repeated rows and other columns: as for ``near_dedup``.
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """Rows (_id, fp, fp1, n, sketch, prefix): digest, size and sketch of the text's shingle set and the first shingles of it.
+
+    All sets are in one order: by hash, ``common`` ones last. Two sets of
+    Jaccard ``similarity`` or more share a shingle of their prefixes, since
+    each holds at least n * similarity shingles of the other.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(128 * share + math.sqrt(128 * share * (1 - share)))
-    rows = written(fingerprints(docs, id_col, text_col, words, (42, 43), True).select(F.col(id_col).cast("long").alias("_id"), "fp", "fp1"), "fingerprints")
-    classes = written(rows.groupBy("fp", "fp1").agg(F.min("_id").alias("id")), "classes")
-    known = classes.where("id is not null")
-    found = components(near_links(known, radius, part, sampled_keys(2, known.count(), 1 - share, recall)))
+    by_hash = np.argsort(common)
+    known = common[by_hash]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_t"):
+            digests, sizes, sketches, first = [], [], [], []
+            for text in batch.column("_t").to_pylist():
+                h = np.unique(shingles(text or b"", words))
+                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                sizes.append(len(h))
+                sketches.append(parity_sketch(h))
+                if len(known) and len(h):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, by_hash[at] + 1, 0), kind="stable")]
+                first.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
+            fp = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in first])))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists], ["_id", "fp", "fp1", "n", "sketch", "prefix"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_t"))
+    return mapped(rows, run, "_id long, fp long, fp1 long, n long, sketch binary, prefix array<long>")
+
+
+def may_be_similar(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles whose first shared one is at ``p`` and ``q`` can be similar. Later shared ones may say no."""
+    return np.minimum(n - p, m - q) >= similarity / (1 + similarity) * (n + m) - 1e-6
+
+
+def close_pairs(points: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ids in ``points`` (h, at, id, n, pos) that share h and at and are within ``FEW`` rows of each other by size."""
+    rows = points.select("h", "at", "n", "id", "pos").repartition("h", "at").sortWithinPartitions("h", "at", "n", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.zeros((0, 5), np.int64)
+        for batch in batches:
+            x = np.concatenate([tail, np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
+            out = []
+            for step in range(1, FEW + 1):
+                a, b = x[:-step], x[step:]
+                new = max(0, len(tail) - step)  # pairs within the tail were given before
+                a, b = a[new:], b[new:]
+                hit = (a[:, 0] == b[:, 0]) & (a[:, 1] == b[:, 1])
+                a, b = a[hit], b[hit]
+                hit = may_be_similar(a[:, 2], a[:, 4], b[:, 2], b[:, 4], similarity)
+                out.append(np.stack([a[hit, 3], b[hit, 3]], axis=1))
+            tail = x[-FEW:]
+            both = np.sort(np.concatenate(out), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return mapped(rows, run, "a long, b long").where("a <> b").distinct()
+
+
+def all_pairs(points: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ids in ``points`` (h, parts, at, id, n, pos, c) that share h, can be similar and differ in c.
+
+    As in ``near_links`` a bucket of many parts is dealt to pairs of parts.
+    """
+    deal = F.expr("""transform(sequence(0, parts - 1), x -> named_struct('i', least(x, at), 'j', greatest(x, at), 'side', if(at > x, 1, 0)))""")
+    rows = points.select("h", "n", "id", "pos", "c", F.explode(deal).alias("s")).select("h", "s.i", "s.j", "n", "s.side", "id", "pos", "c")
+    rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n")
+
+    def pairs(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of one shard, whose rows are sorted by size."""
+        n = x[:, 3]
+        across = (x[:, 4] != x[0, 4]).any()
+        step = max(1, (1 << 18) // len(x))
+        for at in range(0, len(x), step):
+            rows = np.arange(at, min(at + step, len(x)))
+            to = np.searchsorted(n, n[rows[-1]] / similarity + 1e-6, "right")
+            u, v = x[rows][:, None], x[at:to][None]
+            hit = may_be_similar(u[..., 3], u[..., 6], v[..., 3], v[..., 6], similarity) & (u[..., 7] != v[..., 7]) & (np.arange(at, to) > rows[:, None])
+            if across:
+                hit &= u[..., 4] != v[..., 4]
+            i, j = np.nonzero(hit)
+            both = np.sort(np.stack([x[rows[i], 5], x[at + j, 5]], axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            for part in np.split(x, np.flatnonzero((x[1:, :3] != x[:-1, :3]).any(axis=1)) + 1):
+                if held and (held[-1][-1, :3] != part[0, :3]).any():
+                    yield from pairs(np.concatenate(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from pairs(np.concatenate(held))
+
+    return mapped(rows, run, "a long, b long").distinct()
+
+
+def possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches in ``classes`` (id, n, sketch) don't rule out ``similarity``; no similar pair is lost."""
+    left, right = (classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in ("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            found = [least_difference(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+            hit = np.array(found, np.int64) <= (1 - similarity) / (1 + similarity) * n + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b), of ids, whose shingle sets have Jaccard ``similarity`` or more, computed on the sets as a whole."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "ids")
+    known = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_t"))
+    known = marked(known, key_filter(ids, F.col("_id")), F.col("_id"), "_maybe").where("_maybe").drop("_maybe").join(ids, "_id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_t"):
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([np.unique(shingles(t or b"", words)).tobytes() for t in batch.column("_t").to_pylist()], pa.binary())], ["_id", "_s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_s"):
+            hit = []
+            for x, y in zip(batch.column("_s"), batch.column("_r"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    known = written(mapped(known, sets, "_id long, _s binary"), "sets")
+    rows = pairs.join(known.select(F.col("_id").alias("a"), "_s"), "a").join(known.select(F.col("_id").alias("b"), F.col("_s").alias("_r")), "b")
+    return mapped(rows.select("a", "b", "_s", "_r"), run, "a long, b long").distinct()
+
+
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, part: int = PART) -> DataFrame:
+    """One row (id, component_id) for each row: texts whose shingle sets overlap by ``similarity`` (Jaccard) or more hang together, and no others.
+
+    Equal sets are one class. Similar sets share a shingle of their prefixes
+    (``shingle_sets``), so rows meet by these; pairs that can be similar by
+    sizes, places and sketches are checked on the whole sets. One pair a row,
+    of neighbours by size where more than ``FEW`` rows share a shingle, is
+    checked first, and then all pairs that these links left in different
+    components, so a group of K copies doesn't cost K^2 pairs. Nulls, empty texts, repeated rows and
+    other columns: as for ``near_dedup``.
+    """
+    rows = written(shingle_sets(docs, id_col, text_col, words, similarity, common_shingles(docs, id_col, text_col, words)), "shingles")
+    classes = written(rows.groupBy("fp", "fp1").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "classes")
+    points = classes.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "h"))
+    large = points.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FEW)
+    large = written(large.select("h", F.ceil(F.col("k") / (part / 2)).cast("int").alias("parts")), "large")
+    some = large.count()
+    if some <= MOST_BROADCAST:
+        large = F.broadcast(large)
+    points = points.join(large, "h", "left").withColumn("at", F.pmod(F.xxhash64("id", "h"), F.coalesce("parts", F.lit(1))).cast("int"))
+    known = classes.where("id is not null").select("id", "n", "sketch")
+    close = written(possible(close_pairs(points, similarity), known, similarity), "pairs")
+    links = written(verified(written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"), docs, id_col, text_col, words, similarity), "similar")
+    now = written(components(links), "components").select("id", F.col("component").alias("c"))
+    named = close.join(now.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a", "left").join(now.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b", "left")
+    rest = named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    if some:
+        apart_ = points.where("parts is not null").join(now, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        rest = rest.unionByName(possible(all_pairs(apart_, similarity), known, similarity)).distinct()
+    more = verified(written(rest, "pairs"), docs, id_col, text_col, words, similarity)
+    found = components(links.unionByName(written(more, "similar")))
     named = written(classes.join(found, "id", "left").select(F.col("fp").alias("_f"), F.col("fp1").alias("_g"), F.coalesce("component", "id").alias("component_id")), "named")
     return rows.join(named, (F.col("fp") == F.col("_f")) & (F.col("fp1") == F.col("_g"))).select(F.col("_id").alias(id_col), "component_id")
 

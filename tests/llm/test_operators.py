@@ -261,6 +261,47 @@ def test_similar_texts(spark, docs):
     assert simhash.drop_near_copies(docs).columns == docs.columns
 
 
+def shingle_set(text, n=5):
+    w = text.encode().lower().split()
+    return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute_similar(texts, similarity=0.8):
+    """The component of each id: texts are linked if their five-word shingle sets have that Jaccard."""
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    comp = {i: i for i in texts}
+    for i, j in itertools.combinations(texts, 2):
+        both = len(sets[i] & sets[j])
+        if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((comp[i], comp[j]))
+            comp = {k: a if c == b else c for k, c in comp.items()}
+    return comp
+
+
+def around_similarity(seed=3, pairs=150):
+    """Pairs of texts with Jaccard from about 0.7 to 0.9, some within a long text that many share."""
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(3000)]
+    shared, texts = r.choices(words, k=160), {}
+    for k in range(pairs):
+        own = r.choices(words, k=r.choice((30, 60, 120)))
+        base = own + shared if k % 3 == 0 else own * 2
+        share = r.uniform(0.7, 0.9)
+        changed = base[:]
+        for at in r.sample(range(len(base)), round(len(base) * (1 - share) / (1 + share) / 5 * (1 + (k % 3 > 0)))):
+            changed[at] = r.choice(words)
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(changed)
+    return texts
+
+
+@pytest.mark.parametrize("part", [10, 100_000])
+def test_similar_is_jaccard(spark, part):
+    ship(spark)
+    texts = around_similarity()
+    got = {x.doc_id: x.component_id for x in simhash.similar_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), part=part).collect()}
+    assert got == brute_similar(texts)
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (5, 5)], "a long, b long")
     got = {r.id: r.component for r in simhash.components(links).collect()}
