@@ -27,6 +27,10 @@ TRAIN_DOCS, TRAIN_GRAMS, TRAIN_LANGS = 1_500, 30_000, 200
 #: Weight of a gram, bound of what one word can say, cost of a switch, and of a script that a language doesn't use.
 GRAM_WEIGHT, WORD_BOUND, SWITCH, WRONG_SCRIPT = 0.5, 6.0, 9.0, 12.0
 BLOCK = 32
+#: Letters of a piece at most, in scripts that set blanks between words and in those that don't.
+PIECE_LETTERS, UNSPACED_LETTERS, UNSPACED = 40, 4, ("thai", "kana", "han")
+_RANGES = {s: "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) for s, ranges in SCRIPTS.items()}
+PIECE = re.compile("|".join(f"[{x}]{{1,{UNSPACED_LETTERS if s in UNSPACED else PIECE_LETTERS}}}" for s, x in _RANGES.items()) + f"|[^{''.join(_RANGES.values())}]{{1,{PIECE_LETTERS}}}")
 
 
 def script_of(word: str) -> str:
@@ -35,10 +39,13 @@ def script_of(word: str) -> str:
     return next((s for s, ranges in SCRIPTS.items() if any(a <= c <= b for a, b in ranges)), "other")
 
 
+def pieces(run: str) -> list[str]:
+    """The words of a run of letters: cut where the script changes, and after so many letters of one; no letter is left out."""
+    return [run] if PIECE.match(run).end() == len(run) else PIECE.findall(run)
+
+
 def grams(word: str) -> list[str]:
-    """Runs of one to four characters of the word within blanks, at most of its first 40 letters and last 40."""
-    if len(word) > 80:
-        return grams(word[:40]) + grams(word[-40:])
+    """Runs of one to four characters of the word within blanks."""
     w = f" {word} "
     k = len(w)
     return [*word, *[w[i : i + 2] for i in range(k - 1)], *[w[i : i + 3] for i in range(k - 2)], *[w[i : i + 4] for i in range(k - 3)]]
@@ -98,10 +105,11 @@ def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_c
                 words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
             for lang, found in words.items():
                 n: Counter = Counter()
-                for w, k in found.items():
-                    n["s" + script_of(w)] += k
-                    for g in grams(w):
-                        n["g" + g] += k
+                for run, k in found.items():
+                    for w in pieces(run):
+                        n["s" + script_of(w)] += k
+                        for g in grams(w):
+                            n["g" + g] += k
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["lang", "gram", "n"])
 
     table = mapped(drawn, count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -219,8 +227,12 @@ class Labeller:
             self._turn()
         words = [WORD.findall(t.lower()) for t in texts]
         row = self.row
-        if new := list({w for x in words for w in x if w not in row}):
-            self._learn(new)
+        new = {w for x in words for w in x if w not in row}
+        if broken := {w: p for w in new if len(p := pieces(w)) > 1}:
+            words = [[p for w in x for p in broken.get(w, (w,))] for x in words]
+            new = {w for x in words for w in x if w not in row}
+        if new:
+            self._learn(list(new))
         found = [np.fromiter(map(row.__getitem__, x), np.int64, len(x)) for x in words]
         return viterbi(found, self.scores)
 
@@ -233,7 +245,8 @@ class Labeller:
             edge = edge[:0]
         if not len(edge):
             return [{"start": 0, "end": len(text), "lang": self.model.langs[int(np.bincount(labels).argmax())]}]
-        at = [(m.start(), m.end()) for m in WORD.finditer(text.lower())]
+        low = text.lower()
+        at = [m.span() for run in WORD.finditer(low) for m in PIECE.finditer(low, *run.span())]
         bounds = [0, *edge.tolist(), len(labels)]
         return [{"start": at[a][0], "end": at[b - 1][1], "lang": self.model.langs[int(labels[a])]} for a, b in zip(bounds, bounds[1:], strict=False)]
 

@@ -377,6 +377,24 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in language.identify_languages(docs, None).collect()} == {"und"}
 
 
+def test_runs_without_blanks(spark):
+    """Every letter of a long run counts, and a run of two scripts has two spans."""
+    ship(spark)
+    r = random.Random(1)
+    letters = {"x": "abcdefgh", "y": "mnopqrst", "zh": [chr(0x4E00 + k) for k in range(60)]}
+    text = lambda lang, n: "".join(r.choices(letters[lang], k=n))
+    known = [(20 * k + j, " ".join(text(lang, 6) for _ in range(200)), lang) for k, lang in enumerate(letters) for j in range(20)]
+    model = language.fit_languages(spark.createDataFrame(known, "doc_id long, text string, lang string"), F.lit(True))
+    mixed = text("zh", 90) + text("x", 90)
+    rows = [(1, text("x", 60) + text("y", 2000) + text("x", 60)), (2, mixed), (3, text("zh", 3000) + " " + " ".join(text("x", 5) for _ in range(20)))]
+    got = {g.doc_id: g for g in language.identify_languages(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1].lang_pred == "y" and got[1].score > 0.8
+    assert [(s.start, s.end, s.lang) for s in got[2].spans] == [(0, 90, "zh"), (90, 180, "x")]
+    assert got[3].lang_pred == "zh"
+    for run in (mixed, rows[0][1], "été", "кот" + "ab" * 50 + "ক"):
+        assert "".join(language.pieces(run)) == run and all(len({language.script_of(c) for c in p}) == 1 and len(p) <= 40 for p in language.pieces(run))
+
+
 # --- toxicity --------------------------------------------------------------
 
 
