@@ -1,4 +1,4 @@
-"""Operator 2, substring dedup: units (lines and their sentences, or paragraphs) hashed, grouped, and all but the earliest removed."""
+"""Operator 2, substring dedup: units (paragraphs, lines, runs of lines, sentences) hashed, grouped, and all but the earliest removed."""
 
 from __future__ import annotations
 
@@ -14,36 +14,72 @@ from marlstone.llm.scale import mapped, slices, written
 
 #: A unit of fewer words is no passage; it is never removed.
 LEAST_WORDS = 8
-#: Lines, and their sentences: a passage may fill a line or lie within one.
-LEVELS = ("line", "sentence")
+#: Paragraphs, lines, runs of lines where lines are short, and sentences: a passage may fill a line, lie within one, or take several.
+LEVELS = ("paragraph", "line", "run", "sentence")
+_ENDS = "。！？｡।॥؟۔"  # these end a sentence whether or not a blank follows
 PATTERNS = {
     "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+"),
     "line": re.compile(r"[^\n]+"),
-    "sentence": re.compile(r"[^\n.!?]+(?:[.!?]+(?!\s)[^\n.!?]+)*[.!?]*"),
+    "sentence": re.compile(rf"[^\n.!?{_ENDS}]+(?:[.!?]+(?!\s)[^\n.!?{_ENDS}]+)*[.!?{_ENDS}]*"),
 }
 NOT_WORD = re.compile(r"[\W_]+")
+#: Letters of scripts that set no blanks between words: Thai, Lao, Burmese, Khmer, kana, Han. Two of them count as a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
+
+
+def normalised(part: str) -> str:
+    """Lower case, and every run of anything but letters and digits is one blank."""
+    return NOT_WORD.sub(" ", part.lower()).strip()
+
+
+def word_count(words: str) -> int:
+    """Words of a normalised text."""
+    return (words.count(" ") + 1 if words else 0) + (0 if words.isascii() else len(UNSPACED.findall(words)) // 2)
+
+
+def runs(text: str, least: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised text) of the shortest run of lines with ``least`` words from each line of fewer on, and up to it.
+
+    They depend on nothing outside, and together cover every stretch of whole
+    lines that has so many words; lines without words don't count.
+    """
+    lines = []
+    for m in PATTERNS["line"].finditer(text):
+        if words := normalised(m[0]):
+            lines.append((m.start() + len(m[0]) - len(m[0].lstrip()), m.start() + len(m[0].rstrip()), words, word_count(words)))
+    for k, line in enumerate(lines):
+        if line[3] >= least:
+            continue
+        for step, stop in ((1, len(lines)), (-1, -1)):
+            n = 0
+            for j in range(k, stop, step):
+                n += lines[j][3]
+                if n >= least:
+                    i, j = min(j, k), max(j, k)
+                    yield lines[i][0], lines[j][1], " ".join(x[2] for x in lines[i : j + 1])
+                    break
 
 
 def units(text: str, levels: tuple[str, ...] = LEVELS, least: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the text's units with at least ``least`` words, in code points of the text.
+    """(start, end, digest) of the text's units with at least ``least`` words, in code points of the text, by ``normalised``.
 
-    Normalised: lower case, and every run of anything but letters and digits is
-    one blank. A unit that spans one of the level before is that one again and
-    isn't repeated.
+    A unit that spans one of a level before is that one again and isn't repeated.
     """
     found: dict[tuple[int, int], bytes] = {}
     for level in levels:
-        for m in PATTERNS[level].finditer(text):
-            part = m[0]
-            a, b = m.start() + len(part) - len(part.lstrip()), m.start() + len(part.rstrip())
-            if (a, b) in found:
-                continue
-            words = NOT_WORD.sub(" ", part.lower()).strip()
-            if words.count(" ") >= least - 1:
+        for a, b, words in runs(text, least) if level == "run" else parts(text, level):
+            if (a, b) not in found and word_count(words) >= least:
                 found[a, b] = hashlib.blake2b(words.encode(), digest_size=16).digest()
     return [(a, b, h) for (a, b), h in sorted(found.items())]
 
 
+def parts(text: str, level: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised text) of the level's parts without blanks around them."""
+    for m in PATTERNS[level].finditer(text):
+        part = m[0]
+        yield m.start() + len(part) - len(part.lstrip()), m.start() + len(part.rstrip()), normalised(part)
+
+
 def hashed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str, ...] = LEVELS, least: int = LEAST_WORDS) -> DataFrame:
     """Rows (_id, _start, _end, _digest) for the units of every text."""
 

@@ -463,6 +463,25 @@ def test_repeated_units(spark, docs):
     assert substrings.repeated_units(docs).count() >= 0
 
 
+def test_repeated_short_lines(spark):
+    """Passages in short lines, and in scripts without blanks, are found as a whole."""
+    ship(spark)
+    r = random.Random(2)
+    lines = lambda n: [" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(6)) for _ in range(n)]
+    verse = "\n".join([*lines(9), "one tail"])
+    han = "".join(chr(0x4E00 + r.randrange(4000)) for _ in range(40)) + "。"
+    rows = [(1, "\n".join([*lines(2), verse, *lines(2)])), (2, "\n".join([*lines(1), verse, *lines(3)])), (3, f"始{han}"), (4, f"天地。{han}人")]
+    rows[2] = (3, f"大。{han}")
+    texts = dict(rows)
+    spans = defaultdict(list)
+    for x in substrings.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans[x.doc_id].append((x.start, x.end))
+    covered = lambda i: {k for a, b in spans[i] for k in range(a, b)}
+    at = texts[2].index(verse)
+    assert covered(2) == set(range(at, at + len(verse)))
+    assert covered(4) == set(range(3, 3 + len(han))) and set(spans) == {2, 4}
+
+
 # --- media -----------------------------------------------------------------
 
 
