@@ -101,7 +101,8 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row (id, start, end, keep_id, keep_start, occurrences) for each unit to remove.
 
     Units rank by id and then by start; the first of a digest stays, all later
-    ones go. A line that goes holds sentences that go; their rows are given too. Offsets are those of the original text. Counts and the first
+    ones go, but none that overlaps the one that stays (a line and its sentence
+    may read the same, and runs of equal lines overlap). A line that goes holds sentences that go; their rows are given too. Offsets are those of the original text. Counts and the first
     occurrence combine on the map side; a digest that many rows share is split
     by adaptive execution in the join back, where rows are narrow.
 
@@ -111,10 +112,10 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty table gives an empty result.
     """
     found = written(hashed_units(docs, id_col, text_col, levels, least), "units")
-    first = found.groupBy("_digest").agg(F.min(F.struct("_id", "_start")).alias("_first"), F.max(F.struct("_id", "_start")).alias("_last"), F.count(F.lit(1)).alias("occurrences"))
+    first = found.groupBy("_digest").agg(F.min(F.struct("_id", "_start", "_end")).alias("_first"), F.max(F.struct("_id", "_start", "_end")).alias("_last"), F.count(F.lit(1)).alias("occurrences"))
     first = written(first.where("not (_first <=> _last)").drop("_last"), "first")  # else the join takes the aggregation's partitions, which can't be split
     joined = found.join(first, "_digest")
-    return joined.where(~F.struct("_id", "_start").eqNullSafe(F.col("_first"))).select(
+    return joined.where("not (_id <=> _first._id and _start < _first._end)").select(
         F.col("_id").alias(id_col), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_first._id").alias("keep_id"), F.col("_first._start").alias("keep_start"), "occurrences"
     )
 

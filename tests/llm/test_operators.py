@@ -482,6 +482,14 @@ def test_repeated_short_lines(spark):
     assert covered(4) == set(range(3, 3 + len(han))) and set(spans) == {2, 4}
 
 
+def test_keeper_stays_whole(spark):
+    """A line that reads like its own sentence is no repeat of it; nor is a run of lines of the run that it overlaps."""
+    ship(spark)
+    rows = [(1, "...and then he said that it was all over now."), (2, "la le li lo\n" * 4)]
+    got = substrings.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end) for r in got} == {(2, 24, 47)}
+
+
 # --- media -----------------------------------------------------------------
 
 
