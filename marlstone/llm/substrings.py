@@ -127,3 +127,31 @@ def removed(text: str, spans: list[tuple[int, int]]) -> str:
         out.append(text[at:a])
         at = max(at, b)
     return "".join(out) + text[at:]
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str, ...] = LEVELS, least: int = LEAST_WORDS) -> DataFrame:
+    """One row (id, text, spans) for each row: the text without its repeated units, and what went as (start, end) in the original text.
+
+    Spans that touch or overlap are one. Texts without repeats, nulls and texts
+    of null ids, which can't be told apart, stay whole with no spans.
+    """
+    gone = repeated_units(docs, id_col, text_col, levels, least).where(F.col(id_col).isNotNull())
+    gone = written(gone.groupBy(F.col(id_col).alias("_gone")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")), "spans")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(gone, F.col("_id") == F.col("_gone"), "left").select("_id", "_t", "_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_t"):
+            texts, merged = [], []
+            for text, spans in zip(batch.column("_t").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                out: list[dict] = []
+                for x in spans or []:
+                    if out and x["start"] <= out[-1]["end"]:
+                        out[-1]["end"] = max(out[-1]["end"], x["end"])
+                    else:
+                        out.append(dict(x))
+                merged.append(out)
+                texts.append(removed(text, [(x["start"], x["end"]) for x in out]) if text and out else text)
+            kind = pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()}))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(texts, pa.string()), pa.array(merged, kind)], [id_col, text_col, "spans"])
+
+    return mapped(rows, run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, `{text_col}` string, spans array<struct<start:int,end:int>>")

@@ -490,6 +490,15 @@ def test_keeper_stays_whole(spark):
     assert {(r.doc_id, r.start, r.end) for r in got} == {(2, 24, 47)}
 
 
+def test_without_repeats(spark, docs):
+    a, b = "This passage has more than eight words in every single line.", "Another passage that also has more than eight words, indeed."
+    rows = [(1, f"{a}\nshort"), (2, f"start\n{a} {b}\nend"), (3, f"x {b}\n{b}"), (4, None), (5, "")]
+    got = {r.doc_id: r for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.text for i, r in got.items()} == {1: rows[0][1], 2: f"start\n {b}\nend", 3: f"x {b}\n", 4: None, 5: ""}
+    assert [tuple(s) for s in got[2].spans] == [(6, 6 + len(a))] and not got[1].spans
+    assert substrings.without_repeats(docs).count() == docs.count()
+
+
 # --- media -----------------------------------------------------------------
 
 
