@@ -12,7 +12,7 @@ PREFIX = 256
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: bool = False) -> DataFrame:
-    """One row (id, keep_id, group_size, kept[, text_sha256]) for each row of ``docs``.
+    """One row (id, keep_id, group_size, kept, text_sha256) for each row of ``docs``.
 
     Of rows with equal text the one with the largest id stays. A row is told
     apart as early as it can be: rows of a length that no other row has, and
@@ -28,7 +28,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same document listed again: each counts in ``group_size`` and all carry the
     same ``kept``. Other columns are ignored whatever their names. An empty
     table gives an empty result. With ``digest`` the SHA-256 is given for
-    every row.
+    every row, else it is null for rows told apart before.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t"))
@@ -53,13 +53,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     unique = full if digest else marked(keys, bitmap, F.struct("_n", "_p"), "_m").withColumn("_t", F.lit(""))
     alone = unique.where("not _m").select(
-        F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256")
+        F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), (sha if digest else F.lit(None).cast("string")).alias("text_sha256")
     )
-    out = alone.unionByName(hashed)
-    return out if digest else out.drop("text_sha256")
+    return alone.unionByName(hashed)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its own columns, without the rows that ``exact_dedup`` doesn't keep. Ids are taken to be distinct."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(id_col)
-    return without(docs, written(gone, "copies"), id_col)
+    """``docs`` with its own columns, without the rows that ``exact_dedup`` doesn't keep.
+
+    Decided row by row, by id and SHA-256 of the text: another text under the
+    same id stays. Rows that repeat the kept id and text stay; rows of a null
+    id stay. An empty table gives an empty one.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    gone = written(exact_dedup(docs, id_col, text_col).where("not kept").select(id_col, "text_sha256"), "copies")
+    return without(docs, gone, id_col, {"text_sha256": F.sha2(text.cast("binary"), 256)})

@@ -75,16 +75,22 @@ def marked(df: DataFrame, bitmap: DataFrame, key: Column, name: str) -> DataFram
     return out.join(small, F.shiftright(F.col(h), 6) == F.col(word), "left").withColumn(name, hit).drop(h, word, mask)
 
 
-def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+def without(docs: DataFrame, gone: DataFrame, key: str, also: dict[str, Column] | None = None) -> DataFrame:
     """``docs`` without the rows whose ``key`` is in ``gone``. Only rows that a fixed-size filter can't clear are shuffled.
 
-    Null keys stay. Columns of ``docs`` keep their order and names.
+    With ``also``, columns of ``gone`` by what they must equal in ``docs`` (the
+    digest of a text), a row goes only if these agree too, so other rows of the
+    same key stay. Null keys stay. Columns of ``docs`` keep their order and names.
     """
     maybe, id_ = unused(docs, "_maybe"), unused(docs, "_gone")
-    gone = gone.select(F.col(key).alias(id_))
+    names = {c: unused(docs, f"_gone{k}") for k, c in enumerate(also or {})}
+    gone = gone.select(F.col(key).alias(id_), *(F.col(c).alias(n) for c, n in names.items())).distinct()
     both = marked(docs, key_filter(gone, F.col(id_)), F.col(key), maybe)
     sure = both.where(~F.col(maybe)).drop(maybe)
-    rest = both.where(F.col(maybe)).drop(maybe).join(gone, F.col(key) == F.col(id_), "left_anti")
+    same = F.col(key) == F.col(id_)
+    for c, n in names.items():
+        same &= also[c] == F.col(n)
+    rest = both.where(F.col(maybe)).drop(maybe).join(gone, same, "left_anti")
     return sure.unionByName(rest)
 
 
