@@ -1,25 +1,28 @@
-"""Operator 5, SimHash near-dedup: exact pairs by vantage-point partitioning; similar shingle sets by prefixes; connected components."""
+"""Operator 5, SimHash near-dedup: exact pairs by vantage-point trees; similar shingle sets by prefixes; connected components."""
 
 from __future__ import annotations
 
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.scale import key_filter, mapped, marked, slices, without, written
 
 #: Rows of one part of a shard; larger shards are dealt to pairs of parts.
 PART = 40_000
+#: Slices of the 64 bits that trees are grown on; rows that a leaf holds about; fingerprints that trees are grown on at most (about), leaves split further at once, and how often.
+SLICES, LEAF_ROWS, SAMPLE, LEAVES, DEPTH = 3, 4_096, 65_536, 1_024, 4
 #: Up to so many rows a set is compared directly.
-LEAF = 96
-#: Up to so many rows a shard is compared directly, all such shards at once.
-FEW = 12
+LEAF = 2_048
+#: Rows that share a shingle are all compared up to so many; each with so many others beyond that, to begin with.
+FEW, BESIDE = 12, 4
 #: Rows up to which a table of large shards is broadcast.
 MOST_BROADCAST = 50_000
 #: Documents drawn to find common shingles, and common shingles kept at most; they only order a set, so neither changes a result.
@@ -68,8 +71,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints, whose words are the last axis."""
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    """Differing bits of fingerprints."""
+    return np.bitwise_count(x ^ y).astype(np.int64)
 
 
 class Forest:
@@ -96,30 +99,27 @@ class Forest:
 def link(fps: np.ndarray, radius: int, forest: Forest, left: np.ndarray, right: np.ndarray | None = None) -> None:
     """Join all positions in ``left`` (or of ``left`` with ``right``) whose fingerprints differ in ``radius`` bits at most.
 
-    A vantage point splits a set by Hamming distance at the median shell. By
-    the triangle inequality, two rows within ``radius`` have distances to the
-    vantage point within ``radius``, so beside the two halves themselves only
-    the rows of the shells at the border are compared across it.
+    Within a task the tree is grown on: a vantage point splits a set at the
+    median shell, and beside the halves themselves only the shells at the
+    border are compared across it, down to ``LEAF`` rows.
     """
     work = [(left, right)]
     while work:
         a, b = work.pop()
         if not len(a) or b is not None and not len(b):
             continue
-        n = len(a) if b is None else max(len(a), len(b))
         split = None
-        if n > LEAF and (b is None or len(a) * len(b) > LEAF * LEAF):
+        if len(a) * len(a if b is None else b) > LEAF * LEAF:
             from_ = a if b is None or len(a) >= len(b) else b
-            vantage = fps[from_[len(from_) // 2]]
-            da = apart(fps[a], vantage)
-            db = da if b is None else apart(fps[b], vantage)
+            at = int(from_[len(from_) // 2])
+            da = apart(fps[a], fps[at])
+            db = da if b is None else apart(fps[b], fps[at])
             d = da if from_ is a else db
             if b is None:  # all within the radius of the vantage point hang together
-                near = a[da <= radius]
-                for x in near.tolist():
-                    forest.join(int(from_[len(from_) // 2]), x)
+                for x in a[da <= radius].tolist():
+                    forest.join(at, x)
             shell = int(np.median(d))
-            if not (d <= shell).all() or not (db <= shell).all() or not (da <= shell).all():
+            if (d > shell).any():
                 split = shell
             elif d.min() < shell:
                 split = shell - 1
@@ -127,8 +127,7 @@ def link(fps: np.ndarray, radius: int, forest: Forest, left: np.ndarray, right:
             compare(fps, radius, forest, a, b)
             continue
         if b is None:
-            inner, outer = a[da <= split], a[da > split]
-            work += [(inner, None), (outer, None), (a[(da <= split) & (da > split - radius)], a[(da > split) & (da <= split + radius)])]
+            work += [(a[da <= split], None), (a[da > split], None), (a[(da <= split) & (da > split - radius)], a[(da > split) & (da <= split + radius)])]
         else:
             border_a, border_b = (da > split - radius) & (da <= split + radius), (db > split - radius) & (db <= split + radius)
             work += [(a[da <= split], b[db <= split]), (a[da > split], b[db > split])]
@@ -136,107 +135,231 @@ def link(fps: np.ndarray, radius: int, forest: Forest, left: np.ndarray, right:
 
 
 def compare(fps: np.ndarray, radius: int, forest: Forest, a: np.ndarray, b: np.ndarray | None) -> None:
-    """Join within ``a``, or across ``a`` and ``b``, by direct comparison, in blocks."""
+    """Join within ``a``, or across ``a`` and ``b``, by direct comparison, in blocks that grow; what hangs together already isn't listed again."""
     own = b is None
     b = a if own else b
-    step = max(1, (1 << 18) // max(1, len(b)))
-    for at in range(0, len(a), step):
+    at, step, most = 0, 1, max(1, (1 << 18) // max(1, len(b)))
+    while at < len(a):
         rows = a[at : at + step]
         columns = b[at:] if own else b
-        hit = apart(fps[rows][:, None], fps[columns][None, :]) <= radius
-        if hit.any():
-            i, j = np.nonzero(hit)
-            for x, y in set(zip(rows[i].tolist(), columns[j].tolist())):
-                if x != y:
-                    forest.join(x, y)
+        i, j = np.nonzero(np.bitwise_count(fps[rows][:, None] ^ fps[columns][None, :]) <= radius)
+        if len(i) > 256:
+            u, v = (np.array([forest.root(x) for x in y.tolist()]) for y in (rows, columns))
+            new = u[i] != v[j]
+            i, j = i[new], j[new]
+        for x, y in zip(rows[i].tolist(), columns[j].tolist(), strict=True):
+            if x != y:
+                forest.join(x, y)
+        at += step
+        step = min(2 * step, most)
+
+
+#: What a row is in its shard: a home, a home of another part, a guest, a home that meets guests only.
+HOME, OTHER, GUEST, HOST = range(4)
 
 
 def links_of_shard(fps: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what the shard connects: within side 0, or across sides 0 and 1 if both are there."""
-    fps = fps.reshape(len(fps), -1)
+    """Links that connect what the shard connects: homes with each other and with guests, or homes with those of another part."""
     forest = Forest(len(fps))
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    link(fps, radius, forest, left, right if len(right) else None)
+    home, other, guest = (np.flatnonzero(side == k) for k in (HOME, OTHER, GUEST))
+    if len(other):
+        link(fps, radius, forest, home, other)
+    else:
+        link(fps, radius, forest, home)
+        link(fps, radius, forest, np.flatnonzero((side == HOME) | (side == HOST)), guest)
     return forest.edges
 
 
-def block_keys(bits: int, radius: int) -> list[str]:
-    """A key a block, of ``radius + 1`` blocks of ``bits`` 64: two fingerprints within ``radius`` agree on one at least."""
-    blocks = radius + 1
-    cuts = [bits * k // blocks for k in range(blocks + 1)]
-    return [f"shiftleft({k}L, 32) + (shiftrightunsigned(fp, {lo}) & {(1 << hi - lo) - 1 if hi - lo < 64 else -1}L)" for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+@dataclass
+class Trees:
+    """Vantage-point trees. Node k deals rows by their distance to ``vantage[k]`` on the bits ``mask[k]``: up to ``split[k]`` to ``inner[k]``, else to ``outer[k]``. Leaves have an inner node of -1; ``root`` is by the number of the set of rows that a tree deals."""
+
+    radius: int
+    first: int
+    root: dict[int, int]
+    mask: np.ndarray
+    vantage: np.ndarray
+    split: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
+
+    def deal(self, fps: np.ndarray, place: np.ndarray, guest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, guest) for every leaf that a row reaches. Rows of a place without a tree stay there.
+
+        A home goes to its own side. By the triangle inequality, rows within
+        ``radius`` of each other have distances to the vantage point within
+        ``radius``: so an inner home near the border is a guest of the outer
+        side too, a guest goes to each side that may have homes within its
+        radius, and every other branch is pruned. Two close rows meet in a
+        leaf in which one of them at least is at home.
+        """
+        node = np.array([self.root.get(p, -1) for p in np.unique(place).tolist()], np.int64)[np.unique(place, return_inverse=True)[1]] if len(place) else place
+        rows = np.arange(len(fps))
+        out = [(rows[node < 0], place[node < 0], guest[node < 0])]
+        rows, guest, node = rows[node >= 0], guest[node >= 0], node[node >= 0]
+        while len(rows):
+            leaf = self.inner[node] < 0
+            out.append((rows[leaf], self.first + node[leaf], guest[leaf]))
+            rows, guest, node = rows[~leaf], guest[~leaf], node[~leaf]
+            d = np.bitwise_count((fps[rows] ^ self.vantage[node]) & self.mask[node]).astype(np.int64)
+            split = self.split[node]
+            near = d <= split
+            into, beyond = near | guest & (d <= split + self.radius), ~near | (d > split - self.radius)
+            rows, guest, node = np.concatenate((rows[into], rows[beyond])), np.concatenate((guest[into], (guest | near)[beyond])), np.concatenate((self.inner[node[into]], self.outer[node[beyond]]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def grow(samples: dict[int, tuple[np.ndarray, int, float]], radius: int, first: int, leaf_rows: int) -> Trees:
+    """Trees for the sets by number: (fingerprints drawn, bits to look at, rows that one of them stands for).
+
+    A node tries a few of its own fingerprints as vantage points and all
+    shells, and takes the one that tells most for the rows at its border.
+    """
+    root, nodes = {}, []
+    for place, (fps, mask, share) in sorted(samples.items()):
+        root[place] = len(nodes)
+        nodes.append([mask, 0, 0, -1, -1])
+        work = [(fps & np.uint64(mask), len(nodes) - 1)]
+        while work:
+            x, k = work.pop()
+            if len(x) * share <= leaf_rows or len(x) < 8:
+                continue
+            best = (0.0, 0, 0)
+            for v in x[np.linspace(0, len(x) - 1, 6).astype(int)].tolist():
+                n = np.bincount(np.bitwise_count(x ^ np.uint64(v)), minlength=65) / len(x)
+                inside = np.cumsum(n)
+                border = np.array([n[max(0, s - radius + 1) : s + radius + 1].sum() if radius else 0.0 for s in range(65)])
+                told = -inside * np.log2(inside + 1e-12) - (1 - inside) * np.log2(1 - inside + 1e-12)
+                worth = np.where((inside > 0.02) & (inside < 0.98), told / (0.1 + border), 0)
+                s = int(worth.argmax())
+                best = max(best, (float(worth[s]), s, v))
+            if not best[0]:
+                continue
+            _, s, v = best
+            near = np.bitwise_count(x ^ np.uint64(v)) <= s
+            nodes[k][1:] = v, s, len(nodes), len(nodes) + 1
+            for part in (x[near], x[~near]):
+                nodes.append([mask, 0, 0, -1, -1])
+                work.append((part, len(nodes) - 1))
+    columns = list(zip(*nodes, strict=True))
+    return Trees(radius, first, root, *(np.array(c, np.uint64) for c in columns[:2]), *(np.array(c, np.int64) for c in columns[2:]))
+
+
+def slice_masks(slices_: int) -> list[int]:
+    """The bits of each of so many slices of 64."""
+    cuts = [64 * k // slices_ for k in range(slices_ + 1)]
+    return [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def drawn(rows: DataFrame, total: int) -> dict[int, np.ndarray]:
+    """Some ``SAMPLE`` of the rows' fingerprints by place, chosen by hash: what trees are grown on, whatever the size."""
+    share = int(min(1.0, SAMPLE / max(1, total)) * 1_000_000_000)
+    found = rows.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000_000)) < share).select("place", "fp").toPandas().sort_values(["place", "fp"])
+    return {int(p): x["fp"].to_numpy(np.int64).view(np.uint64) for p, x in found.groupby("place")}
+
+
+def dealt(rows: DataFrame, trees: Trees) -> DataFrame:
+    """Rows (fp, id, place, guest) moved to the leaves of ``trees``, which are broadcast: their size has a bound."""
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, id_, place = (batch.column(c).to_numpy() for c in ("fp", "id", "place"))
+            row, place, guest = shared.value.deal(fp.view(np.uint64), place, batch.column("guest").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(id_[row]), pa.array(place), pa.array(guest)], ["fp", "id", "place", "guest"])
+
+    return mapped(rows, run, "fp long, id long, place long, guest boolean")
+
+
+def in_leaves(classes: DataFrame, radius: int, slices_: int, part: int, leaf_rows: int) -> DataFrame:
+    """``classes`` (fp, id) as rows (fp, id, place, guest) for every leaf of the slices' trees that they reach.
+
+    Trees are grown on a bounded sample. Leaves that then hold over ``part``
+    homes are dealt on by trees of their own, grown on a sample of their rows,
+    until none does or no vantage point splits them.
+    """
+    masks, first = dict(enumerate(slice_masks(slices_))), slices_
+    total = classes.count()
+    rows = classes.select("fp", "id", F.lit(0).cast("long").alias("place"), F.lit(False).alias("guest"))
+    one = drawn(rows, total).get(0, np.zeros(0, np.uint64))
+    share = total / max(1, len(one))
+    trees = grow({k: (one, m, share) for k, m in masks.items()}, radius // slices_, first, leaf_rows)
+    rows = classes.select("fp", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices_ - 1).cast("long"))).alias("place"), F.lit(False).alias("guest"))
+    bits: dict[int, int] = {}
+    for _ in range(DEPTH):
+        bits |= {trees.first + k: int(m) for k, m in enumerate(trees.mask.tolist())}
+        rows, first = dealt(rows, trees), trees.first + len(trees.mask)
+        full = {r["place"]: r["n"] for r in rows.where("not guest").groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).orderBy(F.desc("n")).limit(LEAVES).collect()}
+        if not full:
+            break
+        of_these = rows.where("not guest").join(F.broadcast(rows.sparkSession.createDataFrame([(p,) for p in full], "place long")), "place")
+        samples = {p: (x, bits[p], full[p] / len(x)) for p, x in drawn(of_these, sum(full.values())).items()}
+        trees = grow(samples, radius // slices_, first, leaf_rows) if samples else trees
+        if not samples or (trees.inner < 0).all():
+            break
+    return rows
+
 
+def near_links(classes: DataFrame, radius: int = 4, part: int = PART, slices_: int = SLICES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Links (a, b) of ids in ``classes`` (fp, id), distinct fingerprints, that connect pairs within ``radius``, exactly.
 
-def near_links(classes: DataFrame, radius: int = 4, part: int = PART) -> DataFrame:
-    """Links (a, b) of ids in ``classes`` (fp, fp1..., id), distinct fingerprints, that connect pairs within ``radius``.
+    The 64 bits are cut into ``slices_``; two fingerprints within ``radius``
+    are within ``radius // slices_`` in one slice at least. Each slice has
+    vantage-point trees by Hamming distance on its bits, and every row goes to
+    its leaf and, by triangle bounds, as a guest to the leaves across a border
+    near it. A shard is a leaf: its homes are compared with each other and with
+    its guests on all bits, and it returns a spanning forest, at most one link
+    a row, never all pairs. With one slice the tree works on all 64 bits, but
+    on unlike texts a radius of 4 spans most of a tree's shells.
 
-    All pairs are connected, exactly: the 64 bits are cut into
-    ``radius + 1`` blocks. Two fingerprints within ``radius`` agree on one
-    block at least, that is, in that block they lie in the same shell of radius
-    0 around any vantage point, so each block's Hamming distance deals the rows
-    into shards. In its shard a fingerprint meets the others by vantage-point
-    partitioning on all bits (``link``); shards of a few rows are compared
-    directly. A larger shard returns a spanning forest, at most one link a row,
-    never all pairs. Shards of more than ``part`` rows are cut into parts by
-    hash; each pair of parts is a shard of its own, so no task holds more than
-    two parts. The table of large shards is broadcast only if it is small.
+    A leaf of more than ``part`` rows that no vantage point splits is cut into
+    parts by hash; each pair of parts is a shard of its own, so no task holds
+    more than two parts. The table of such leaves is broadcast only if it is small.
     """
-    names = [c for c in classes.columns if c.startswith("fp")]
-    w = len(names)
-    rows = classes.select(*names, "id", F.explode(F.array(*map(F.expr, block_keys(64, radius)))).alias("key"))
-    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part)
-    large = written(large.select("key", F.ceil(F.col("n") / (part / 2)).cast("int").alias("parts")), "large")
+    rows = in_leaves(classes, radius, slices_, part, leaf_rows)
+    n = rows.groupBy("place").agg(F.count(F.when(~F.col("guest"), 1)).alias("homes"), F.count(F.when(F.col("guest"), 1)).alias("guests"))
+    large = n.where((F.col("homes") > part) | (F.col("guests") > part)).select("place", *(F.greatest(F.lit(1), F.ceil(F.col(c) / (part / 2))).cast("int").alias(k) for c, k in (("homes", "p"), ("guests", "g"))))
+    large = written(large, "large")
     if large.count() <= MOST_BROADCAST:
         large = F.broadcast(large)
-    rows = rows.join(large, "key", "left").withColumn("at", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
-    # part i of p meets itself (shard i, i) and every other part (shards i, j and j, i)
-    pairs = F.expr("""if(parts is null, array(named_struct('i', 0, 'j', 0, 'side', 0)), transform(sequence(0, parts - 1),
-        x -> named_struct('i', least(x, at), 'j', greatest(x, at), 'side', if(at > x, 1, 0))))""")
-    rows = rows.select(*names, "id", "key", F.explode(pairs).alias("s")).select(*names, "id", "key", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.side").alias("side"))
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    shard = slice(w + 1, w + 4)
+    rows = rows.join(large, "place", "left").withColumn("at", F.pmod(F.xxhash64("id", "place"), F.when(F.col("guest"), F.col("g")).otherwise(F.col("p"))).cast("int"))
+    # part k of p homes meets itself (shard k, k), every other part (shards k, j and j, k) and each part of the guests (shards k, p + y)
+    deal = F.expr(f"""case when p is null then array(named_struct('i', 0, 'j', 0, 'side', if(guest, {GUEST}, {HOME})))
+        when guest then transform(sequence(0, p - 1), x -> named_struct('i', x, 'j', p + at, 'side', {GUEST}))
+        else concat(transform(sequence(0, p - 1), x -> named_struct('i', least(x, at), 'j', greatest(x, at), 'side', if(at > x, {OTHER}, {HOME}))),
+                    transform(sequence(0, g - 1), y -> named_struct('i', at, 'j', p + y, 'side', {HOST}))) end""")
+    rows = rows.select("fp", "id", "place", F.explode(deal).alias("s")).select("fp", "id", "place", "s.i", "s.j", F.col("s.side").cast("byte").alias("side"))
+    rows = rows.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def links(x: np.ndarray) -> pa.RecordBatch:
-            """Links of whole shards, which follow each other in ``x``."""
-            out: list[np.ndarray] = []
-            fps, ids, side = x[:, :w].view(np.uint64), x[:, w], x[:, w + 4]
-            first = np.concatenate(([0], np.flatnonzero((x[1:, shard] != x[:-1, shard]).any(axis=1)) + 1))
-            size = np.diff(np.append(first, len(x)))
-            few = (size > 1) & (size <= FEW)
-            last = np.repeat(first + size, size)
-            at = np.flatnonzero(np.repeat(few, size))
-            for step in range(1, FEW):
-                at = at[at + step < last[at]]
-                hit = at[(apart(fps[at], fps[at + step]) <= radius)]
-                if len(hit):
-                    one = np.repeat((np.maximum.reduceat(side, first) == 0), size)[hit]
-                    hit = hit[one | (side[hit] != side[hit + step])]
-                    out.append(np.stack([ids[hit], ids[hit + step]], axis=1))
-            for lo, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
-                if found := links_of_shard(fps[lo : lo + n], side[lo : lo + n], radius):
-                    out.append(ids[lo : lo + n][np.array(found)])
-            both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            new = np.flatnonzero((x[:, shard] != x[-1, shard]).any(axis=1))
-            at = new[-1] + 1 if len(new) else 0  # the last shard may go on
-            if at or held and (held[-1][-1, shard] != x[0, shard]).any():
-                yield links(np.concatenate([*held, x[:at]]))
-                held = []
-            held.append(x[at:])
-        if held:
-            yield links(np.concatenate(held))
+        for x in grouped(batches, ["place", "i", "j"]):
+            id_ = x.column("id").to_numpy()
+            if found := links_of_shard(x.column("fp").to_numpy().view(np.uint64), x.column("side").to_numpy(), radius):
+                both = id_[np.array(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return mapped(rows, run, "a long, b long")
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of rows with the same integer ``keys``, which follow each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and (k[lo] != last).any():
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = k[lo]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b): the smallest id that it is connected with.
 
@@ -275,16 +398,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``component_id`` is the smallest id that is reached. Null, empty and
     wordless texts have the fingerprint zero and are linked like any other.
     Rows with a null id keep their fingerprint; a class of null ids only has a
-    null component and links nothing. Repeated rows are given each. Other
-    columns are ignored; an empty table gives an empty result.
+    null component and links nothing. Repeated rows are given each, and so are
+    different texts under one id, which aren't linked by that. Other columns
+    are ignored; an empty table gives an empty result.
     """
     rows = written(fingerprints(docs, id_col, text_col, words).select(F.col(id_col).cast("long").alias("_id"), "fp"), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("_id").alias("id"))
-    found = components(near_links(classes.where("id is not null"), radius, part))
-    named = written(classes.join(found, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id")), "classes")
-    return rows.join(named, F.col("fp") == F.col("_fp")).select(
-        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    classes = written(rows.groupBy("fp").agg(F.min("_id").alias("low")), "classes")
+    links = near_links(classes.where("low is not null").select("fp", F.col("fp").alias("id")), radius, part)
+    named = written(smallest_ids(classes.select(F.col("fp").alias("key"), "low"), links), "named")
+    return rows.join(named, F.col("fp") == F.col("key")).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def smallest_ids(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, component_id) for every row of ``classes`` (key, low): the smallest ``low`` that ``links`` (a, b) of keys reach."""
+    found = written(components(links), "components")
+    both = found.join(classes, F.col("id") == F.col("key"))
+    least = both.groupBy("component").agg(F.min("low").alias("least"))
+    linked = found.join(written(least, "least"), "component").select("id", "least")
+    return classes.join(linked, F.col("id") == F.col("key"), "left").select("key", F.coalesce("least", "low").alias("component_id"))
 
 
 def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
@@ -316,7 +447,7 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """Rows (_id, fp, fp1, n, sketch, prefix): digest, size and sketch of the text's shingle set and the first shingles of it.
+    """Rows (_id, _x, fp, fp1, n, sketch, prefix): the text's hash, digest, size and sketch of its shingle set and the first shingles of it.
 
     All sets are in one order: by hash, ``common`` ones last. Two sets of
     Jaccard ``similarity`` or more share a shingle of their prefixes, since
@@ -340,10 +471,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, simila
             fp = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in first])))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists], ["_id", "fp", "fp1", "n", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_x"), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists], ["_id", "_x", "fp", "fp1", "n", "sketch", "prefix"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_t"))
-    return mapped(rows, run, "_id long, fp long, fp1 long, n long, sketch binary, prefix array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_t")).withColumn("_x", F.xxhash64("_t"))
+    return mapped(rows, run, "_id long, _x long, fp long, fp1 long, n long, sketch binary, prefix array<long>")
 
 
 def may_be_similar(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, similarity: float) -> np.ndarray:
@@ -352,22 +483,23 @@ def may_be_similar(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, s
 
 
 def close_pairs(points: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ids in ``points`` (h, at, id, n, pos) that share h and at and are within ``FEW`` rows of each other by size."""
-    rows = points.select("h", "at", "n", "id", "pos").repartition("h", "at").sortWithinPartitions("h", "at", "n", "id")
+    """Pairs (a, b) of ids in ``points`` (h, n, id, pos, hot) that share h and can be similar: all of them in a small bucket, and of each row of a hot one ``BESIDE`` others of about its size, others in each bucket."""
+    rows = points.select("h", "n", "id", "pos", F.col("hot").cast("long").alias("hot"), F.floor(F.log2("n") * 4).alias("size"), F.xxhash64("id", "h").alias("any"))
+    rows = rows.repartition("h").sortWithinPartitions("h", "size", "any").select("h", "n", "id", "pos", "hot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.zeros((0, 5), np.int64)
         for batch in batches:
             x = np.concatenate([tail, np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
             out = []
-            for step in range(1, FEW + 1):
+            for step in range(1, FEW):
                 a, b = x[:-step], x[step:]
                 new = max(0, len(tail) - step)  # pairs within the tail were given before
                 a, b = a[new:], b[new:]
-                hit = (a[:, 0] == b[:, 0]) & (a[:, 1] == b[:, 1])
+                hit = (a[:, 0] == b[:, 0]) & ((a[:, 4] == 0) | (step <= BESIDE))
                 a, b = a[hit], b[hit]
-                hit = may_be_similar(a[:, 2], a[:, 4], b[:, 2], b[:, 4], similarity)
-                out.append(np.stack([a[hit, 3], b[hit, 3]], axis=1))
+                hit = may_be_similar(a[:, 1], a[:, 3], b[:, 1], b[:, 3], similarity)
+                out.append(np.stack([a[hit, 2], b[hit, 2]], axis=1))
             tail = x[-FEW:]
             both = np.sort(np.concatenate(out), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -375,122 +507,158 @@ def close_pairs(points: DataFrame, similarity: float) -> DataFrame:
     return mapped(rows, run, "a long, b long").where("a <> b").distinct()
 
 
-def all_pairs(points: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ids in ``points`` (h, parts, at, id, n, pos, c) that share h, can be similar and differ in c.
-
-    As in ``near_links`` a bucket of many parts is dealt to pairs of parts.
-    """
-    deal = F.expr("""transform(sequence(0, parts - 1), x -> named_struct('i', least(x, at), 'j', greatest(x, at), 'side', if(at > x, 1, 0)))""")
-    rows = points.select("h", "n", "id", "pos", "c", F.explode(deal).alias("s")).select("h", "s.i", "s.j", "n", "s.side", "id", "pos", "c")
-    rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n")
-
-    def pairs(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Pairs of one shard, whose rows are sorted by size."""
-        n = x[:, 3]
-        across = (x[:, 4] != x[0, 4]).any()
-        step = max(1, (1 << 18) // len(x))
-        for at in range(0, len(x), step):
-            rows = np.arange(at, min(at + step, len(x)))
-            to = np.searchsorted(n, n[rows[-1]] / similarity + 1e-6, "right")
-            u, v = x[rows][:, None], x[at:to][None]
-            hit = may_be_similar(u[..., 3], u[..., 6], v[..., 3], v[..., 6], similarity) & (u[..., 7] != v[..., 7]) & (np.arange(at, to) > rows[:, None])
-            if across:
-                hit &= u[..., 4] != v[..., 4]
-            i, j = np.nonzero(hit)
-            both = np.sort(np.stack([x[rows[i], 5], x[at + j, 5]], axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+def possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, d) whose sketches in ``classes`` (id, n, sketch) don't rule out ``similarity``; no similar pair is lost. d: the share of members that surely differ, in millionths."""
+    left, right = (classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            for part in np.split(x, np.flatnonzero((x[1:, :3] != x[:-1, :3]).any(axis=1)) + 1):
-                if held and (held[-1][-1, :3] != part[0, :3]).any():
-                    yield from pairs(np.concatenate(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield from pairs(np.concatenate(held))
+            n = np.maximum(1, batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+            found = np.array([least_difference(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
+            hit = found <= (1 - similarity) / (1 + similarity) * n + 1e-6
+            d = pa.array((found[hit] * 1_000_000 // n[hit]).astype(np.int32))
+            kept = batch.filter(pa.array(hit, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b"), d], ["a", "b", "d"])
 
-    return mapped(rows, run, "a long, b long").distinct()
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long, d int")
 
 
-def possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sketches in ``classes`` (id, n, sketch) don't rule out ``similarity``; no similar pair is lost."""
-    left, right = (classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in ("a", "b"))
+def sets_of(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, _s) of ``classes`` (id, _id, _x): the sorted shingle hashes of the text with this id and hash; written."""
+    wanted = written(classes.select("id", "_id", "_x"), "wanted")
+    known = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_t")).withColumn("_x", F.xxhash64("_t"))
+    known = marked(known, key_filter(wanted, F.struct("_id", "_x")), F.struct("_id", "_x"), "_maybe").where("_maybe").drop("_maybe").join(wanted, ["_id", "_x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            found = [least_difference(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
-            hit = np.array(found, np.int64) <= (1 - similarity) / (1 + similarity) * n + 1e-6
-            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        for batch in slices(batches, "_t"):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.unique(shingles(t or b"", words)).tobytes() for t in batch.column("_t").to_pylist()], pa.binary())], ["id", "_s"])
 
-    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long")
+    return written(mapped(known.select("id", "_t"), run, "id long, _s binary"), "sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b), of ids, whose shingle sets have Jaccard ``similarity`` or more, computed on the sets as a whole."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "ids")
-    known = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_t"))
-    known = marked(known, key_filter(ids, F.col("_id")), F.col("_id"), "_maybe").where("_maybe").drop("_maybe").join(ids, "_id", "left_semi")
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Members that two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard of two sorted sets is ``similarity`` or more."""
+    both = overlap(x, y)
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_t"):
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([np.unique(shingles(t or b"", words)).tobytes() for t in batch.column("_t").to_pylist()], pa.binary())], ["_id", "_s"])
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), of ids, whose ``sets`` (id, _s) have Jaccard ``similarity`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_s"):
-            hit = []
-            for x, y in zip(batch.column("_s"), batch.column("_r"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            hit = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(batch.column("_s"), batch.column("_r"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    known = written(mapped(known, sets, "_id long, _s binary"), "sets")
-    rows = pairs.join(known.select(F.col("_id").alias("a"), "_s"), "a").join(known.select(F.col("_id").alias("b"), F.col("_s").alias("_r")), "b")
-    return mapped(rows.select("a", "b", "_s", "_r"), run, "a long, b long").distinct()
+    rows = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), "_s"), "a").join(sets.select(F.col("id").alias("b"), F.col("_s").alias("_r")), "b")
+    return mapped(rows.select("a", "b", "_s", "_r"), run, "a long, b long")
+
+
+def linked_in(n: np.ndarray, side: np.ndarray, c: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (positions) that join what is similar among rows sorted by ``n``, or across two sides; those of one ``c`` hang together at first."""
+    label = np.unique(c, return_inverse=True)[1]
+    across = bool((side != side[0]).any())
+    edges = []
+    for i in range(len(n)):
+        to = int(np.searchsorted(n, n[i] / similarity + 1e-6, "right"))
+        j = i + 1
+        while j < to:
+            left = np.flatnonzero((label[j:to] != label[i]) & ((side[j:to] != side[i]) if across else True))
+            if not len(left):
+                break
+            j += int(left[0])
+            if similar(sets[i], sets[j], similarity):
+                edges.append((i, j))
+                label[label == label[j]] = label[i]
+            j += 1
+    return edges
+
+
+def linked_in_buckets(points: DataFrame, sets: DataFrame, similarity: float, part_bytes: int) -> DataFrame:
+    """Links (a, b) that join similar rows of ``points`` (h, n, id, c) in each bucket h that holds several components c.
+
+    The sets come to the bucket, so pairs are checked where they meet and only
+    links are given, fewer than a bucket has rows. A bucket with over
+    ``part_bytes`` of sets is cut into parts, and each pair of parts is a shard.
+    """
+    mixed = points.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.sum("n") * 8 / part_bytes).cast("int").alias("parts")).where("lo < hi").select("h", "parts")
+    mixed = written(mixed, "mixed")
+    if mixed.count() <= MOST_BROADCAST:
+        mixed = F.broadcast(mixed)
+    rows = points.join(mixed, "h").withColumn("at", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
+    deal = F.expr("transform(sequence(0, parts - 1), x -> named_struct('i', least(x, at), 'j', greatest(x, at), 'side', if(at > x, 1, 0)))")
+    rows = written(rows.select("h", "n", "id", "c", F.explode(deal).alias("s")).select("h", "s.i", "s.j", "n", "s.side", "id", "c"), "buckets")
+    rows = rows.join(sets, "id").select("h", "i", "j", "n", "side", "id", "c", "_s")
+    rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in grouped(batches, ["h", "i", "j"]):
+            n, side, id_, c = (x.column(k).to_numpy() for k in ("n", "side", "id", "c"))
+            sets_ = [np.frombuffer(y.as_buffer(), np.uint64) for y in x.column("_s")]
+            if found := linked_in(n, side, c, sets_, similarity):
+                both = id_[np.array(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return mapped(rows, run, "a long, b long").distinct()
+
 
+#: Partners by sketch that a row is checked with first, and bytes of shingle sets of a part of a bucket.
+FIRST, PART_BYTES = 3, 8 << 20
 
-def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, part: int = PART) -> DataFrame:
-    """One row (id, component_id) for each row: texts whose shingle sets overlap by ``similarity`` (Jaccard) or more hang together, and no others.
+
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, part_bytes: int = PART_BYTES, keyed: bool = False) -> DataFrame:
+    """One row (id, component_id[, _x]) for each row: texts whose shingle sets overlap by ``similarity`` (Jaccard) or more hang together, and no others.
 
     Equal sets are one class. Similar sets share a shingle of their prefixes
-    (``shingle_sets``), so rows meet by these; pairs that can be similar by
-    sizes, places and sketches are checked on the whole sets. One pair a row,
-    of neighbours by size where more than ``FEW`` rows share a shingle, is
-    checked first, and then all pairs that these links left in different
-    components, so a group of K copies doesn't cost K^2 pairs. Nulls, empty texts, repeated rows and
-    other columns: as for ``near_dedup``.
+    (``shingle_sets``), so rows meet in buckets by these. Of the pairs that can
+    be similar by sizes, places and sketches, each row's best few are checked on
+    the whole sets first. Then, only where these links left several components,
+    small buckets' pairs are checked too, and hot buckets (over ``FEW`` rows)
+    check theirs in the bucket. Nulls, empty texts, repeated rows and other
+    columns: as for ``near_dedup``. ``keyed`` adds the text's hash.
     """
     rows = written(shingle_sets(docs, id_col, text_col, words, similarity, common_shingles(docs, id_col, text_col, words)), "shingles")
-    classes = written(rows.groupBy("fp", "fp1").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "classes")
-    points = classes.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "h"))
-    large = points.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FEW)
-    large = written(large.select("h", F.ceil(F.col("k") / (part / 2)).cast("int").alias("parts")), "large")
-    some = large.count()
-    if some <= MOST_BROADCAST:
-        large = F.broadcast(large)
-    points = points.join(large, "h", "left").withColumn("at", F.pmod(F.xxhash64("id", "h"), F.coalesce("parts", F.lit(1))).cast("int"))
-    known = classes.where("id is not null").select("id", "n", "sketch")
+    one = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_x"))).alias("one")
+    classes = rows.groupBy("fp", "fp1").agg(one, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    classes = written(classes.select("fp", "fp1", "one.*", "n", "sketch", "prefix", F.monotonically_increasing_id().alias("id")), "classes")
+    known = classes.where("_id is not null")
+    points = known.select("id", "n", F.posexplode("prefix").alias("pos", "h"))
+    hot = written(points.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FEW).select("h", F.lit(True).alias("hot")), "hot")
+    some = hot.count()
+    points = points.join(F.broadcast(hot) if some <= MOST_BROADCAST else hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     close = written(possible(close_pairs(points, similarity), known, similarity), "pairs")
-    links = written(verified(written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"), docs, id_col, text_col, words, similarity), "similar")
+    ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets_of(known.join(ids, "id", "left_semi"), docs, id_col, text_col, words)
+    best = close.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(F.col("r") <= FIRST)
+    links = written(verified(best, sets, similarity), "similar")
     now = written(components(links), "components").select("id", F.col("component").alias("c"))
-    named = close.join(now.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a", "left").join(now.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b", "left")
-    rest = named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = close.join(now.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a", "left").join(now.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b", "left")
+    links = links.unionByName(written(verified(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")), sets, similarity), "similar"))
     if some:
-        apart_ = points.where("parts is not null").join(now, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        rest = rest.unionByName(possible(all_pairs(apart_, similarity), known, similarity)).distinct()
-    more = verified(written(rest, "pairs"), docs, id_col, text_col, words, similarity)
-    found = components(links.unionByName(written(more, "similar")))
-    named = written(classes.join(found, "id", "left").select(F.col("fp").alias("_f"), F.col("fp1").alias("_g"), F.coalesce("component", "id").alias("component_id")), "named")
-    return rows.join(named, (F.col("fp") == F.col("_f")) & (F.col("fp1") == F.col("_g"))).select(F.col("_id").alias(id_col), "component_id")
+        mixed = written(points.where("hot").join(now, "id", "left").select("h", "n", "id", F.coalesce("c", "id").alias("c")), "points")
+        several = mixed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+        ids = mixed.join(several, "h", "left_semi").select("id").distinct()
+        sets = sets_of(known.join(ids, "id", "left_semi"), docs, id_col, text_col, words)
+        links = links.unionByName(written(linked_in_buckets(mixed, sets, similarity, part_bytes), "similar"))
+    named = written(smallest_ids(classes.select(F.col("id").alias("key"), F.col("_id").alias("low")), links), "named")
+    named = classes.join(named, F.col("id") == F.col("key")).select(F.col("fp").alias("_f"), F.col("fp1").alias("_g"), "component_id")
+    out = rows.join(written(named, "named"), (F.col("fp") == F.col("_f")) & (F.col("fp1") == F.col("_g"))).select(F.col("_id").alias(id_col), "component_id", "_x")
+    return out if keyed else out.drop("_x")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with its own columns; of texts that are similar, the row with the smallest id stays. Rows with null ids stay."""
-    gone = similar_dedup(docs, id_col, text_col, words, similarity).where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return without(docs, written(gone, "near"), id_col)
+    """``docs`` with its own columns; of texts that are similar, the row with the smallest id stays.
+
+    Rows with null ids stay. Decided row by row: of two texts under one id only
+    the similar one goes. Rows that repeat id and text go or stay together. An
+    empty table gives an empty one.
+    """
+    gone = similar_dedup(docs, id_col, text_col, words, similarity, keyed=True).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col), "_x")
+    return without(docs, written(gone, "near"), id_col, {"_x": F.xxhash64(F.col(text_col).cast("binary"))})

@@ -55,7 +55,7 @@ def test_exact_dedup(docs):
     keep = {t: max((i for i in g if i is not None), default=None) for t, g in groups.items()}
     want = sorted((str(i), str(keep[t]), len(groups[t]), i == keep[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
     assert want == sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got)
-    assert exact_dedup.exact_dedup(docs).columns == ["doc_id", "keep_id", "group_size", "kept"]
+    assert exact_dedup.exact_dedup(docs).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     kept = exact_dedup.drop_copies(docs.where("doc_id is not null"))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {v for v in keep.values() if v is not None}
 
@@ -200,23 +200,40 @@ def test_near_dedup(docs):
             assert int(r.fingerprint, 16) == fps[r.doc_id] and len(r.fingerprint) == 16 and r.component_id == want[r.doc_id]
 
 
-@pytest.mark.parametrize("part", [3, 10, 100_000])
-def test_links_by_parts(spark, part):
+@pytest.mark.parametrize(("part", "slices", "leaf"), [(3, 3, 8), (10, 3, 16), (100_000, 3, 8), (20, 1, 16), (40, 5, 8)])
+def test_links_by_trees(spark, part, slices, leaf):
+    """Every pair within the radius is connected, whatever the trees, leaves and parts that rows are dealt to."""
     ship(spark)
     r = random.Random(part)
-    base = [r.getrandbits(64) for _ in range(6)] + [0, (1 << 64) - 1]
+    base = [r.getrandbits(64) for _ in range(60)] + [0, (1 << 64) - 1]
     fps = {}
-    for i in range(150):
+    for i in range(400):
         x = r.choice(base)
         for k in r.sample(range(64), r.randint(0, 6)):
             x ^= 1 << k
         fps[i] = x
     fps = {i: x for x, i in {x: i for i, x in reversed(fps.items())}.items()}
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in fps.items()], "fp long, id long")
-    found = {r.id: r.component for r in simhash.components(simhash.near_links(df, 4, part)).collect()}
+    found = {r.id: r.component for r in simhash.components(simhash.near_links(df, 4, part, slices, leaf)).collect()}
     assert {i: found.get(i, i) for i in fps} == brute_components(fps, 4)
 
 
+def test_trees_prune():
+    """Two rows within the radius meet in a leaf where one is at home, each row has one home, and far leaves are pruned."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    x[2000:] = x[:2000] ^ (np.uint64(1) << rng.integers(0, 64, 2000, dtype=np.uint64))
+    for mask, radius in ((2**21 - 1, 1), (2**64 - 1, 1), (2**13 - 1, 0)):
+        trees = simhash.grow({7: (x[::2], mask, 2.0)}, radius, 100, 200)
+        row, place, guest = trees.deal(x, np.full(len(x), 7), np.zeros(len(x), bool))
+        assert sorted(row[~guest].tolist()) == list(range(len(x))) and len(set(place.tolist())) > 8
+        home = dict(zip(row[~guest].tolist(), place[~guest].tolist(), strict=True))
+        there = set(zip(row.tolist(), place.tolist(), strict=True))
+        close = np.bitwise_count((x[:, None] ^ x[None]) & np.uint64(mask)) <= radius
+        assert all((i, home[j]) in there or (j, home[i]) in there for i, j in zip(*np.nonzero(close), strict=True))
+        assert len(row) < 8 * len(x) and (radius or not guest.any())
+
+
 def test_shard_links():
     rng = np.random.default_rng(0)
     for t in range(12):
@@ -225,10 +242,12 @@ def test_shard_links():
         x = x[rng.integers(0, len(x), n)].copy()
         for _ in range(t % 6):
             x ^= np.where(rng.random(n) < 0.7, np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64), np.uint64(0))
-        side = rng.integers(0, 2, n) if t % 2 else np.zeros(n, int)
+        side = (np.zeros(n, int), rng.integers(0, 2, n), rng.choice([0, 2], n), rng.choice([2, 3], n))[t % 4]
         close = np.bitwise_count(x[:, None] ^ x[None]) <= 4
-        if len(set(side)) == 2:
+        if set(side) == {0, 1}:
             close &= side[:, None] != side[None]
+        close &= (side[:, None] != 2) | (side[None] != 2)
+        close &= (side[:, None] != 3) | (side[None] != 3)
         a, b = simhash.Forest(n), simhash.Forest(n)
         for i, j in zip(*np.nonzero(close), strict=True):
             a.join(int(i), int(j))
@@ -294,14 +313,41 @@ def around_similarity(seed=3, pairs=150):
     return texts
 
 
-@pytest.mark.parametrize("part", [10, 100_000])
+@pytest.mark.parametrize("part", [9_000, 1 << 23])
 def test_similar_is_jaccard(spark, part):
     ship(spark)
     texts = around_similarity()
-    got = {x.doc_id: x.component_id for x in simhash.similar_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), part=part).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.similar_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), part_bytes=part).collect()}
     assert got == brute_similar(texts)
 
 
+@pytest.mark.parametrize("part", [9_000, 1 << 23])
+def test_large_group_of_near_copies(spark, part):
+    """Copies around the threshold of one text, some of which link to few others, against all pairs."""
+    ship(spark)
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(3000)]
+    base, texts = r.choices(words, k=100), {}
+    for k in range(150):
+        w = base[:]
+        for at in r.sample(range(len(w)), r.choice((1, 1, 2, 3))):
+            w[at] = r.choice(words)
+        texts[k] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in simhash.similar_dedup(df, part_bytes=part).collect()} == brute_similar(texts)
+
+
+def test_one_id_of_two_texts(spark):
+    """Rows are decided one by one: another text under the id of a dropped one stays."""
+    a, b, c = "a b c d e f g h i j k l m n", "one two three four five six seven", "p q r s t u v w x y z 1 2 3"
+    df = spark.createDataFrame([(5, a), (9, a), (5, b), (3, a + " "), (5, b), (None, a), (7, c), (7, None)], "doc_id long, text string")
+    kept = lambda d: sorted((str(r.doc_id), str(r.text)) for r in d.collect())
+    assert kept(exact_dedup.drop_copies(df)) == sorted([("9", a), ("5", b), ("5", b), ("3", a + " "), ("None", a), ("7", c), ("7", "None")])
+    assert kept(simhash.drop_near_copies(df)) == sorted([("3", a + " "), ("5", b), ("5", b), ("None", a), ("7", c), ("7", "None")])
+    got = {(r.doc_id, r.component_id) for r in simhash.near_dedup(df).collect()}
+    assert {(9, 3), (5, 3), (5, 5), (7, 7), (3, 3)} <= got
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (5, 5)], "a long, b long")
     got = {r.id: r.component for r in simhash.components(links).collect()}
