@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.scale import mapped, slices, written
-from marlstone.llm.simhash import MOST_BROADCAST, components
-
-#: Corners described in an image at most, over all scales, strongest first; this is the size of a signature.
-KEYPOINTS, SCALES = 40, (1.0, 0.75, 0.5)
-#: Radius of a patch, binary tests, tables of 32 bits each, and bits in which two descriptors may differ.
-PATCH, TESTS, TABLES, NEAR = 9, 128, 4, 6
-#: Matches that agree on one transform for two images to be copies, and the bins of rotation, log2 scale and shift.
-CONSENSUS, TURN_BINS, SCALE_BIN, SHIFT_BIN = 5, 12, 0.35, 10.0
+from marlstone.llm.simhash import MOST_BROADCAST, components, grouped
+
+#: Corners described in each tile of an image, strongest first over all scales, and a tile's side in pixels: larger images have more corners, and crops keep those of their tiles.
+PER_TILE, TILE, SCALES = 10, 48, (1.0, 0.84, 0.71, 0.59, 0.5)
+#: Radius of a patch, binary tests, tables of 16 bits each, and bits in which two descriptors may differ: fewer than tables, so that all such pairs meet in one.
+PATCH, TESTS, TABLES, NEAR = 9, 128, 8, 7
+#: Matches that agree on one turn, scale and shift for two images to be copies; pixels (and share of the distance from the centre) by which a corner may miss its place; side of the cells that tell places apart.
+CONSENSUS, MISS, MISS_SHARE, CELL = 5, 3.0, 0.02, 8
+#: Matches of two images up to which every pair of them proposes a transform; beyond, each match proposes one by its own angle and scale.
+MOST_PAIRS = 96
 #: Rows of one part of a table bucket.
 PART = 4_000
 
@@ -122,7 +125,7 @@ def _resized(x: np.ndarray, scale: float) -> np.ndarray:
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corners as rows (x, y, scale, angle) in the image's own pixels, and their descriptors as rows of two 64-bit words.
+    """Corners as rows (x, y, scale, angle) in the image's own pixels from its centre, and their descriptors as rows of two 64-bit words.
 
     At each scale: corner strength from the gradients' second moments, local
     maxima only; the angle points to the patch's centre of mass, and tests
@@ -144,14 +147,18 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for yy, zz in zip(y + PATCH + 1, z + PATCH + 1, strict=True):
             found.append((-float(r[yy, zz]), scale, int(yy), int(zz), smooth))
     found.sort(key=lambda t: t[:4])
-    points, codes = [], []
-    for _, scale, y, z, smooth in found[:KEYPOINTS]:
+    points, codes, in_tile = [], [], Counter()
+    for _, scale, y, z, smooth in found:
+        tile = (int(y / scale) // TILE, int(z / scale) // TILE)
+        in_tile[tile] += 1
+        if in_tile[tile] > PER_TILE:
+            continue
         mass = smooth[_DISC[:, 0] + y, _DISC[:, 1] + z]
         mass = mass - mass.min()
         angle = float(np.arctan2((mass * _DISC[:, 0]).sum(), (mass * _DISC[:, 1]).sum()))
         p = _ROTATED[round(angle / (2 * np.pi) * _TURNS) % _TURNS]
         bits = smooth[y + p[:, 0, 1], z + p[:, 0, 0]] < smooth[y + p[:, 1, 1], z + p[:, 1, 0]]
-        points.append((z / scale, y / scale, scale, angle))
+        points.append((z / scale - image.shape[1] / 2, y / scale - image.shape[0] / 2, scale, angle))
         codes.append(np.packbits(bits))
     if not points:
         return np.zeros((0, 4), np.float32), np.zeros((0, 2), np.uint64)
@@ -159,14 +166,49 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(points: np.ndarray) -> np.ndarray:
-    """A corner's number, place (half pixels), scale (1/64) and angle (1/1024 turn) in 63 bits, to keep shuffled rows narrow."""
-    x, y = (np.minimum(np.rint(2 * points[:, k]), (1 << 17) - 1).astype(np.int64) for k in (0, 1))
-    s, a = np.rint(64 * points[:, 2]).astype(np.int64), np.rint(points[:, 3] / (2 * np.pi) * 1024).astype(np.int64) % 1024
-    return np.arange(len(points)) | x << 8 | y << 25 | s << 42 | a << 52
+    """A corner's number, place (half pixels), scale (by number) and angle (1/256 turn) in 61 bits, to keep shuffled rows narrow."""
+    x, y = (np.clip(np.rint(2 * points[:, k]) + (1 << 16), 0, (1 << 17) - 1).astype(np.int64) for k in (0, 1))
+    s, a = np.searchsorted(-np.array(SCALES), -points[:, 2] - 1e-6), np.rint(points[:, 3] / (2 * np.pi) * 256).astype(np.int64) % 256
+    return np.minimum(np.arange(len(points)), (1 << 15) - 1) | x << 15 | y << 32 | s << 49 | a << 53
 
 
 def unpacked(g: np.ndarray) -> dict[str, np.ndarray]:
-    return {"k": g & 255, "x": (g >> 8 & (1 << 17) - 1) / 2, "y": (g >> 25 & (1 << 17) - 1) / 2, "s": (g >> 42 & 1023) / 64, "a": (g >> 52 & 1023) * (2 * np.pi / 1024)}
+    """What ``packed`` holds; places as complex numbers x + iy."""
+    x, y = (((g >> at & (1 << 17) - 1) - (1 << 16)) / 2 for at in (15, 32))
+    return {"k": g & (1 << 15) - 1, "at": x + 1j * y, "s": np.array(SCALES)[g >> 49 & 15], "a": (g >> 53 & 255) * (2 * np.pi / 256)}
+
+
+def agreeing(u: np.ndarray, v: np.ndarray) -> int:
+    """Matches (packed corners of two images) of different corners on both sides that agree on one similarity transform, at most.
+
+    Two matches propose a transform by their places; with many, each match
+    proposes one by its angle and scale. A match agrees if its corner falls
+    where the transform says and its own turn and scale are about the same.
+    """
+    p, q = unpacked(u), unpacked(v)
+    places = [(np.rint(x["at"].real / CELL) * (1 << 20) + np.rint(x["at"].imag / CELL)).astype(np.int64) for x in (p, q)]  # a corner met at several scales is one
+    if min(len({*x.tolist()}) for x in places) < CONSENSUS:
+        return 0
+    own = p["s"] / q["s"] * np.exp(1j * (q["a"] - p["a"]))  # a larger copy is met at a smaller scale
+    if len(u) <= MOST_PAIRS:
+        i, j = np.triu_indices(len(u), 1)
+        apart = p["at"][j] - p["at"][i]
+        i, j, apart = i[k := np.abs(apart) > 4], j[k], apart[k]
+        turn = (q["at"][j] - q["at"][i]) / apart
+        i, turn = i[k := (np.abs(turn) > 0.3) & (np.abs(turn) < 3.4)], turn[k]
+    else:
+        i, turn = np.arange(len(u)), own
+    most = 0
+    room = MISS + MISS_SHARE * np.abs(p["at"])
+    for lo in range(0, len(i), max(1, (1 << 18) // len(u))):
+        part = slice(lo, lo + max(1, (1 << 18) // len(u)))
+        t = turn[part][:, None]
+        miss = np.abs(q["at"][i[part]][:, None] + t * (p["at"][None] - p["at"][i[part]][:, None]) - q["at"][None])
+        bend = own[None] / t
+        hit = (miss <= room * np.maximum(1, np.abs(t))) & (np.abs(np.angle(bend)) < 0.5) & (np.abs(np.log2(np.abs(bend))) < 0.6)
+        for row in hit[np.argsort(-hit.sum(axis=1), kind="stable")[:16]]:
+            most = max(most, min(len({*x[row].tolist()}) for x in places))
+    return most
 
 
 def descriptors(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
@@ -195,12 +237,13 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     """One row (id, keypoints, links, class_id) for each image; ids are integers, ``class_id`` the smallest id reached.
 
     Images of equal pixels are one class and described once. Each class's
-    descriptors go into ``TABLES`` tables by 32 of their bits; in a bucket,
-    descriptors of different classes within ``NEAR`` bits match. A match votes
-    for a rotation, scale and shift; two classes are linked if ``CONSENSUS``
-    matches of different corners agree. Large buckets are cut into parts and
-    each pair of parts is a task's work of bounded size. ``links`` counts the
-    classes that an image's class is linked with, and other images of its own class.
+    descriptors go into ``TABLES`` tables by 16 of their bits; in a bucket,
+    descriptors of different classes within ``NEAR`` bits match, so no such
+    pair is missed. Two classes' matches come together, and they are linked if
+    ``CONSENSUS`` of different corners agree on one turn, scale and shift.
+    Large buckets are cut into parts and each pair of parts is a task's work of
+    bounded size. ``links`` counts the classes that an image's class is linked
+    with, and other images of its own class.
 
     Null, empty and unreadable images have no descriptors: they are classes by
     their bytes and link nothing. Images without corners link only to equal
@@ -211,11 +254,9 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     rows = written(descriptors(images, id_col, image_col), "descriptors")
     classes = rows.groupBy("_class").agg(F.min("_id").alias("c"), F.count(F.lit(1)).alias("n"), F.max("_d").alias("d"))
     points = classes.where("c is not null").select("c", F.explode("d").alias("p")).select("c", "p.*")
-    keys = [f"named_struct('t', {t}, 'key', shiftrightunsigned(d{t // 2}, {32 * (1 - t % 2)}) & 4294967295L)" for t in range(TABLES)]
-    votes = matches(points.withColumn("b", F.explode(F.array(*map(F.expr, keys)))).select("c", "g", "d0", "d1", F.expr("b.key * 4 + b.t").alias("key")))
-    # each vote counts a corner once, however many tables it came by
-    votes = votes.groupBy("u", "v", "turn", "size", "dx", "dy").agg(F.countDistinct("k").alias("n")).where(F.col("n") >= CONSENSUS)
-    links = written(votes.select("u", "v").distinct(), "copies")
+    keys = [f"shiftrightunsigned(d{t // 4}, {16 * (3 - t % 4)}) & 65535L | {t}L << 16" for t in range(TABLES)]
+    found = matches(points.select("c", "g", "d0", "d1", F.explode(F.array(*map(F.expr, keys))).alias("key"))).distinct()
+    links = written(agreed(found), "copies")
     degree = links.select(F.explode(F.array("u", "v")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("m"))
     found = components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("c"), "component")
     named = classes.join(degree, "c", "left").join(found, "c", "left").select(
@@ -225,7 +266,7 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
 
 
 def matches(points: DataFrame) -> DataFrame:
-    """Votes (u, v, k, turn, size, dx, dy) of matching descriptors of classes u < v that share a bucket; k is u's corner."""
+    """(u, v, gu, gv): classes u < v and their packed corners whose descriptors share a bucket and match."""
     large = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
     large = written(large.select("key", F.ceil(F.col("n") / (PART / 2)).cast("int").alias("parts")), "large")
     if large.count() <= MOST_BROADCAST:
@@ -245,14 +286,13 @@ def matches(points: DataFrame) -> DataFrame:
             k = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
             new = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
             if len(new):
-                yield from votes(held.slice(0, new[-1]), [0, *new.tolist()])
+                yield from pairs_of(held.slice(0, new[-1]), [0, *new.tolist()])
                 held = held.slice(new[-1])
         if held is not None and held.num_rows:
-            yield from votes(held, [0, held.num_rows])
+            yield from pairs_of(held, [0, held.num_rows])
 
-    def votes(t: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+    def pairs_of(t: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
         col = {n: t.column(n).to_numpy() for n in t.column_names}
-        col |= unpacked(col["g"])
         d = np.stack([col["d0"], col["d1"]], axis=1).view(np.uint64)
         for lo, hi in zip(bounds, bounds[1:], strict=False):
             if hi - lo < 2:
@@ -271,20 +311,23 @@ def matches(points: DataFrame) -> DataFrame:
                 v = np.where(col["c"][i] < col["c"][j], j, i)
                 if not len(u):
                     continue
-                turn = (col["a"][v] - col["a"][u]) % (2 * np.pi)
-                size = np.log2(col["s"][u] / col["s"][v])  # a larger copy is met at a smaller scale
-                ratio = 2.0 ** (np.rint(size / SCALE_BIN) * SCALE_BIN)
-                steps = np.rint(turn / (2 * np.pi) * TURN_BINS) % TURN_BINS
-                angle = steps * (2 * np.pi / TURN_BINS)
-                dx = col["x"][v] - ratio * (np.cos(angle) * col["x"][u] - np.sin(angle) * col["y"][u])
-                dy = col["y"][v] - ratio * (np.sin(angle) * col["x"][u] + np.cos(angle) * col["y"][u])
-                out = [[], [], [], [], [], [], []]
-                for ox in (0, 0.5):  # two grids, half a bin apart, so that no border splits a cluster in both
-                    for o, x in zip(out, (col["c"][u], col["c"][v], col["k"][u], steps, np.rint(size / SCALE_BIN) * 2 + (ox > 0), np.floor(dx / SHIFT_BIN + ox), np.floor(dy / SHIFT_BIN + ox)), strict=True):
-                        o.append(x.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["u", "v", "k", "turn", "size", "dx", "dy"])
-
-    return mapped(points, run, "u long, v long, k long, turn long, size long, dx long, dy long")
+                yield pa.RecordBatch.from_arrays([pa.array(col[c][k]) for c, k in (("c", u), ("c", v), ("g", u), ("g", v))], ["u", "v", "gu", "gv"])
+
+    return mapped(points, run, "u long, v long, gu long, gv long")
+
+
+def agreed(found: DataFrame) -> DataFrame:
+    """(u, v) of the classes whose matches (u, v, gu, gv) agree on a transform."""
+    rows = found.repartition("u", "v").sortWithinPartitions("u", "v", "gu", "gv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for x in grouped(batches, ["u", "v"]):
+            if x.num_rows >= CONSENSUS and agreeing(x.column("gu").to_numpy(), x.column("gv").to_numpy()) >= CONSENSUS:
+                out.append((x.column("u")[0].as_py(), x.column("v")[0].as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return mapped(rows, run, "u long, v long")
 
 
 def picture_of(values: np.ndarray, side: int = 96) -> np.ndarray:
@@ -316,4 +359,6 @@ def rendered_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col:
                     out.append(b"P5 %d %d 255\n" % (grey.shape[1], grey.shape[0]) + grey.tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(out, pa.binary())], [id_col, "image"])
 
-    return mapped(embeddings.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")), run, f"`{id_col}` long, image binary")
+    # vectors are small and drawing is much work: rows are spread first
+    rows = embeddings.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).repartition(4 * embeddings.sparkSession.sparkContext.defaultParallelism)
+    return mapped(rows, run, f"`{id_col}` long, image binary")
