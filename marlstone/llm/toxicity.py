@@ -1,7 +1,8 @@
-"""Operator 6, toxicity: a weighted finite-state grammar over clauses, its terminals and weights learned from labels."""
+"""Operator 6, toxicity: weighted finite-state transducers, composed, over clauses; terminals and weights learned from labels."""
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -30,28 +31,131 @@ TRAIN_ROWS, TERMINALS = 20_000, 3_000
 #: A learned terminal is in so many toxic documents at least and so many times likelier there.
 LEAST_DOCS, LEAST_LIFT = 6, 20.0
 PREFIXES = (4, 5, 6)
+#: Words over which a negation reaches.
+REACH = 3
+#: Starting log weights of what a clause says of its match, refitted from labels: a match that nobody is the target of, a negated and a reported one.
+STARTING = {"untargeted": -0.25, "negated": -1.05, "reported": -0.5}
+NAMES = tuple(STARTING)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted finite-state transducer. ``arcs[state][symbol]`` lists (output, next state, weight); symbols without arcs of their own take those of None, with themselves as output. ``final`` has the weights of the states in which a clause may end."""
+
+    start: int
+    arcs: dict[int, dict[str | None, list[tuple[str | None, int, float]]]]
+    final: dict[int, float]
+
+    def step(self, state: int, symbol: str) -> list[tuple[str, int, float]]:
+        """The moves on one symbol."""
+        own = self.arcs.get(state, {})
+        return [(symbol if out is None else out, to, w) for out, to, w in own.get(symbol, own.get(None, []))]
+
+    def best(self, symbols: list[str]) -> float:
+        """The weight of the best path over all symbols; minus infinity if none ends."""
+        at = {self.start: 0.0}
+        for x in symbols:
+            after: dict[int, float] = {}
+            for state, w in at.items():
+                for _, to, more in self.step(state, x):
+                    after[to] = max(after.get(to, -math.inf), w + more)
+            at = after
+        return max((w + self.final[k] for k, w in at.items() if k in self.final), default=-math.inf)
+
+
+def compose(first: Transducer, second: Transducer, alphabet: set[str]) -> Transducer:
+    """The machine that runs ``second`` on the output of ``first``, over the symbols of ``alphabet``: states are the pairs that are reached, weights add."""
+    numbers, work = {(first.start, second.start): 0}, [(first.start, second.start)]
+    arcs: dict[int, dict] = {}
+    final: dict[int, float] = {}
+    while work:
+        p, q = work.pop()
+        k = numbers[p, q]
+        if p in first.final and q in second.final:
+            final[k] = first.final[p] + second.final[q]
+        for x in alphabet:
+            for mid, p2, w in first.step(p, x):
+                for out, q2, v in second.step(q, mid):
+                    if (p2, q2) not in numbers:
+                        numbers[p2, q2] = len(numbers)
+                        work.append((p2, q2))
+                    arcs.setdefault(k, {}).setdefault(x, []).append((out, numbers[p2, q2], w + v))
+    return Transducer(0, arcs, final)
+
+
+#: Symbols of words, and of the matches that the machines rewrite: mark! is negated, mark" reported, mark!" both.
+WORDS = {"other", "insult", "threat", "target", "negation", "report"}
+MARKS = ("", "!", '"', '!"')
+
+
+def negation() -> Transducer:
+    """Marks insults and threats within ``REACH`` words after a negation; state k has k words to go."""
+    arcs: dict[int, dict] = {}
+    for k in range(REACH + 1):
+        to = max(0, k - 1)
+        arcs[k] = {None: [(None, to, 0.0)], "negation": [("negation", REACH, 0.0)]}
+        if k:
+            arcs[k] |= {m: [(m + "!", to, 0.0)] for m in ("insult", "threat")}
+    return Transducer(0, arcs, {k: 0.0 for k in range(REACH + 1)})
+
+
+def reported() -> Transducer:
+    """Marks insults and threats after a word of reported speech, to the end of the clause."""
+    marked = {m + k: [(m + k + '"', 1, 0.0)] for m in ("insult", "threat") for k in MARKS[:2]}
+    return Transducer(0, {0: {None: [(None, 0, 0.0)], "report": [("report", 1, 0.0)]}, 1: {None: [(None, 1, 0.0)]} | marked}, {0: 0.0, 1: 0.0})
+
+
+def target() -> Transducer:
+    """Guesses whether the clause has a target, as it may come after the match: state 1 says none, 2 one that is to come, 3 one that was met. A threat without a target is none."""
+    kinds = [m + k for m in ("insult", "threat") for k in MARKS]
+    none = {"target": []} | {x: [("other" if x.startswith("threat") else "bare " + x, 1, 0.0)] for x in kinds} | {None: [(None, 1, 0.0)]}
+    one = lambda to: {None: [(None, to, 0.0)], "target": [("target", 3, 0.0)]} | {x: [("at " + x, to, 0.0)] for x in kinds}
+    start = {x: none.get(x, none[None]) + one(2).get(x, one(2)[None]) for x in [*kinds, "target", None]}
+    return Transducer(0, {0: start, 1: none, 2: one(2), 3: one(3)}, {0: 0.0, 1: 0.0, 3: 0.0})
+
+
+def insult(weights: dict[str, float]) -> Transducer:
+    """Takes one match of a clause, of an insult, and weighs what the machines before it found out."""
+    return _picked("insult", weights)
+
+
+def threat(weights: dict[str, float]) -> Transducer:
+    """Takes one match of a clause, of a threat, and weighs what the machines before it found out."""
+    return _picked("threat", weights)
+
+
+def _picked(kind: str, weights: dict[str, float]) -> Transducer:
+    skip, pick = {None: [(None, 0, 0.0)]}, {}
+    for place in ("at ", "bare "):
+        for k in MARKS:
+            w = weights["untargeted"] * (place == "bare ") + weights["negated"] * ("!" in k) + weights["reported"] * ('"' in k)
+            pick[place + kind + k] = [(None, 0, 0.0), ("match", 1, w)]
+    return Transducer(0, {0: skip | pick, 1: {None: [(None, 1, 0.0)]}}, {1: 0.0})
+
+
+def machines(weights: dict[str, float]) -> dict[str, Transducer]:
+    """By kind of match, the grammar as one machine: negation, then reported speech, then the target, then the match."""
+    context = compose(compose(negation(), reported(), WORDS), target(), WORDS)
+    return {"insult": compose(context, insult(weights), WORDS), "threat": compose(context, threat(weights), WORDS)}
 
 
 @dataclass
 class Grammar:
-    """Weights of insult terminals (a word, or a prefix written with *), of the transducers, and of the calibration."""
+    """Log weights of insult terminals (a word, or a prefix written with *), of threats, of the arcs, and of the calibration."""
 
     insults: dict[str, float]
     threats: set[str] = field(default_factory=lambda: set(THREATS))
     calibration: tuple[float, ...] = (-4.0, 2.0, 1.0, 0.5, 0.5)
+    arcs: dict[str, float] = field(default_factory=lambda: dict(STARTING))
 
 
 class Scorer:
-    """Runs the composed transducers over the clauses that hold an insult or threat.
+    """Runs the composed machines over the clauses that hold an insult or threat; other clauses weigh nothing.
 
-    The states of a clause: plain, negated (for three words after a negation),
-    reported (to the clause's end), targeted. An insult adds its weight, times
-    the factor of each state it meets; a target in the clause raises it and
-    makes a threat count. Other clauses weigh nothing.
+    A clause weighs as much as its matches, each by the best path that takes
+    it: the weight of the terminal times exp of the path's.
     """
 
-    NEGATED, REPORTED, TARGETED, THREAT = 0.35, 0.6, 1.25, 1.0
-
     def __init__(self, grammar: Grammar):
         self.g = grammar
         self.classes = {w: "target" for w in TARGETS} | {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS} | {w: "threat" for w in grammar.threats}
@@ -61,8 +165,10 @@ class Scorer:
         if len(self.find):
             self.find.make_automaton()
         self.longest = max((len(w) for w in grammar.insults if w.endswith("*")), default=1) - 1
+        self.machines = machines(grammar.arcs)
 
     def insult(self, word: str) -> float:
+        """The weight of the word as an insult; 0 if it is none."""
         g = self.g.insults
         best = g.get(word, 0.0)
         for n in range(min(PREFIXES), min(self.longest, len(word)) + 1):
@@ -71,43 +177,114 @@ class Scorer:
 
     def clause(self, words: list[str]) -> float:
         """Weight of one clause, lower-case words in order."""
-        kinds = [self.classes.get(w, "") for w in words]
-        targeted = "target" in kinds
-        total, negated, reported = 0.0, 0, False
-        for w, kind in zip(words, kinds, strict=True):
-            if kind == "negation":
-                negated = 4
-            elif kind == "report":
-                reported = True
-            weight = self.insult(w) * (self.TARGETED if targeted else 1.0)
-            if kind == "threat" and targeted:
-                weight += self.THREAT
-            total += weight * (self.NEGATED if negated else 1.0) * (self.REPORTED if reported else 1.0)
-            negated = max(0, negated - 1)
+        weights = [self.insult(w) for w in words]
+        symbols = [self.classes.get(w) or ("insult" if x else "other") for w, x in zip(words, weights, strict=True)]
+        total = 0.0
+        for kind, machine in self.machines.items():
+            if kind in symbols:
+                terminal = [x if kind == "insult" else 1.0 for x in weights]
+                total += sum(terminal[k] * math.exp(w) for k, w in self.matches(machine, symbols).items())
         return total
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        """log(1 + summed clause weights), the largest one, matched clauses, and their number per 1,000 words, in logs."""
+    def matches(self, machine: Transducer, symbols: list[str]) -> dict[int, float]:
+        """By place of a match, the weight of the best path of the machine that takes it.
+
+        One pass: states without a match yet hold one weight; a state after a
+        match holds one for each place that may still count, and places whose
+        paths have come together in one state differ by a constant from then on.
+        """
+        before, groups = {machine.start: 0.0}, []
+        for at, x in enumerate(symbols):
+            moved: dict[int, float] = {}
+            taken: dict[int, float] = {}
+            for state, w in before.items():
+                for out, to, more in machine.step(state, x):
+                    into = taken if out == "match" else moved
+                    into[to] = max(into.get(to, -math.inf), w + more)
+            before = moved
+            after = []
+            for vector, places in groups:
+                new: dict[int, float] = {}
+                for state, w in vector.items():
+                    for _, to, more in machine.step(state, x):
+                        new[to] = max(new.get(to, -math.inf), w + more)
+                after.append((new, places))
+            if taken:
+                after.append((taken, {at: 0.0}))
+            groups = self._joined(after)
+        out: dict[int, float] = {}
+        for vector, places in groups:
+            end = max((w + machine.final[k] for k, w in vector.items() if k in machine.final), default=-math.inf)
+            if end > -math.inf:
+                out |= {k: end + w for k, w in places.items()}
+        return out
+
+    @staticmethod
+    def _joined(groups: list[tuple[dict[int, float], dict[int, float]]]) -> list[tuple[dict[int, float], dict[int, float]]]:
+        """Groups whose weights by state are the same but for a constant become one."""
+        found: dict[tuple, tuple[dict[int, float], dict[int, float]]] = {}
+        for vector, places in groups:
+            if not vector:
+                continue
+            base = max(vector.values())
+            key = tuple(sorted((k, round(w - base, 9)) for k, w in vector.items()))
+            if key in found:
+                kept, all_places = found[key]
+                shift = base - max(kept.values())
+                all_places.update({k: w + shift for k, w in places.items()})
+            else:
+                found[key] = (vector, dict(places))
+        return list(found.values())
+
+    def clauses(self, text: str) -> Iterator[list[str]]:
+        """The words of each clause that holds a terminal, however long it is."""
         low = text.lower()
-        total = most = 0.0
-        matched = until = 0
+        until = start_at = 0
         for end, n in self.find.iter(low) if len(self.find) else ():
             start = end - n + 1
             if start < until or start and low[start - 1].isalpha():
                 continue
-            a = max((m.end() for m in CLAUSE_END.finditer(low, max(until, start - 400), start)), default=max(until, start - 400))
-            m = CLAUSE_END.search(low, end, end + 400)
-            until = m.start() if m else min(len(low), end + 400)
-            w = self.clause(WORD.findall(low[a:until]))
+            while m := CLAUSE_END.search(low, start_at):  # ends before the match; each is passed once
+                if m.start() >= start:
+                    break
+                start_at = m.end()
+            until = m.start() if m else len(low)
+            yield WORD.findall(low[start_at:until])
+
+    def features(self, text: str) -> tuple[float, float, float, float]:
+        """log(1 + summed clause weights), the largest one, matched clauses, and their number per 1,000 words, in logs."""
+        total = most = 0.0
+        matched = 0
+        for words in self.clauses(text):
+            w = self.clause(words)
             if w > 0:
                 total, most, matched = total + w, max(most, w), matched + 1
-        return math.log1p(total), most, math.log1p(matched), math.log1p(1000 * matched / (1 + len(low) / 6))
+        return math.log1p(total), min(most, 10.0), math.log1p(matched), math.log1p(1000 * matched / (1 + len(text) / 6))
 
     def score(self, text: str) -> float:
         """From 0 to 1."""
         z = self.g.calibration[0] + sum(a * b for a, b in zip(self.g.calibration[1:], self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def contexts(self, text: str) -> list[float]:
+        """By what is said of a match (plain, then ``NAMES``): log(1 + matches), to learn the arcs from."""
+        n = dict.fromkeys(("plain", *NAMES), 0)
+        for words in self.clauses(text):
+            symbols = [self.classes.get(w) or ("insult" if self.insult(w) else "other") for w in words]
+            for kind, machine in self.probes.items():
+                if kind in symbols:
+                    for w in self.matches(machine, symbols).values():
+                        code = round(-w)
+                        for k, name in enumerate(NAMES):
+                            n[name] += code >> k & 1
+                        n["plain"] += not code
+        return [math.log1p(x) for x in n.values()]
+
+    @functools.cached_property
+    def probes(self) -> dict[str, Transducer]:
+        """The same machines with weights that tell which arcs a path took."""
+        return machines({name: -float(1 << k) for k, name in enumerate(NAMES)})
+
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Intercept and weights of a ridge logistic regression, by Newton's steps."""
@@ -128,8 +305,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
 
     About ``TRAIN_ROWS`` labels are drawn by hash, which is the bound of what
     is broadcast and sent to the driver. Document frequencies of words and of
-    prefixes, toxic against other, give the terminals; their weighted clauses
-    then calibrate the score. With no labels the starting terminals stay.
+    prefixes, toxic against other, give the terminals; what the matches'
+    contexts tell gives the weights of the arcs; the weighted clauses then
+    calibrate the score. With no labels, or none of one kind, what would be
+    learned keeps its starting values.
     """
     wanted = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
     total = wanted.count()
@@ -168,28 +347,51 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
         covered = any(term[:k] + "*" in insults for k in PREFIXES if k < len(term))
         if lift >= LEAST_LIFT and not covered and len(insults) < TERMINALS:
             insults[term] = min(2.0, math.log(lift) / 4)
-    scorer = Scorer(Grammar(insults))
+    first = Grammar(insults)
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_t"):
+            x = [scorer_of(first).contexts(t) for t in batch.column("_t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in x], pa.float64()) for k in range(4)] + [batch.column("_y").cast(pa.float64())], [*"abcd", "y"])
+
+    x = mapped(rows, contexts, "a double, b double, c double, d double, y double").toPandas().to_numpy()
+    if len({*x[:, 4]}) < 2:
+        return first
+    learned = Grammar(insults, arcs=learned_arcs(x[:, :4], x[:, 4]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
-            x = [scorer_of(insults).features(t) for t in batch.column("_t").to_pylist()]
+            x = [scorer_of(learned).features(t) for t in batch.column("_t").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in x], pa.float64()) for k in range(4)] + [batch.column("_y").cast(pa.float64())], [*"abcd", "y"])
 
     x = mapped(rows, measure, "a double, b double, c double, d double, y double").toPandas().to_numpy()
-    if len({*x[:, 4]}) < 2:
-        return Grammar(insults)
-    return Grammar(insults, scorer.g.threats, tuple(logistic(x[:, :4], x[:, 4]).tolist()))
+    return Grammar(insults, calibration=tuple(logistic(x[:, :4], x[:, 4]).tolist()), arcs=learned.arcs)
+
+
+def learned_arcs(x: np.ndarray, y: np.ndarray) -> dict[str, float]:
+    """Log weights of the arcs from documents' matches by context (plain, then ``NAMES``): how much less one says than a plain one.
+
+    The starting weights count as much as ten documents with such matches, so contexts that are rare keep them.
+    """
+    w = logistic(x, y)[1:]
+    plain = max(float(w[0]), 1e-3)
+    out = {}
+    for k, name in enumerate(NAMES):
+        seen = float((x[:, k + 1] > 0).sum())
+        ratio = math.log(min(1.5, max(0.05, float(w[k + 1]) / plain)))
+        out[name] = (10 * STARTING[name] + seen * ratio) / (10 + seen)
+    return out
 
 
 _loaded: dict = {}
 
 
-def scorer_of(insults: dict[str, float]) -> Scorer:
-    """Per worker: the scorer for these terminals, built once."""
-    key = hash(tuple(sorted(insults.items())))
+def scorer_of(grammar: Grammar) -> Scorer:
+    """Per worker: the scorer of this grammar, built once."""
+    key = hash((tuple(sorted(grammar.insults.items())), grammar.calibration, tuple(sorted(grammar.arcs.items()))))
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Scorer(Grammar(insults))
+        _loaded[key] = Scorer(grammar)
     return _loaded[key]
 
 
