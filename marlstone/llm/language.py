@@ -15,17 +15,27 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.scale import held, mapped, slices
 
+#: Runs of letters, once numerals that patterns take for word characters (from a rule: fractions, circled digits and the like; none is beyond the second plane) are blanked.
 WORD = re.compile(r"[^\W\d_]+")
+NUMERALS = frozenset(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+
+
+def lowered(text: str) -> str:
+    """Lower case, with blanks for numerals."""
+    low = text.lower()
+    return low if low.isascii() or NUMERALS.isdisjoint(low) else "".join([" " if c in NUMERALS else c for c in low])
+
+
 # First and last code points of scripts.
 SCRIPTS = {
     "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF)), "greek": ((0x370, 0x3FF),), "cyrillic": ((0x400, 0x52F),), "armenian": ((0x530, 0x58F),), "hebrew": ((0x590, 0x5FF),),
     "arabic": ((0x600, 0x6FF), (0x750, 0x77F)), "devanagari": ((0x900, 0x97F),), "thai": ((0xE00, 0xE7F),), "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
     "kana": ((0x3040, 0x30FF),), "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
 }
-#: Documents of each language that the model is fitted on at most (about; chosen by hash of the id), and grams kept for each.
-TRAIN_DOCS, TRAIN_GRAMS, TRAIN_LANGS = 1_500, 30_000, 200
-#: Weight of a gram, bound of what one word can say, cost of a switch, and of a script that a language doesn't use.
-GRAM_WEIGHT, WORD_BOUND, SWITCH, WRONG_SCRIPT = 0.5, 6.0, 9.0, 12.0
+#: Documents of each language that the model is fitted on at most (about; chosen by hash of the id), and grams kept for each. Every language that is met is learned.
+TRAIN_DOCS, TRAIN_GRAMS = 1_500, 30_000
+#: Weight of a gram, bound of what one word can say, cost of a switch, and of a script that a language doesn't use; share of a language's words from which it uses a script.
+GRAM_WEIGHT, WORD_BOUND, SWITCH, WRONG_SCRIPT, USED = 0.5, 6.0, 9.0, 12.0, 0.02
 BLOCK = 32
 #: Letters of a piece at most, in scripts that set blanks between words and in those that don't.
 PIECE_LETTERS, UNSPACED_LETTERS, UNSPACED = 40, 4, ("thai", "kana", "han")
@@ -52,79 +62,114 @@ def grams(word: str) -> list[str]:
 
 
 @dataclass
-class Model:
-    """Log-likelihoods: a row of ``table`` for each gram (row 0: an unseen one), a column for each language; the scripts that each uses."""
+class Candidates:
+    """The languages (numbers) that use a script, and log-likelihoods of its grams in these only: a row for each gram, row 0 for an unseen one."""
 
-    langs: list[str]
+    langs: np.ndarray
     grams: dict[str, int]
     table: np.ndarray
-    scripts: dict[str, np.ndarray]
+
+
+@dataclass
+class Model:
+    """The languages, and by script the candidates of its words."""
+
+    langs: list[str]
+    scripts: dict[str, Candidates]
 
     def key(self) -> tuple:
         """Tells models apart within a worker."""
-        return (*self.langs, len(self.grams), zlib.crc32(self.table.tobytes()))
+        return (*self.langs, *((s, len(c.grams), zlib.crc32(c.table.tobytes())) for s, c in self.scripts.items()))
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Scores of lower-case words, a row each, at most 0: the best language of a word has 0, the others no less than the bounds allow."""
-        at, flat, sizes = self.grams.get, [], []
-        for w in words:
-            found = [at(g, 0) for g in grams(w)]
-            flat += found
-            sizes.append(len(found))
-        s = np.add.reduceat(self.table[flat], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
-        s = np.maximum(GRAM_WEIGHT * (s - s.max(axis=1, keepdims=True)), -WORD_BOUND)
-        names = [script_of(w) for w in words]
-        for script in set(names):
-            used = self.scripts.get(script)
-            if used is not None and used.any() and not used.all():
-                k = np.flatnonzero([n == script for n in names])
-                x = s[k]
-                s[k] = np.where(used, x - x[:, used].max(axis=1, keepdims=True), x - WRONG_SCRIPT)
-        return s.astype(np.float32)
+        """Scores of lower-case words, a row each, at most 0.
+
+        A word's script narrows the languages: only those that use it are
+        compared, where the best has 0 and the others no less than
+        ``-WORD_BOUND``; all others have ``-WRONG_SCRIPT``. A word of a script
+        that no language uses says nothing.
+        """
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        of_script: dict[str, list[int]] = {}
+        for k, w in enumerate(words):
+            of_script.setdefault(script_of(w), []).append(k)
+        for script, rows in of_script.items():
+            if script not in self.scripts:
+                continue
+            c = self.scripts[script]
+            at, flat, sizes = c.grams.get, [], []
+            for k in rows:
+                found = [at(g, 0) for g in grams(words[k])]
+                flat += found
+                sizes.append(len(found))
+            s = np.add.reduceat(c.table[flat], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
+            full = np.full((len(rows), len(self.langs)), -WRONG_SCRIPT, np.float32)
+            full[:, c.langs] = np.maximum(GRAM_WEIGHT * (s - s.max(axis=1, keepdims=True)), -WORD_BOUND)
+            out[rows] = full
+        return out
 
 
 def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from the rows where ``learn`` holds and language and text are not null; None if there is none.
 
     Rows are drawn by hash of the id, about ``TRAIN_DOCS`` a language; grams are
-    counted on the executors over whole texts and the most frequent ones are
-    sent to the driver, so the model's size has a bound.
+    counted on the executors over whole texts and the most frequent ones of
+    each language are sent to the driver. A script's table has the languages
+    that use it only, so the model grows with the languages, not with their square.
     """
     rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_l"), F.col(text_col).alias("_t"))
-    counts = rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_l").limit(TRAIN_LANGS).collect()
+    counts = rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None
     langs = sorted(r["_l"] for r in counts)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["_l"], int(min(1.0, TRAIN_DOCS / r["n"]) * 1_000_000))])
-    drawn = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share[F.col("_l")])
+    share = rows.sparkSession.createDataFrame([(r["_l"], int(min(1.0, TRAIN_DOCS / r["n"]) * 1_000_000)) for r in counts], "_l string, _share long")
+    drawn = rows.join(F.broadcast(share), "_l").where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.col("_share")).select("_id", "_l", "_t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
             words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("_l").to_pylist(), batch.column("_t").to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(WORD.findall(lowered(text)))
             for lang, found in words.items():
                 n: Counter = Counter()
                 for run, k in found.items():
                     for w in pieces(run):
-                        n["s" + script_of(w)] += k
+                        script = script_of(w)
+                        n[script] += k
                         for g in grams(w):
-                            n["g" + g] += k
+                            n[f"{script}\t{g}"] += k
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["lang", "gram", "n"])
 
     table = mapped(drawn, count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    found = table.where("n > 1 or gram like 's%'").withColumn("r", rank).where(F.col("r") <= TRAIN_GRAMS).select("lang", "gram", "n").toPandas()
+    found = table.where("n > 1 or instr(gram, '\t') = 0").withColumn("r", rank).where(F.col("r") <= TRAIN_GRAMS).select("lang", "gram", "n").toPandas()
     at = {x: k for k, x in enumerate(langs)}
-    n = {g: np.zeros(len(langs)) for g in found["gram"]}
+    words: dict[str, np.ndarray] = {}
+    counts: dict[str, dict[str, list[tuple[int, int]]]] = {}
+    total = np.zeros(len(langs))
     for lang, gram, k in found.itertuples(index=False):
-        n[gram][at[lang]] += k
-    by_gram = {g[1:]: v for g, v in n.items() if g[0] == "g"}
-    total = sum(by_gram.values(), np.zeros(len(langs))) + 0.5 * max(1, len(by_gram))
-    used = {g[1:]: v for g, v in n.items() if g[0] == "s"}
-    letters = sum(used.values(), np.zeros(len(langs)))
-    table_ = np.log((np.array([np.zeros(len(langs)), *by_gram.values()]) + 0.5) / total).astype(np.float32)
-    return Model(langs, {g: k + 1 for k, g in enumerate(by_gram)}, table_, {s: v > 0.02 * letters for s, v in used.items()})
+        script, tab, g = gram.partition("\t")
+        if tab:
+            counts.setdefault(script, {}).setdefault(g, []).append((at[lang], k))
+            total[at[lang]] += k
+        else:
+            words.setdefault(script, np.zeros(len(langs)))[at[lang]] += k
+    total += 0.5 * max(1, sum(map(len, counts.values())))
+    letters = sum(words.values(), np.zeros(len(langs)))
+    scripts = {}
+    for script, n in words.items():
+        used = np.flatnonzero(n > USED * letters)
+        if not len(used):
+            continue
+        column = {int(k): i for i, k in enumerate(used)}
+        mine = {g: v for g, v in counts.get(script, {}).items() if any(k in column for k, _ in v)}
+        x = np.full((len(mine) + 1, len(used)), 0.5)
+        for row, v in enumerate(mine.values(), 1):
+            for k, many in v:
+                if k in column:
+                    x[row, column[k]] += many
+        scripts[script] = Candidates(used, {g: k + 1 for k, g in enumerate(mine)}, np.log(x / total[used]).astype(np.float32))
+    return Model(langs, scripts)
 
 
 def viterbi(texts: list[np.ndarray], scores: np.ndarray, switch: float = SWITCH) -> list[np.ndarray]:
@@ -225,7 +270,7 @@ class Labeller:
     def labels(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.row) > self.most:
             self._turn()
-        words = [WORD.findall(t.lower()) for t in texts]
+        words = [WORD.findall(lowered(t)) for t in texts]
         row = self.row
         new = {w for x in words for w in x if w not in row}
         if broken := {w: p for w in new if len(p := pieces(w)) > 1}:
@@ -241,14 +286,15 @@ class Labeller:
         if not len(labels):
             return []
         edge = np.flatnonzero(np.diff(labels)) + 1
-        if len(text.lower()) != len(text):  # lower-casing moved letters: keep the whole text as one span
-            edge = edge[:0]
         if not len(edge):
-            return [{"start": 0, "end": len(text), "lang": self.model.langs[int(np.bincount(labels).argmax())]}]
-        low = text.lower()
-        at = [m.span() for run in WORD.finditer(low) for m in PIECE.finditer(low, *run.span())]
+            return [{"start": 0, "end": len(text), "lang": self.model.langs[int(labels[0])]}]
+        low = lowered(text)
+        at = np.array([m.span() for run in WORD.finditer(low) for m in PIECE.finditer(low, *run.span())])
+        if len(low) != len(text):  # some letters become two: back to places in the text
+            place = np.append(np.repeat(np.arange(len(text)), [len(c.lower()) for c in text]), len(text))
+            at = np.stack([place[at[:, 0]], place[at[:, 1] - 1] + 1], axis=1)
         bounds = [0, *edge.tolist(), len(labels)]
-        return [{"start": at[a][0], "end": at[b - 1][1], "lang": self.model.langs[int(labels[a])]} for a, b in zip(bounds, bounds[1:], strict=False)]
+        return [{"start": int(at[a][0]), "end": int(at[b - 1][1]), "lang": self.model.langs[int(labels[a])]} for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def identify_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
@@ -285,7 +331,9 @@ LEAST_SHARE = 0.5
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = LEAST_SHARE) -> DataFrame:
     """``docs`` with its own columns, without rows whose language is ``und`` or owns less than ``least`` of the words.
 
-    Decided row by row in one pass, so no join is needed and repeated ids are no matter.
+    Decided row by row in one pass, so no join is needed and repeated ids are no
+    matter. Null and empty texts go; without a model all rows do. An empty
+    table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -62,10 +62,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, learned from those that aren't held out."""
+    """Language of every document and of its spans, learned from those that aren't held out."""
     docs = read(spark, sf_dir)
     model = language.fit_languages(docs, crc32_mod(F.col("doc_id"), 3) != 1)
-    return language.identify_languages(docs, model, spans=False).select("doc_id", F.coalesce(crc32_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return language.identify_languages(docs, model).select("doc_id", F.coalesce(crc32_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
