@@ -561,68 +561,56 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return mapped(rows.select("a", "b", "_s", "_r"), run, "a long, b long")
 
 
-def linked_in(n: np.ndarray, side: np.ndarray, c: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links (positions) that join what is similar among rows sorted by ``n``, or across two sides; those of one ``c`` hang together at first."""
-    label = np.unique(c, return_inverse=True)[1]
-    across = bool((side != side[0]).any())
-    edges = []
-    for i in range(len(n)):
-        to = int(np.searchsorted(n, n[i] / similarity + 1e-6, "right"))
-        j = i + 1
-        while j < to:
-            left = np.flatnonzero((label[j:to] != label[i]) & ((side[j:to] != side[i]) if across else True))
-            if not len(left):
-                break
-            j += int(left[0])
-            if similar(sets[i], sets[j], similarity):
-                edges.append((i, j))
-                label[label == label[j]] = label[i]
-            j += 1
-    return edges
-
-
-def linked_in_buckets(points: DataFrame, sets: DataFrame, similarity: float, part_bytes: int) -> DataFrame:
-    """Links (a, b) that join similar rows of ``points`` (h, n, id, c) in each bucket h that holds several components c.
-
-    The sets come to the bucket, so pairs are checked where they meet and only
-    links are given, fewer than a bucket has rows. A bucket with over
-    ``part_bytes`` of sets is cut into parts, and each pair of parts is a shard.
+def apart_in_buckets(points: DataFrame, similarity: float, part: int) -> DataFrame:
+    """Pairs (a, b) of ``points`` (h, n, id, pos, c) of one bucket and different components c that can be similar.
+
+    Only buckets that hold several components are looked at, so what hangs
+    together already gives no pairs, however large the group. A bucket of more
+    than ``part`` rows is cut into parts, and each pair of parts is a shard.
     """
-    mixed = points.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.sum("n") * 8 / part_bytes).cast("int").alias("parts")).where("lo < hi").select("h", "parts")
+    mixed = points.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")).where("lo < hi").select("h", "parts")
     mixed = written(mixed, "mixed")
     if mixed.count() <= MOST_BROADCAST:
         mixed = F.broadcast(mixed)
     rows = points.join(mixed, "h").withColumn("at", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
     deal = F.expr("transform(sequence(0, parts - 1), x -> named_struct('i', least(x, at), 'j', greatest(x, at), 'side', if(at > x, 1, 0)))")
-    rows = written(rows.select("h", "n", "id", "c", F.explode(deal).alias("s")).select("h", "s.i", "s.j", "n", "s.side", "id", "c"), "buckets")
-    rows = rows.join(sets, "id").select("h", "i", "j", "n", "side", "id", "c", "_s")
+    rows = rows.select("h", "n", "id", "pos", "c", F.explode(deal).alias("s")).select("h", "s.i", "s.j", "n", "s.side", "id", "pos", "c")
     rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in grouped(batches, ["h", "i", "j"]):
-            n, side, id_, c = (x.column(k).to_numpy() for k in ("n", "side", "id", "c"))
-            sets_ = [np.frombuffer(y.as_buffer(), np.uint64) for y in x.column("_s")]
-            if found := linked_in(n, side, c, sets_, similarity):
-                both = id_[np.array(found)]
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            n, side, id_, pos, c = (x.column(k).to_numpy().astype(np.int64) for k in ("n", "side", "id", "pos", "c"))
+            across = bool((side != side[0]).any())
+            step = max(1, (1 << 18) // len(n))
+            for at in range(0, len(n), step):
+                rows = np.arange(at, min(at + step, len(n)))
+                to = int(np.searchsorted(n, n[rows[-1]] / similarity + 1e-6, "right"))
+                hit = (c[rows][:, None] != c[at:to]) & (np.arange(at, to) > rows[:, None]) & may_be_similar(n[rows][:, None], pos[rows][:, None], n[at:to], pos[at:to], similarity)
+                if across:
+                    hit &= side[rows][:, None] != side[at:to]
+                i, j = np.nonzero(hit)
+                if len(i):
+                    both = np.sort(np.stack([id_[rows[i]], id_[at + j]], axis=1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return mapped(rows, run, "a long, b long").distinct()
 
 
-#: Partners by sketch that a row is checked with first, and bytes of shingle sets of a part of a bucket.
-FIRST, PART_BYTES = 3, 8 << 20
+#: Partners by sketch that a row is checked with first.
+FIRST = 3
 
 
-def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, part_bytes: int = PART_BYTES, keyed: bool = False) -> DataFrame:
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, part: int = PART, keyed: bool = False) -> DataFrame:
     """One row (id, component_id[, _x]) for each row: texts whose shingle sets overlap by ``similarity`` (Jaccard) or more hang together, and no others.
 
     Equal sets are one class. Similar sets share a shingle of their prefixes
     (``shingle_sets``), so rows meet in buckets by these. Of the pairs that can
     be similar by sizes, places and sketches, each row's best few are checked on
-    the whole sets first. Then, only where these links left several components,
-    small buckets' pairs are checked too, and hot buckets (over ``FEW`` rows)
-    check theirs in the bucket. Nulls, empty texts, repeated rows and other
-    columns: as for ``near_dedup``. ``keyed`` adds the text's hash.
+    the whole sets first. Then the pairs that these links left in different
+    components are checked: those of small buckets, and those of hot ones (over
+    ``FEW`` rows), which give no others, so a group of K copies doesn't cost
+    K^2 pairs. Nulls, empty texts, repeated rows and other columns: as for
+    ``near_dedup``. ``keyed`` adds the text's hash.
     """
     rows = written(shingle_sets(docs, id_col, text_col, words, similarity, common_shingles(docs, id_col, text_col, words)), "shingles")
     one = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_x"))).alias("one")
@@ -634,19 +622,20 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = hot.count()
     points = points.join(F.broadcast(hot) if some <= MOST_BROADCAST else hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     close = written(possible(close_pairs(points, similarity), known, similarity), "pairs")
-    ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    best = written(close.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(F.col("r") <= FIRST).select("a", "b"), "best")
+    ids = best.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = sets_of(known.join(ids, "id", "left_semi"), docs, id_col, text_col, words)
-    best = close.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(F.col("r") <= FIRST)
     links = written(verified(best, sets, similarity), "similar")
     now = written(components(links), "components").select("id", F.col("component").alias("c"))
-    rest = close.join(now.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a", "left").join(now.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b", "left")
-    links = links.unionByName(written(verified(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")), sets, similarity), "similar"))
+    component = lambda pairs: pairs.join(now.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a", "left").join(now.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = component(close)
     if some:
-        mixed = written(points.where("hot").join(now, "id", "left").select("h", "n", "id", F.coalesce("c", "id").alias("c")), "points")
-        several = mixed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-        ids = mixed.join(several, "h", "left_semi").select("id").distinct()
-        sets = sets_of(known.join(ids, "id", "left_semi"), docs, id_col, text_col, words)
-        links = links.unionByName(written(linked_in_buckets(mixed, sets, similarity, part_bytes), "similar"))
+        labelled = written(points.where("hot").join(now, "id", "left").select("h", "n", "id", "pos", F.coalesce("c", "id").alias("c")), "points")
+        rest = rest.unionByName(possible(apart_in_buckets(labelled, similarity, part), known, similarity).select("a", "b")).distinct()
+    rest = written(rest, "pairs")
+    ids = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets_of(known.join(ids, "id", "left_semi"), docs, id_col, text_col, words)
+    links = links.unionByName(written(verified(rest, sets, similarity), "similar"))
     named = written(smallest_ids(classes.select(F.col("id").alias("key"), F.col("_id").alias("low")), links), "named")
     named = classes.join(named, F.col("id") == F.col("key")).select(F.col("fp").alias("_f"), F.col("fp1").alias("_g"), "component_id")
     out = rows.join(written(named, "named"), (F.col("fp") == F.col("_f")) & (F.col("fp1") == F.col("_g"))).select(F.col("_id").alias(id_col), "component_id", "_x")
