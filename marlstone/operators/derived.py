@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.filters import all_of, member, parse_filters, raw_type, trust_label, trust_rank
 from marlstone.sources.records import members
 
-#: Groups of more rows are marked stale on incremental upkeep instead of being summed.
+#: Groups of more rows are marked stale on incremental upkeep.
 MAX_GROUP_SCAN = 10_000
 MAX_DEPTH = 3
 
@@ -134,7 +134,7 @@ def number_of(path: str, typed: dict[str, tuple[Column, str]]) -> Column:
 
 
 def group_values(spec: Spec, records: DataFrame, only: DataFrame | None = None, max_scan: int | None = None) -> DataFrame:
-    """One row a group: its texts and aggregates; with ``only``, groups named there, stale beyond ``max_scan`` rows.
+    """One row a group: its texts and aggregates; with ``only``, groups named there; ``stale`` tells those of more than ``max_scan`` rows, whose values are exact all the same.
 
     Rows whose group members aren't all strings or numbers belong to no group.
     """
@@ -152,7 +152,6 @@ def group_values(spec: Spec, records: DataFrame, only: DataFrame | None = None,
     out = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
     if max_scan is not None:
         out = out.withColumn("stale", F.col("_rows") > max_scan)
-        out = out.withColumns({n: F.when(~F.col("stale"), F.col(n)) for n in sums})
     return out.drop("_rows")
 
 

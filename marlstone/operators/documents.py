@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from marlstone.functions import dom, fingerprints, jsonv, rules
 from marlstone.sources.shipping import ship
 
-#: Longest text that a text fingerprint reads; a signature's definition, not a sampling.
-SIGNATURE_CHARS = 200_000
-
 
 def mapped(df: DataFrame, columns: list[str], out: dict[str, tuple[str, pa.DataType]], keep: list[str], each: Callable[..., tuple]) -> DataFrame:
     """``keep`` columns with what ``each(*columns)`` returns as columns ``out`` (name -> Spark type, Arrow type)."""
@@ -64,7 +61,7 @@ def page_facts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
         text, md = dom.visible_text(root), dom.markdown(root)
         heading = next((x[2:].strip() for x in md.split("\n") if x.startswith("# ")), None)
         shape = fingerprints.vote([fingerprints.token_hash(s) for s in dom.shape(root)])
-        return dom.title(root), text, text[:300], len(text), dom.links(root, u), fingerprints.signed(fingerprints.simhash(text[:SIGNATURE_CHARS])), fingerprints.signed(shape), md, heading
+        return dom.title(root), text, text[:300], len(text), dom.links(root, u), fingerprints.signed(fingerprints.simhash(text)), fingerprints.signed(shape), md, heading
 
     return mapped(pages, [url, html], out, [key], one)
 

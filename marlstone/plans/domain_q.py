@@ -87,7 +87,7 @@ def posting_ledger(spark, d):
     return M.ledger(e.where("event_type = 'click'"), e.where("event_type = 'signup'"), "k")
 
 
-@query("select page_id, page_id % 10 = 3 or regexp_matches(lower(html), 'captcha|are you a robot|access denied|just a moment') and length(html) < 20000 as blocked from pages")
+@query("select page_id, page_id % 10 = 3 or regexp_matches(lower(substr(html, 1, 4096)), 'attention required|captcha|cf-browser-verification|checking your browser|ddos protection by|enable javascript|just a moment|please enable cookies|verify you are human') as blocked from pages")
 def bot_walls(spark, d):
     status = F.when(F.col("page_id") % 10 == 3, 403).otherwise(200)
     return table(spark, d, "pages").select("page_id", M.bot_wall(status, F.col("html")).alias("blocked"))

@@ -111,7 +111,7 @@ def derived_group_count_sum(spark, d):
     return derived.group_values(GROUP_SPEC, orders(spark, d))
 
 
-@query(RECORDS + "select o_orderstatus, o_orderpriority, case when count(*) <= 1000 then count(*) end as n, case when count(*) <= 1000 then cast(sum(o_orderkey) as double) end as keys, count(*) > 1000 as stale from r where removed_at is null and o_orderpriority in (select o_orderpriority from r where o_orderkey % 501 = 0) and (o_orderstatus, o_orderpriority) in (select o_orderstatus, o_orderpriority from r where o_orderkey % 501 = 0) group by all")
+@query(RECORDS + "select o_orderstatus, o_orderpriority, count(*) as n, cast(sum(o_orderkey) as double) as keys, count(*) > 1000 as stale from r where removed_at is null and o_orderpriority in (select o_orderpriority from r where o_orderkey % 501 = 0) and (o_orderstatus, o_orderpriority) in (select o_orderstatus, o_orderpriority from r where o_orderkey % 501 = 0) group by all")
 def derived_group_incremental(spark, d):
     r = orders(spark, d)
     fresh = r.where("cast(key as long) % 501 = 0").withColumn("previous", F.lit(None).cast("string"))

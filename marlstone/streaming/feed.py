@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -40,8 +40,13 @@ def matching(stream: DataFrame, trigger: dict, data: str = "data") -> DataFrame:
 
 
 def fires(changes: DataFrame, name: str, key_cap: int) -> DataFrame:
-    """One row a run and dataset: at most ``key_cap`` keys for the payload, whether there are more, and the idempotency key."""
-    g = changes.groupBy("job_id", "dataset").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("key")).alias("k"))
+    """One row a run and dataset: at most ``key_cap`` keys for the payload, whether there are more, and the idempotency key.
+
+    Keys are counted and ranked before any are gathered, so a run of any size gathers one more than the cap.
+    """
+    keys = changes.groupBy("job_id", "dataset", "key").agg(F.count(F.lit(1)).alias("m"))
+    keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("job_id", "dataset").orderBy(F.col("key").asc_nulls_last())))
+    g = keys.groupBy("job_id", "dataset").agg(F.sum("m").alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= key_cap + 1, F.col("key")))).alias("k"))
     return g.select(
         F.lit(name).alias("trigger"), "job_id", "dataset", "n", F.slice("k", 1, key_cap).alias("keys"), (F.size("k") > key_cap).alias("truncated"),
         F.sha2(F.concat_ws("|", F.lit(name), "job_id", "dataset"), 256).alias("idempotency_key"),

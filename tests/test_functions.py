@@ -151,6 +151,15 @@ def test_plans():
     assert replay.yields({"a": [1, 2], "b": {"c": 3, "d": {"e": {"f": 1}}}, "t": True}) == [("a", 2), ("b.c", 3)]
 
 
+def test_written_dates():
+    from marlstone.operators.domain import written_dates
+
+    found = lambda t: [x[1:] for x in written_dates(t.lower())]
+    assert found("2024-1-05, 3/4/2025 and Sept. 9th, 2026 or may 1 2027") == [(2024, 1, 5), (2025, 3, 4), (2026, 9, 9), (2027, 5, 1)]
+    assert found("2024-01-05T10:00") == [(2024, 1, 5)] and found("12024-01-05 2024-01-051 x2024-01-05 2024-01-05t1 2024_01_05 1999-01-01 jan5 2024") == []
+    assert [p for p, *_ in written_dates("on the 2024-01-05")] == [7]
+
+
 def test_deadlines():
     from marlstone.operators.domain import upcoming_deadline
 
