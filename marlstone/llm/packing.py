@@ -108,6 +108,10 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return slots, bins
 
 
+#: New words that go to the library at once.
+TOGETHER = 20_000
+
+
 class WordIds:
     """Words of a text to the tokenizers library's ids, packed; words seen are kept in bounded memory.
 
@@ -134,8 +138,10 @@ class WordIds:
         """Packed ids of each text; words that are new to a batch go to the library together."""
         split = [self.split(t) if t else [] for t in texts]
         new = self.known.unseen(set().union(*split))
-        for w, ids in zip(new, self.encode(new), strict=True):
-            self.known.keep(w, ids)
+        for at in range(0, len(new), TOGETHER):  # what the library returns is large
+            some = new[at : at + TOGETHER]
+            for w, ids in zip(some, self.encode(some), strict=True):
+                self.known.keep(w, ids)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
@@ -157,7 +163,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         words = held(("packing", zlib.crc32(source.value.encode())), lambda: WordIds(source.value))
         part, ranks = TaskContext.get().partitionId(), defaultdict(int)
-        for batch in slices(batches, "_t", 4 << 20):
+        for batch in slices(batches, "_t", 1 << 20):
             rows, piece, start, length, crc, rank = [], [], [], [], [], []
             for row, ids in enumerate(words.texts(batch.column("_t").to_pylist())):
                 ids += end

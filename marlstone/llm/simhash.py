@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.scale import key_filter, mapped, marked, slices, without, written
+from marlstone.llm.scale import held, key_filter, mapped, marked, slices, trimmed, without, written
 
 #: Rows of one part of a shard; larger shards are dealt to pairs of parts.
 PART = 40_000
@@ -343,7 +343,7 @@ def near_links(classes: DataFrame, radius: int = 4, part: int = PART, slices_: i
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Whole groups of rows with the same integer ``keys``, which follow each other."""
-    held: list[pa.RecordBatch] = []
+    group: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -351,13 +351,15 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
         cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if held and (k[lo] != last).any():
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(batch.slice(lo, hi - lo))
+            if group and (k[lo] != last).any():
+                yield pa.Table.from_batches(group).combine_chunks()
+                group = []
+            group.append(batch.slice(lo, hi - lo))
             last = k[lo]
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+    if group:
+        yield pa.Table.from_batches(group).combine_chunks()
+    group.clear()
+    trimmed()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -457,6 +459,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, simila
     known = common[by_hash]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("shingles",), lambda: None)  # what a stage before this one held in the worker goes
         for batch in slices(batches, "_t"):
             digests, sizes, sketches, first = [], [], [], []
             for text in batch.column("_t").to_pylist():
@@ -500,9 +503,10 @@ def close_pairs(points: DataFrame, similarity: float) -> DataFrame:
                 a, b = a[hit], b[hit]
                 hit = may_be_similar(a[:, 1], a[:, 3], b[:, 1], b[:, 3], similarity)
                 out.append(np.stack([a[hit, 2], b[hit, 2]], axis=1))
-            tail = x[-FEW:]
+            tail = x[-FEW:].copy()
             both = np.sort(np.concatenate(out), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        trimmed()
 
     return mapped(rows, run, "a long, b long").where("a <> b").distinct()
 
@@ -519,6 +523,7 @@ def possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFra
             d = pa.array((found[hit] * 1_000_000 // n[hit]).astype(np.int32))
             kept = batch.filter(pa.array(hit, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b"), d], ["a", "b", "d"])
+        trimmed()
 
     return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long, d int")
 
