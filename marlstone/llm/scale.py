@@ -23,8 +23,8 @@ __all__ = ["crc32_mod", "held", "key_filter", "mapped", "marked", "shared_dir",
 #: Bits of a key filter. 2^22 bits are at most 65,536 words of 64 bits, about 1 MB, whatever the input size.
 FILTER_BITS = 22
 #: Bytes of a record batch between Spark and Python, and of text handed to numpy or regex work at once.
-BATCH_BYTES = 8 << 20
-SLICE_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 _own: dict[str, str] = {}
@@ -95,7 +95,10 @@ def without(docs: DataFrame, gone: DataFrame, key: str, also: dict[str, Column]
 
 
 def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` with this package on the executors and record batches of ``BATCH_BYTES`` at most, so that long rows don't add up."""
+    """``df.mapInArrow`` with this package on the executors and record batches of ``BATCH_BYTES`` at most, so that long rows don't add up.
+
+    The size is a setting of the session and is left so, as the plan runs later.
+    """
     spark = df.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
