@@ -178,12 +178,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str =
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
             text, m = _views(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), pa.array(list(text.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(m.astype(np.float32)), pa.list_(pa.float32())), batch.column("_y")], ["i", "t", "m", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), *(pa.array([x.tobytes() for x in v.astype(np.float32)], pa.binary()) for v in (text, m)), batch.column("_y")], ["i", "t", "m", "y"])
 
-    found = mapped(rows, measure, "i string, t array<float>, m array<float>, y double").toPandas().sort_values("i")
+    found = mapped(rows, measure, "i string, t binary, m binary, y double").toPandas().sort_values("i")
     if not len(found):
         return None
-    return co_train(np.stack(found["t"]).astype(float), np.stack(found["m"]).astype(float), found["y"].to_numpy(float))
+    text, m = (np.frombuffer(b"".join(found[c]), np.float32).reshape(len(found), -1) for c in "tm")  # as bytes: lists of numbers would fill the driver
+    return co_train(text, m, found["y"].to_numpy(float))
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, str, str] = META) -> DataFrame:

@@ -288,12 +288,12 @@ class Scorer:
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Intercept and weights of a ridge logistic regression, by Newton's steps."""
-    a = np.column_stack([np.ones(len(x)), x])
+    a = np.column_stack([np.ones(len(x), x.dtype), x])
     w = np.zeros(a.shape[1])
     penalty = np.diag([1e-6, *[ridge] * x.shape[1]])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + penalty, a.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9).astype(a.dtype)[:, None]) + penalty, a.T @ (y - p) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
