@@ -126,7 +126,8 @@ def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_c
     drawn = rows.join(F.broadcast(share), "_l").where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.col("_share")).select("_id", "_l", "_t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_t"):
+        held(("grams",), lambda: None)  # what a stage before this one held in the worker goes
+        for batch in slices(batches, "_t", 1 << 20):
             words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("_l").to_pylist(), batch.column("_t").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(WORD.findall(lowered(text)))
@@ -309,7 +310,7 @@ def identify_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = None if shared.value is None else held(("language", shared.value.key()), lambda: Labeller(shared.value))
-        for batch in slices(batches, "_t", 2 << 20):
+        for batch in slices(batches, "_t", 1 << 20):
             texts = [t or "" for t in batch.column("_t").to_pylist()]
             labels = labeller.labels(texts) if labeller is not None else [np.zeros(0, np.int64)] * len(texts)
             counts = [np.bincount(x) for x in labels]
@@ -341,7 +342,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
         if shared.value is None:
             return
         labeller = held(("language", shared.value.key()), lambda: Labeller(shared.value))
-        for batch in slices(batches, text_col, 2 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             counts = [np.bincount(x) for x in labeller.labels([t or "" for t in batch.column(text_col).to_pylist()])]
             yield batch.filter(pa.array([bool(len(n)) and n.max() >= least * n.sum() for n in counts], pa.bool_()))
 

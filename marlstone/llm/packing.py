@@ -109,7 +109,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
 
 
 #: New words that go to the library at once.
-TOGETHER = 20_000
+TOGETHER = 5_000
 
 
 class WordIds:
@@ -127,7 +127,7 @@ class WordIds:
         self.model = Tokenizer(Tokenizer.from_str(source).model)
         self.letters = byte_letters()
         self.specials = {w: packed_ids([i]) for w, i in specials.items()}
-        self.known = Bounded(lambda w: self.encode([w])[0], 350_000)
+        self.known = Bounded(lambda w: self.encode([w])[0], 250_000)
 
     def encode(self, words: list[str]) -> list[bytes]:
         at = self.letters.__getitem__
