@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,9 +108,11 @@ def _png(data: bytes) -> np.ndarray | None:
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
     """Means over (2r + 1) squares, edges repeated."""
-    s = np.cumsum(np.cumsum(np.pad(x, ((r + 1, r), (r + 1, r)), mode="edge"), axis=0, dtype=np.float64), axis=1)
-    k = 2 * r + 1
-    return ((s[k:, k:] - s[:-k, k:] - s[k:, :-k] + s[:-k, :-k]) / (k * k)).astype(np.float32)
+    k, (h, w) = 2 * r + 1, x.shape
+    p = np.concatenate([x[:1]] * r + [x] + [x[-1:]] * r)
+    s = reduce(np.add, [p[i : i + h] for i in range(k)])
+    p = np.concatenate([s[:, :1]] * r + [s] + [s[:, -1:]] * r, axis=1)
+    return (reduce(np.add, [p[:, i : i + w] for i in range(k)]) / (k * k)).astype(np.float32)
 
 
 def _resized(x: np.ndarray, scale: float) -> np.ndarray:
@@ -121,7 +124,8 @@ def _resized(x: np.ndarray, scale: float) -> np.ndarray:
     y0, z0 = np.floor(y).astype(int), np.floor(z).astype(int)
     y1, z1 = np.minimum(y0 + 1, x.shape[0] - 1), np.minimum(z0 + 1, x.shape[1] - 1)
     fy, fz = (y - y0)[:, None], (z - z0)[None, :]
-    return (x[y0][:, z0] * (1 - fy) * (1 - fz) + x[y1][:, z0] * fy * (1 - fz) + x[y0][:, z1] * (1 - fy) * fz + x[y1][:, z1] * fy * fz).astype(np.float32)
+    rows = x[y0] * (1 - fy) + x[y1] * fy
+    return (rows[:, z0] * (1 - fz) + rows[:, z1] * fz).astype(np.float32)
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +145,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r = a * b - c * c - 0.05 * (a + b) ** 2
         inner = r[PATCH + 1 : -PATCH - 1, PATCH + 1 : -PATCH - 1]
         h, w = inner.shape
-        around = np.max([r[PATCH + 1 + dy : PATCH + 1 + dy + h, PATCH + 1 + dx : PATCH + 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx], axis=0)
+        around = reduce(np.maximum, [r[PATCH + 1 + dy : PATCH + 1 + dy + h, PATCH + 1 + dx : PATCH + 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
         y, z = np.nonzero((inner > around) & (inner > 1.0))
         smooth = _box(x, 1)
         for yy, zz in zip(y + PATCH + 1, z + PATCH + 1, strict=True):
@@ -217,6 +221,7 @@ def descriptors(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_i"):
             digest, all_d = [], []
+            known: dict[bytes, list[dict]] = {}
             for data in batch.column("_i").to_pylist():
                 image = decode_image(data)
                 if image is None:
@@ -224,8 +229,10 @@ def descriptors(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
                     all_d.append([])
                     continue
                 digest.append(hashlib.blake2b(repr(image.shape).encode() + image.tobytes(), digest_size=16).digest())
-                points, codes = describe(image)
-                all_d.append([{"g": g, "d0": d0, "d1": d1} for g, (d0, d1) in zip(packed(points).tolist(), codes.view(np.int64).tolist(), strict=True)])
+                if digest[-1] not in known:
+                    points, codes = describe(image)
+                    known[digest[-1]] = [{"g": g, "d0": d0, "d1": d1} for g, (d0, d1) in zip(packed(points).tolist(), codes.view(np.int64).tolist(), strict=True)]
+                all_d.append(known[digest[-1]])
             kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("g", "d0", "d1")]))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(digest, pa.binary()), pa.array(all_d, kind)], ["_id", "_class", "_d"])
 
@@ -236,8 +243,8 @@ def descriptors(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
 def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
     """One row (id, keypoints, links, class_id) for each image; ids are integers, ``class_id`` the smallest id reached.
 
-    Images of equal pixels are one class and described once. Each class's
-    descriptors go into ``TABLES`` tables by 16 of their bits; in a bucket,
+    Images of equal pixels are one class, described once a batch and matched
+    once. Each class's descriptors go into ``TABLES`` tables by 16 of their bits; in a bucket,
     descriptors of different classes within ``NEAR`` bits match, so no such
     pair is missed. Two classes' matches come together, and they are linked if
     ``CONSENSUS`` of different corners agree on one turn, scale and shift.
@@ -335,9 +342,9 @@ def picture_of(values: np.ndarray, side: int = 96) -> np.ndarray:
     z = values / (np.sqrt(np.mean(values**2)) or 1.0)
     u = 1 / (1 + np.exp(-1.7 * np.concatenate([z, np.roll(z, 2)[::-1]])))
     u = np.pad(u, (0, -len(u) % 4), constant_values=0.5).reshape(-1, 4)
-    at = 2 * np.pi * np.arange(side)
-    waves = np.cos(np.multiply.outer(0.24 * (u[:, 0] - 0.5), at)[:, :, None] + np.multiply.outer(0.24 * (u[:, 1] - 0.5), at)[:, None, :] + (2 * np.pi * u[:, 2])[:, None, None])
-    x = np.tensordot(0.3 + u[:, 3], waves, 1)
+    at, high = 2 * np.pi * np.arange(side), (0.3 + u[:, 3])[:, None]
+    down, across = np.multiply.outer(0.24 * (u[:, 0] - 0.5), at) + 2 * np.pi * u[:, 2:3], np.multiply.outer(0.24 * (u[:, 1] - 0.5), at)
+    x = (high * np.cos(down)).T @ np.cos(across) - (high * np.sin(down)).T @ np.sin(across)  # sums of high * cos(down + across)
     return ((x - x.min()) / ((x.max() - x.min()) or 1) * 255).astype(np.uint8)
 
 
