@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from marlstone.sources.shipping import ship
 
-__all__ = ["crc32_mod", "held", "key_filter", "mapped", "marked", "shared_dir", "ship", "slices", "unused", "without", "written"]
+__all__ = ["crc32_mod", "forget", "held", "key_filter", "mapped", "marked", "shared_dir", "ship", "slices", "unused", "without", "written"]
 
 #: Bits of a key filter. 2^22 bits are at most 65,536 words of 64 bits, about 1 MB, whatever the input size.
 FILTER_BITS = 22
@@ -48,7 +48,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Remove a table of ``written`` that nothing reads any more. Another frame is left alone."""
+    path = getattr(table, "written_at", None)
+    if path:
+        jvm = table.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def key_filter(keys: DataFrame, key: Column) -> DataFrame:
