@@ -1,0 +1,60 @@
+"""Queries over tables that outlive a job: the search index, and stores whose records are deleted."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marlstone.operators import search_index as X
+from marlstone.operators.registering import query
+from marlstone.operators.search import Request
+from marlstone.plans.documents_q import BM25, WORDS
+from marlstone.sources.records import table
+from marlstone.sources.stored import fresh_path
+
+
+def _built(spark, d) -> X.Index:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return X.build(docs, X.Index(fresh_path(spark, "index"), "doc_id", "text", ("lang", "source", "n_chars")))
+
+
+def _top(spark, index, q):
+    return X.search(spark, index, q).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(BM25 + "select doc_id, round(score, 6) as score from h where score > 0 order by round(score, 9) desc, doc_id limit 50")
+def stored_search_topk(spark, d):
+    return _top(spark, _built(spark, d), WORDS)
+
+
+@query(BM25 + "select doc_id, round(score, 6) as score from h where score > 0 and lang = 'de' and source is not null order by round(score, 9) desc, doc_id limit 10 offset 5")
+def stored_search_filtered(spark, d):
+    return _top(spark, _built(spark, d), Request(("the", "und"), equal={"lang": "de"}, limit=10, offset=5))
+
+
+CHANGED = BM25.replace("from documents)", "from (select doc_id, lang, source, case when doc_id % 10 = 3 then 'und und the ' || coalesce(text, '') else text end as text from documents where lang is distinct from 'fr' and doc_id % 7 <> 0))", 1)
+
+
+def _changed(spark, d) -> X.Index:
+    """The index after an upsert, a deletion by id and a deletion by column."""
+    index = _built(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    X.upsert(spark, index, docs.where("doc_id % 10 = 3").withColumn("text", F.concat(F.lit("und und the "), F.coalesce("text", F.lit("")))))
+    X.delete_where(spark, index, {"lang": "fr"})
+    X.delete_keys(spark, index, docs.where("doc_id % 7 = 0").select("doc_id"))
+    return index
+
+
+@query(CHANGED + "select doc_id, round(score, 6) as score from h where score > 0 order by round(score, 9) desc, doc_id limit 50")
+def stored_search_after_changes(spark, d):
+    return _top(spark, _changed(spark, d), WORDS)
+
+
+@query(CHANGED.split(",\n")[0] + " select count(*) as docs, coalesce(sum(len(w)), 0)::bigint as words, (select count(distinct x) from (select unnest(w) as x from w)) as terms from w")
+def stored_index_stats(spark, d):
+    """Figures of the changed index agree with the corpus that it should hold."""
+    return X.stats(spark, _changed(spark, d)).select("docs", "words", "terms")
+
+
+@query(BM25 + "select doc_id from h where score > 0 and contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')")
+def stored_search_phrase(spark, d):
+    return X.hits(spark, _built(spark, d), Request(("the", "und"), phrase=("of", "the"))).select("doc_id")
