@@ -77,13 +77,13 @@ def replace_partitions(rows: DataFrame, path: str, by: list[str], touched: list[
         return
     aside = f"{path.rstrip('/')}.aside-{uuid.uuid4().hex}"
     try:
-        rows.write.partitionBy(*by).parquet(aside)
+        rows.write.parquet(aside)
         staged = spark.read.schema(rows.schema).parquet(aside)
         left = {tuple(r) for r in staged.select(*by).distinct().collect()}  # partitions
         if left - set(touched):
             raise ValueError(f"rows of partitions that aren't replaced: {sorted(left - set(touched))[:3]}")
         if left:
-            staged.select(rows.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+            staged.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
         for part in set(touched) - left:
             remove(spark, "/".join([path.rstrip("/"), *(f"{c}={v}" for c, v in zip(by, part, strict=True))]))
     finally:
