@@ -45,6 +45,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
 
 
+def escaped(spark: SparkSession, value: object) -> str:
+    """A partition value as it stands in a folder's name."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))
+
+
 def bytes_of(spark: SparkSession, path: str) -> int:
     """Bytes under a path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -85,6 +90,6 @@ def replace_partitions(rows: DataFrame, path: str, by: list[str], touched: list[
         if left:
             staged.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
         for part in set(touched) - left:
-            remove(spark, "/".join([path.rstrip("/"), *(f"{c}={v}" for c, v in zip(by, part, strict=True))]))
+            remove(spark, "/".join([path.rstrip("/"), *(f"{c}={escaped(spark, v)}" for c, v in zip(by, part, strict=True))]))
     finally:
         remove(spark, aside)
