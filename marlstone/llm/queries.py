@@ -26,7 +26,7 @@ def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every unit that repeats an earlier one, with its offsets in the original text."""
-    return substrings.repeated_units(read(spark, sf_dir))
+    return substrings.repeated_units(read(spark, sf_dir)).drop("text_hash")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def parts(text: str, level: str) -> Iterator[tuple[int, int, str]]:
 
 
 def hashed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str, ...] = LEVELS, least: int = LEAST_WORDS) -> DataFrame:
-    """Rows (_id, _start, _end, _digest) for the units of every text."""
+    """Rows (_id, _text, _start, _end, _digest) for the units of every text; ``_text`` is the XXH64 of the whole text, so that texts of one id are told apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
@@ -91,16 +91,17 @@ def hashed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows += [k] * len(mine)
                 found += mine
             a, b, c = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(rows, pa.int64())), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], ["_id", "_start", "_end", "_digest"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(at), batch.column("_text").take(at), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], ["_id", "_text", "_start", "_end", "_digest"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    return mapped(rows, run, f"_id {rows.schema['_id'].dataType.simpleString()}, _start int, _end int, _digest binary")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("_t"))
+    return mapped(rows, run, f"_id {rows.schema['_id'].dataType.simpleString()}, _text long, _start int, _end int, _digest binary")
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str, ...] = LEVELS, least: int = LEAST_WORDS) -> DataFrame:
-    """One row (id, start, end, keep_id, keep_start, occurrences) for each unit to remove.
+    """One row (id, start, end, keep_id, keep_start, occurrences, text_hash) for each unit to remove.
 
-    Units rank by id and then by start; the first of a digest stays, all later
+    Units rank by id, then, where an id has several texts, by the texts' hash, and then by start; the first of a digest stays, all later
     ones go, but none that overlaps the one that stays (a line and its sentence
     may read the same, and runs of equal lines overlap). A line that goes holds sentences that go; their rows are given too. Offsets are those of the original text. Counts and the first
     occurrence combine on the map side; a digest that many rows share is split
@@ -108,15 +109,16 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts have no units; neither do texts of fewer than
     ``least`` words. Null ids rank first. Rows that repeat id and text are the
-    same occurrence and lose nothing to each other. Other columns are ignored;
+    same occurrence and lose nothing to each other; another text under the same
+    id is another document, told by ``text_hash``. Other columns are ignored;
     an empty table gives an empty result.
     """
     found = written(hashed_units(docs, id_col, text_col, levels, least), "units")
-    first = found.groupBy("_digest").agg(F.min(F.struct("_id", "_start", "_end")).alias("_first"), F.max(F.struct("_id", "_start", "_end")).alias("_last"), F.count(F.lit(1)).alias("occurrences"))
+    first = found.groupBy("_digest").agg(F.min(F.struct("_id", "_text", "_start", "_end")).alias("_first"), F.max(F.struct("_id", "_text", "_start", "_end")).alias("_last"), F.count(F.lit(1)).alias("occurrences"))
     first = written(first.where("not (_first <=> _last)").drop("_last"), "first")  # else the join takes the aggregation's partitions, which can't be split
     joined = found.join(first, "_digest")
-    return joined.where("not (_id <=> _first._id and _start < _first._end)").select(
-        F.col("_id").alias(id_col), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_first._id").alias("keep_id"), F.col("_first._start").alias("keep_start"), "occurrences"
+    return joined.where("not (_id <=> _first._id and _text = _first._text and _start < _first._end)").select(
+        F.col("_id").alias(id_col), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_first._id").alias("keep_id"), F.col("_first._start").alias("keep_start"), "occurrences", F.col("_text").alias("text_hash")
     )
 
 
@@ -132,12 +134,15 @@ def removed(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str, ...] = LEVELS, least: int = LEAST_WORDS) -> DataFrame:
     """One row (id, text, spans) for each row: the text without its repeated units, and what went as (start, end) in the original text.
 
-    Spans that touch or overlap are one. Texts without repeats, nulls and texts
-    of null ids, which can't be told apart, stay whole with no spans.
+    Spans that touch or overlap are one. Spans belong to an id and a text, so
+    texts that share an id lose their own repeats only, and rows that repeat id
+    and text lose the same. Texts without repeats, nulls and texts of null ids
+    stay whole with no spans. Other columns are ignored; an empty table gives
+    an empty result.
     """
     gone = repeated_units(docs, id_col, text_col, levels, least).where(F.col(id_col).isNotNull())
-    gone = written(gone.groupBy(F.col(id_col).alias("_gone")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")), "spans")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(gone, F.col("_id") == F.col("_gone"), "left").select("_id", "_t", "_spans")
+    gone = written(gone.groupBy(F.col(id_col).alias("_gone"), "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")), "spans")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(gone, (F.col("_id") == F.col("_gone")) & (F.xxhash64("_t") == F.col("text_hash")), "left").select("_id", "_t", "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
