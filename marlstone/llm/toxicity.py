@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from marlstone.llm.scale import mapped, slices
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+# What French and Italian put before a vowel without its own.
+ELIDED = frozenset("l d j m t s n c qu jusqu lorsqu puisqu dell all nell un".split())
 CLAUSE_END = re.compile(r"[.!?;:\n]+")
 # Starting terminals of the grammar, in four languages.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile dumb ugly vermin filth filthy dummkopf abschaum connard idiota idiotas imbécil basura".split()
-THREATS = "kill killed murder hurt destroy beat shoot stab burn die töten umbringen tuer tuez matar mataré".split()
+THREATS = "kill killed murder hurt destroy beat shoot stab burn töten umbringen tuer tuez matar mataré".split()
 TARGETS = "you your yours he him she her they them these those people everyone du dich ihr euch sie er tu te toi vous il elle ils tú ti usted ellos ella él".split()
-NEGATIONS = "not no never isn't aren't don't doesn't wasn't nobody nicht kein keine nie pas jamais aucun nunca jamás ningún".split()
+NEGATIONS = "n' not no never isn't aren't don't doesn't wasn't nobody nicht kein keine nie pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say wrote writes reported reports claimed claims called quoted according sagte sagt schrieb laut dit écrit selon dijo dice escribió según".split()
 
 #: Labelled rows that the model is fitted on at most (about; chosen by hash of the id), and terminals learned at most.
@@ -31,13 +33,24 @@ TRAIN_ROWS, TERMINALS = 20_000, 3_000
 #: A learned terminal is in so many toxic documents at least and so many times likelier there.
 LEAST_DOCS, LEAST_LIFT = 6, 20.0
 PREFIXES = (4, 5, 6)
+#: A starting terminal that so many documents hold stays only if it is so many times likelier in toxic ones.
+LEAST_SEEN, LEAST_START_LIFT = 20, 3.0
 #: Words over which a negation reaches.
 REACH = 3
 #: Starting log weights of what a clause says of its match, refitted from labels: a match that nobody is the target of, a negated and a reported one.
-STARTING = {"untargeted": -0.25, "negated": -1.05, "reported": -0.5}
+STARTING = {"untargeted": -0.25, "negated": -2.3, "reported": -0.5}
 NAMES = tuple(STARTING)
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a lower-case text in order; an elided article or pronoun is a word of its own (``l'`` before a vowel)."""
+    out = []
+    for word in WORD.findall(text):
+        head, mark, tail = word.replace("’", "'").partition("'")
+        out += [f"{head}'", tail] if mark and head in ELIDED and len(tail) > 1 else [f"{head}{mark}{tail}"]
+    return out
+
+
 @dataclass(frozen=True)
 class Transducer:
     """A weighted finite-state transducer. ``arcs[state][symbol]`` lists (output, next state, weight); symbols without arcs of their own take those of None, with themselves as output. ``final`` has the weights of the states in which a clause may end."""
@@ -177,14 +190,19 @@ class Scorer:
 
     def clause(self, words: list[str]) -> float:
         """Weight of one clause, lower-case words in order."""
+        return self.weighed(words)[0]
+
+    def weighed(self, words: list[str]) -> tuple[float, float]:
+        """Weight of one clause, and the share of its terminals' weight that its best paths leave: near 1 for a plain match, little for a negated one."""
         weights = [self.insult(w) for w in words]
         symbols = [self.classes.get(w) or ("insult" if x else "other") for w, x in zip(words, weights, strict=True)]
-        total = 0.0
+        total = plain = 0.0
         for kind, machine in self.machines.items():
             if kind in symbols:
                 terminal = [x if kind == "insult" else 1.0 for x in weights]
-                total += sum(terminal[k] * math.exp(w) for k, w in self.matches(machine, symbols).items())
-        return total
+                for k, w in self.matches(machine, symbols).items():
+                    total, plain = total + terminal[k] * math.exp(w), plain + terminal[k]
+        return total, total / plain if plain else 0.0
 
     def matches(self, machine: Transducer, symbols: list[str]) -> dict[int, float]:
         """By place of a match, the weight of the best path of the machine that takes it.
@@ -249,16 +267,15 @@ class Scorer:
                     break
                 start_at = m.end()
             until = m.start() if m else len(low)
-            yield WORD.findall(low[start_at:until])
+            yield words_of(low[start_at:until])
 
     def features(self, text: str) -> tuple[float, float, float, float]:
-        """log(1 + summed clause weights), the largest one, matched clauses, and their number per 1,000 words, in logs."""
-        total = most = 0.0
-        matched = 0
+        """log(1 + summed clause weights), the largest one, matched clauses, each by the share that is left of it, and their number per 1,000 words, in logs."""
+        total = most = matched = 0.0
         for words in self.clauses(text):
-            w = self.clause(words)
+            w, share = self.weighed(words)
             if w > 0:
-                total, most, matched = total + w, max(most, w), matched + 1
+                total, most, matched = total + w, max(most, w), matched + share
         return math.log1p(total), min(most, 10.0), math.log1p(matched), math.log1p(1000 * matched / (1 + len(text) / 6))
 
     def score(self, text: str) -> float:
@@ -305,7 +322,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
 
     About ``TRAIN_ROWS`` labels are drawn by hash, which is the bound of what
     is broadcast and sent to the driver. Document frequencies of words and of
-    prefixes, toxic against other, give the terminals; what the matches'
+    prefixes, toxic against other, give the terminals, and end starting ones
+    that clean documents hold as well (a word may be harmless in another
+    language); what the matches'
     contexts tell gives the weights of the arcs; the weighted clauses then
     calibrate the score. With no labels, or none of one kind, what would be
     learned keeps its starting values.
@@ -322,7 +341,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
         n: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in slices(batches, "_t"):
             for text, y in zip(batch.column("_t").to_pylist(), batch.column("_y").to_pylist(), strict=True):
-                words = set(WORD.findall(text.lower()))
+                words = set(words_of(text.lower()))
                 found = words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) >= k}
                 found.add("")
                 n[bool(y)].update(found)
@@ -336,18 +355,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in n)], ["term", "n0", "n1"])
 
     terms = mapped(rows, count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    terms = terms.where(F.col("n1") >= LEAST_DOCS).orderBy(F.desc(F.col("n1") / (F.col("n0") + 1)), "term").limit(3 * TERMINALS).toPandas()
+    begun = F.col("term").isin("", *INSULTS, *THREATS)
+    terms = terms.where((F.col("n1") >= LEAST_DOCS) | begun).orderBy(F.desc(begun), F.desc(F.col("n1") / (F.col("n0") + 1)), "term").limit(3 * TERMINALS).toPandas()
     size = {k: (a, b) for k, a, b in terms.itertuples(index=False) if k == ""} or {"": tuple(rows.agg(F.count(F.when(F.col("_y") == 0, 1)), F.count(F.when(F.col("_y") != 0, 1))).first())}
     none, some = size[""]
-    insults = dict(starting.insults)
+    lift_of = lambda n0, n1: ((n1 + 0.1) / (some + 1)) / ((n0 + 0.5) / (none + 1))
+    plain = {t for t, n0, n1 in terms.itertuples(index=False) if n0 + n1 >= LEAST_SEEN and lift_of(n0, n1) < LEAST_START_LIFT}
+    insults = {w: x for w, x in starting.insults.items() if w not in plain}
+    threats = {w for w in THREATS if w not in plain}
     for term, n0, n1 in sorted(terms.itertuples(index=False), key=lambda r: (len(r[0].rstrip("*")), r[0])):
-        if not term or term in insults:
+        if not term or term in insults or n1 < LEAST_DOCS:
             continue
-        lift = ((n1 + 0.1) / (some + 1)) / ((n0 + 0.5) / (none + 1))
+        lift = lift_of(n0, n1)
         covered = any(term[:k] + "*" in insults for k in PREFIXES if k < len(term))
         if lift >= LEAST_LIFT and not covered and len(insults) < TERMINALS:
             insults[term] = min(2.0, math.log(lift) / 4)
-    first = Grammar(insults)
+    first = Grammar(insults, threats)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
@@ -357,7 +380,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     x = mapped(rows, contexts, "a double, b double, c double, d double, y double").toPandas().to_numpy()
     if len({*x[:, 4]}) < 2:
         return first
-    learned = Grammar(insults, arcs=learned_arcs(x[:, :4], x[:, 4]))
+    learned = Grammar(insults, threats, arcs=learned_arcs(x[:, :4], x[:, 4]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
@@ -365,11 +388,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in x], pa.float64()) for k in range(4)] + [batch.column("_y").cast(pa.float64())], [*"abcd", "y"])
 
     x = mapped(rows, measure, "a double, b double, c double, d double, y double").toPandas().to_numpy()
-    return Grammar(insults, calibration=tuple(logistic(x[:, :4], x[:, 4]).tolist()), arcs=learned.arcs)
+    return Grammar(insults, threats, calibration=tuple(logistic(x[:, :4], x[:, 4]).tolist()), arcs=learned.arcs)
 
 
 def learned_arcs(x: np.ndarray, y: np.ndarray) -> dict[str, float]:
-    """Log weights of the arcs from documents' matches by context (plain, then ``NAMES``): how much less one says than a plain one.
+    """Log weights of the arcs from documents' matches by context (plain, then ``NAMES``): how much less one says than a plain one; never more.
 
     The starting weights count as much as ten documents with such matches, so contexts that are rare keep them.
     """
@@ -378,7 +401,7 @@ def learned_arcs(x: np.ndarray, y: np.ndarray) -> dict[str, float]:
     out = {}
     for k, name in enumerate(NAMES):
         seen = float((x[:, k + 1] > 0).sum())
-        ratio = math.log(min(1.5, max(0.05, float(w[k + 1]) / plain)))
+        ratio = math.log(min(1.0, max(0.05, float(w[k + 1]) / plain)))
         out[name] = (10 * STARTING[name] + seen * ratio) / (10 + seen)
     return out
 
@@ -388,7 +411,7 @@ _loaded: dict = {}
 
 def scorer_of(grammar: Grammar) -> Scorer:
     """Per worker: the scorer of this grammar, built once."""
-    key = hash((tuple(sorted(grammar.insults.items())), grammar.calibration, tuple(sorted(grammar.arcs.items()))))
+    key = hash((tuple(sorted(grammar.insults.items())), tuple(sorted(grammar.threats)), grammar.calibration, tuple(sorted(grammar.arcs.items()))))
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = Scorer(grammar)

@@ -13,8 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marlstone.llm import ball_kmeans, infill, queries, urls
-from marlstone.llm.scale import ship
+from marlstone.llm import ball_kmeans, infill, queries, substrings, toxicity, urls
+from marlstone.llm.scale import crc32_mod, ship
 
 MEDIUM, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 LONG = "abc déf 1 " * 60_000
@@ -222,3 +222,55 @@ def test_copies_of_a_url_do_not_outvote(spark):
     counts = urls.suffix_counts(rows).where("kind = 'site'").collect()
     assert sorted(r.rows for r in counts) == [100, 2900] and sum(map(sum, (r.n for r in counts))) == 3000
     assert urls.fit_urls(df, F.col("y")).trees is not None
+
+
+# --- repeated passages under repeated ids ----------------------------------
+
+
+def test_repeats_by_id_and_text(spark):
+    """Texts that share an id lose their own repeats only; kept and removed pieces rebuild each text."""
+    ship(spark)
+    a, b, tail = "This passage has more than eight words in every single line.", "Another passage that also has more than eight words, indeed.", "a tail of its own that nobody else has got at all"
+    other = "Something else entirely that stands alone in this small corpus of texts."
+    rows = [(1, a), (5, f"{a}\n{tail}"), (5, other), (6, b), (6, f"{b}\nand {tail} again"), (6, b), (None, a), (7, None), (7, ""), (8, f"{b}\n{a}")]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, text_hash string, spans int").repartition(3)
+    for r in substrings.without_repeats(df).collect():
+        assert all(x.start < x.end for x in r.spans or [])
+    got = {}
+    for r in substrings.without_repeats(df.select("doc_id", "text")).collect():
+        got.setdefault(r.doc_id, []).append((r.text, [tuple(s) for s in r.spans or []]))
+    assert got[1] == [("", [(0, len(a))])]  # the text of a null id ranks first
+    assert sorted(got[5]) == sorted([(f"\n{tail}", [(0, len(a))]), (other, [])])
+    kept = {i: sorted(t for t, _ in v) for i, v in got.items() if i == 6}[6]
+    assert kept in (sorted([b, b, f"\nand {tail} again"]), sorted(["", "", f"{b}\nand {tail} again"]))  # which of an id's texts ranks first is the hash's choice
+    assert got[None] == [(a, [])] and sorted(map(str, got[7])) == sorted(map(str, [(None, []), ("", [])])) and got[8] == [("\n", [(0, len(b)), (len(b) + 1, len(b) + 1 + len(a))])]
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    for i, found in got.items():
+        for text, spans in found:
+            assert any(t is text or t is not None and substrings.removed(t, spans) == text for t in texts[i])
+    alike = spark.createDataFrame([(5, a), (5, f"{a} {tail}."), (5, a)], "doc_id long, text string")
+    units = substrings.repeated_units(alike).collect()  # an id's second text repeats its first
+    assert len(units) in (1, 2) and {r.keep_id for r in units} == {5} and len({r.text_hash for r in units}) == 1
+
+
+# --- toxicity by language --------------------------------------------------
+
+
+def test_toxicity_by_language(spark):
+    docs, labels = queries.read(spark, LARGE), queries.read(spark, LARGE, "labels")
+    grammar = toxicity.fit_toxicity(docs, labels, crc32_mod(F.col("doc_id"), 5) != 0)
+    held = toxicity.score_toxicity(docs, grammar).join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id").where(crc32_mod(F.col("doc_id"), 5) == 0).toPandas()
+    for lang, rows in held.groupby("lang"):
+        clean, toxic = rows[rows.toxic == 0], rows[rows.toxic == 1]
+        assert clean.predicted.mean() < 0.02, lang
+        assert toxic.predicted.mean() >= 0.9 or len(toxic) < 10 and toxic.predicted.sum() >= len(toxic) - 2, lang
+    score = toxicity.Scorer(grammar).score
+    assert score("you are an idiot") - score("you are not an idiot") > 0.3 and score("tu es l'idiot") > 0.9
+    assert all(score(t) < 0.1 for t in ("Die Frau sagt, dass sie heute kommt.", "Die Kinder spielen.", "Sie mag die Stadt und die Leute dort."))
+    assert all(w <= 0 for w in grammar.arcs.values())
+
+
+def test_words_of():
+    assert toxicity.words_of("l'idiot n’est pas don't qu'elle o'clock s't") == ["l'", "idiot", "n'", "est", "pas", "don't", "qu'", "elle", "o'clock", "s't"]
