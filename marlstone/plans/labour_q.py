@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions import hooks
 from marlstone.operators import labour as L
 from marlstone.operators import taxonomy as T
 from marlstone.operators.record_store import Store
 from marlstone.operators.registering import query
+from marlstone.sources import mirror
 from marlstone.sources.records import event_revisions, table
 from marlstone.sources.stored import fresh_path
 
@@ -83,3 +85,28 @@ def deleted_records(spark, d):
     store.delete_records(spark, r.where("cast(key as long) % 9 = 4").select("app", "dataset", "key"))
     left = store.table(spark, "records").withColumn("kind", F.lit("records")).select("kind", "dataset").unionByName(store.table(spark, "revisions").withColumn("kind", F.lit("revisions")).select("kind", "dataset"))
     return left.groupBy("kind", "dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select event_type as dataset, count(*) as revisions, max(event_id)::bigint as newest from events group by event_type")
+def mirrored_changes(spark, d):
+    """The events' revisions mirrored from a feed in two walks, the second over times that the first has read."""
+    feed, target, check = (fresh_path(spark, n) for n in ("feed", "mirror", "check"))
+    e = event_revisions(table(spark, d, "events"))
+    pages = e.select(F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 600_000_000).alias("micros"), F.col("seq"), F.concat_ws("/", "dataset", "key").alias("key"), F.col("revision").cast("long").alias("revision"), "change", F.to_json(F.struct("dataset")).alias("data"))
+    for name, part in (("first", "seq % 3 > 0"), ("second", "seq % 3 = 0")):
+        pages.where(part).write.parquet(f"{feed}/{name}")
+        if name == "first":
+            newest = pages.where(part).agg(F.max("micros")).first()[0]
+            spark.createDataFrame([(newest + 1, -1, "marker/0", 1, "new", '{"dataset": "marker"}')], mirror.FEED).coalesce(1).write.parquet(f"{feed}/marker")
+        mirror.mirror(spark, feed, target, f"{check}-{name}", 4)  # a walk of its own: what was mirrored is merged again
+    held = spark.read.parquet(target).where("key <> 'marker/0'")
+    return held.groupBy(F.get_json_object("data", "$.dataset").alias("dataset")).agg(F.count(F.lit(1)).alias("revisions"), F.max("seq").alias("newest"))
+
+
+@query("select event_type, case when try_cast(json_extract_string(props, '$.k') as int) >= 50 then 'pass' else 'stop' end as verdict, count(*) as n from events group by all")
+def plugin_hook_verdicts(spark, d):
+    """A gate over the events' properties, by partition, called from SQL."""
+    hooks.register_hooks(spark)
+    events = table(spark, d, "events").select("event_id", "event_type", F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("count"))).alias("body"))
+    out = spark.sql("select * from plugin_hooks(table({events}) partition by (event_type, event_id % 16), 'body', 'gate', 'slim', '{{\"min_count\": 50}}')", events=events)
+    return out.where("hook_kind = 'row'").groupBy("event_type", "verdict").agg(F.count(F.lit(1)).alias("n"))
