@@ -448,6 +448,44 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, n)) ^ np.bitwise_xor.reduce(b.reshape(-1, n))).sum(dtype=np.int64))
 
 
+#: Bytes of a sketch that goes into a bucket's shard, so that a shard of long texts stays small.
+SHORT = 1_024
+
+
+def short_sketches(classes: DataFrame) -> DataFrame:
+    """(id, sketch) of ``classes`` (id, sketch), folded to ``SHORT`` bytes where they are longer; they then tell fewer pairs apart and still lose none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "sketch"):
+            cut = [x if len(x) <= SHORT else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, SHORT)).tobytes() for x in batch.column("sketch").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cut, pa.binary())], ["id", "sketch"])
+
+    return mapped(classes.select("id", "sketch"), run, "id long, sketch binary")
+
+
+def folded(sketches: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The sketches' lengths, and by each length that occurs a matrix of all longer ones folded to it; rows of shorter ones are zero there."""
+    sizes = np.array([len(x) for x in sketches], np.int64)
+    out = {}
+    for n in np.unique(sizes).tolist():
+        out[n] = np.zeros((len(sketches), n), np.uint8)
+        for k in np.flatnonzero(sizes >= n):
+            out[n][k] = np.bitwise_xor.reduce(np.frombuffer(sketches[k], np.uint8).reshape(-1, n))
+    return sizes, out
+
+
+def least_differences(sizes: np.ndarray, by_size: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``least_difference`` of the pairs (i, j) of ``folded`` sketches, some megabytes at a time."""
+    out, short = np.zeros(len(i), np.int64), np.minimum(sizes[i], sizes[j])
+    for n, m in by_size.items():
+        pairs = np.flatnonzero(short == n)
+        step = max(1, (4 << 20) // n)
+        for at in range(0, len(pairs), step):
+            some = pairs[at : at + step]
+            out[some] = np.bitwise_count(m[i[some]] ^ m[j[some]]).sum(1, dtype=np.int64)
+    return out
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, common: np.ndarray) -> DataFrame:
     """Rows (_id, _x, fp, fp1, n, sketch, prefix): the text's hash, digest, size and sketch of its shingle set and the first shingles of it.
 
@@ -566,10 +604,11 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return mapped(rows.select("a", "b", "_s", "_r"), run, "a long, b long")
 
 
-def apart_in_buckets(points: DataFrame, similarity: float, part: int) -> DataFrame:
-    """Pairs (a, b) of ``points`` (h, n, id, pos, c) of one bucket and different components c that can be similar.
+def apart_in_buckets(points: DataFrame, sketches: DataFrame, similarity: float, part: int) -> DataFrame:
+    """Pairs (a, b) of ``points`` (h, n, id, pos, c) of one bucket and different components c that can be similar by sizes, places and ``sketches`` (id, sketch).
 
-    Only buckets that hold several components are looked at, so what hangs
+    Sketches are compared where the rows of a bucket meet, so rows that share
+    a passage but little else are never given as pairs. Only buckets that hold several components are looked at, so what hangs
     together already gives no pairs, however large the group. A bucket of more
     than ``part`` rows is cut into parts, and each pair of parts is a shard.
     """
@@ -577,15 +616,16 @@ def apart_in_buckets(points: DataFrame, similarity: float, part: int) -> DataFra
     mixed = written(mixed, "mixed")
     if mixed.count() <= MOST_BROADCAST:
         mixed = F.broadcast(mixed)
-    rows = points.join(mixed, "h").withColumn("at", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
+    rows = points.join(mixed, "h").join(sketches, "id").withColumn("at", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
     deal = F.expr("transform(sequence(0, parts - 1), x -> named_struct('i', least(x, at), 'j', greatest(x, at), 'side', if(at > x, 1, 0)))")
-    rows = rows.select("h", "n", "id", "pos", "c", F.explode(deal).alias("s")).select("h", "s.i", "s.j", "n", "s.side", "id", "pos", "c")
+    rows = rows.select("h", "n", "id", "pos", "c", "sketch", F.explode(deal).alias("s")).select("h", "s.i", "s.j", "n", "s.side", "id", "pos", "c", "sketch")
     rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in grouped(batches, ["h", "i", "j"]):
             n, side, id_, pos, c = (x.column(k).to_numpy().astype(np.int64) for k in ("n", "side", "id", "pos", "c"))
             across = bool((side != side[0]).any())
+            sizes, by_size = folded(x.column("sketch").to_pylist())
             step = max(1, (1 << 18) // len(n))
             for at in range(0, len(n), step):
                 rows = np.arange(at, min(at + step, len(n)))
@@ -593,9 +633,10 @@ def apart_in_buckets(points: DataFrame, similarity: float, part: int) -> DataFra
                 hit = (c[rows][:, None] != c[at:to]) & (np.arange(at, to) > rows[:, None]) & may_be_similar(n[rows][:, None], pos[rows][:, None], n[at:to], pos[at:to], similarity)
                 if across:
                     hit &= side[rows][:, None] != side[at:to]
-                i, j = np.nonzero(hit)
-                if len(i):
-                    both = np.sort(np.stack([id_[rows[i]], id_[at + j]], axis=1), axis=1)
+                i, j = (k + at for k in np.nonzero(hit))
+                near = least_differences(sizes, by_size, i, j) <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-6
+                if near.any():
+                    both = np.sort(np.stack([id_[i[near]], id_[j[near]]], axis=1), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return mapped(rows, run, "a long, b long").distinct()
@@ -636,7 +677,7 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = component(close)
     if some:
         labelled = written(points.where("hot").join(now, "id", "left").select("h", "n", "id", "pos", F.coalesce("c", "id").alias("c")), "points")
-        rest = rest.unionByName(possible(apart_in_buckets(labelled, similarity, part), known, similarity).select("a", "b")).distinct()
+        rest = rest.unionByName(apart_in_buckets(labelled, short_sketches(known), similarity, part)).distinct()
     rest = written(rest, "pairs")
     ids = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = sets_of(known.join(ids, "id", "left_semi"), docs, id_col, text_col, words)

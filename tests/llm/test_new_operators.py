@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marlstone.llm import ball_kmeans, infill, queries, substrings, toxicity, urls
+from marlstone.llm import ball_kmeans, infill, queries, simhash, substrings, toxicity, urls
 from marlstone.llm.scale import crc32_mod, ship
 
 MEDIUM, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -274,3 +274,37 @@ def test_toxicity_by_language(spark):
 
 def test_words_of():
     assert toxicity.words_of("l'idiot n’est pas don't qu'elle o'clock s't") == ["l'", "idiot", "n'", "est", "pas", "don't", "qu'", "elle", "o'clock", "s't"]
+
+
+# --- sketches in shards ----------------------------------------------------
+
+
+def test_folded_differences():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 2**63, n, dtype=np.int64)).view(np.uint64) for n in (3, 60, 64, 65, 200, 700, 5000, 40_000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], r.integers(0, 2**63, max(1, len(s) // 10), dtype=np.int64).view(np.uint64)])) for s in sets]
+    sketches = [simhash.parity_sketch(s) for s in sets]
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    got = simhash.least_differences(*simhash.folded(sketches), i, j)
+    assert got.tolist() == [simhash.least_difference(sketches[a], sketches[b]) for a, b in zip(i, j, strict=True)]
+    assert all(d <= len(np.setxor1d(sets[a], sets[b])) for a, b, d in zip(i, j, got, strict=True))
+
+
+def test_unlike_rows_of_a_bucket_give_no_pairs(spark, monkeypatch):
+    """Many texts of one size that share a passage and little else aren't paired; near copies among them are found, with short sketches too."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghij", k=7))
+    passage = " ".join(word() for _ in range(9))
+    bodies = [[word() for _ in range(90)] for _ in range(150)]
+    rows = [(k, " ".join([passage, *b])) for k, b in enumerate(bodies)] + [(1000 + k, " ".join([passage, *bodies[k][:-2], word()])) for k in range(0, 150, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    given = []
+    real = simhash.apart_in_buckets
+    monkeypatch.setattr(simhash, "apart_in_buckets", lambda *a: given.append(out := real(*a)) or out)
+    for short in (1024, 8):
+        monkeypatch.setattr(simhash, "SHORT", short)
+        monkeypatch.setattr(simhash, "BESIDE", 0)  # leave all to the shards
+        monkeypatch.setattr(simhash, "common_shingles", lambda *a: np.zeros(0, np.uint64))  # else the passage's shingles come last and make no bucket
+        got = {x.doc_id: x.component_id for x in simhash.similar_dedup(df, part=40).collect()}
+        assert {k: v for k, v in got.items() if k != v} == {1000 + k: k for k in range(0, 150, 30)}
+    assert given and given[0].count() <= 20
