@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marlstone.sources.shipping import ship
+from marlstone.sources.stored import remove, shared_folder
 
 __all__ = ["crc32_mod", "forget", "held", "key_filter", "mapped", "marked", "shared_dir", "ship", "slices", "unused", "without", "written"]
 
@@ -27,20 +25,7 @@ BATCH_BYTES = 4 << 20
 SLICE_BYTES = 2 << 20
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one, removed at the end, only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            folder = tempfile.mkdtemp(prefix="marlstone-")
-            atexit.register(shutil.rmtree, folder, True)
-            _own[app] = f"file://{folder}"
-        found = _own[app]
-    return found.rstrip("/")
+shared_dir = shared_folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -57,9 +42,7 @@ def forget(table: DataFrame) -> None:
     """Remove a table of ``written`` that nothing reads any more. Another frame is left alone."""
     path = getattr(table, "written_at", None)
     if path:
-        jvm = table.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        remove(table.sparkSession, path)
 
 
 def key_filter(keys: DataFrame, key: Column) -> DataFrame:
