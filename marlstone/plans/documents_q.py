@@ -189,7 +189,12 @@ def field_sketches(spark, d):
     return Q.field_sketch(table(spark, d, "documents"), ["source"], "text").select("source", "n", "misses", "mean_len", "distinct_ratio")
 
 
-@query()
+_OF = [f"length(regexp_replace(text, '[^{c}]', '', 'g'))" for c in ("0-9", "\\p{L}", "\\s\u0085\u00a0")]
+_SHARES = ", ".join(f"avg({x} / length(text)) filter (trim(text) <> '')" for x in [*_OF, f"(length(text) - {' - '.join(_OF)})"])
+_LENGTHS = ", ".join(f"count(*) filter (trim(text) <> '' and least(15, floor(log2(greatest(length(text), 1)))) = {k})" for k in range(16))
+
+
+@query(f"select lang, count(*) as n, count(*) filter (text is null or trim(text) = '') as misses, avg(length(text)) filter (trim(text) <> '') as mean_len, stddev_pop(length(text)) filter (trim(text) <> '') as sd_len, [{_LENGTHS}] as len_hist, [{_SHARES}] as classes, count(distinct text) filter (trim(text) <> '') / nullif(count(*) filter (trim(text) <> ''), 0) as distinct_ratio from documents group by lang")
 def field_sketch_profiles(spark, d):
     return Q.field_sketch(table(spark, d, "documents"), ["lang"], "text")
 
@@ -200,9 +205,12 @@ def run_miss_rates(spark, d):
     return e.groupBy("event_type", F.pmod("user_id", F.lit(10)).alias("run")).agg(N().alias("n"), F.count_if(F.col("event_id") % 9 == 0).alias("misses"))
 
 
-@query("""with r as (select user_id % 10 as run, count(*) as n, count(*) filter (event_id % 9 = 0 or (user_id % 10 = 3 and event_id % 2 = 0)) as k from events group by 1), b as (select sum(n) as bn, sum(k) as bk from r where run <> 3),
+MISSRATES = """with r as (select user_id % 10 as run, count(*) as n, count(*) filter (event_id % 9 = 0 or (user_id % 10 = 3 and event_id % 2 = 0)) as k from events group by 1), b as (select sum(n) as bn, sum(k) as bk from r where run <> 3),
     w as (select run, n, k, bn, bk, (k / n + 3.8416 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n) as lo, (bk / bn + 3.8416 / (2 * bn) + 1.96 * sqrt(bk / bn * (1 - bk / bn) / bn + 3.8416 / (4.0 * bn * bn))) / (1 + 3.8416 / bn) as hi from r, b)
-    select run, case when lo > hi then round((k / n - bk / bn) / (1 - bk / bn), 6) else 0 end as term from w""")
+    select run, case when lo > hi then round((k / n - bk / bn) / (1 - bk / bn), 6) else 0 end as term from w"""
+
+
+@query(MISSRATES)
 def missrate_terms(spark, d):
     e = table(spark, d, "events").withColumn("run", F.pmod("user_id", F.lit(10)))
     miss = (F.col("event_id") % 9 == 0) | ((F.col("run") == 3) & (F.col("event_id") % 2 == 0))
@@ -212,7 +220,7 @@ def missrate_terms(spark, d):
     return r.select("run", F.round(Q.missrate_term(F.col("k"), F.col("n"), F.col("bk"), F.col("bn")), 6).alias("term"))
 
 
-@query()
+@query(f"select run, case when run = 7 then 'inconclusive' when term > 0.9 or term >= 1 then 'broken' when 0.5 * term >= 0.5 then 'broken' else 'ok' end as verdict, case when run = 7 then 0.0 when term > 0.9 then 1.0 else round(0.5 * term, 4) end as score from ({MISSRATES})")
 def run_verdicts(spark, d):
     r = missrate_terms(spark, d).withColumn("zero", F.lit(0.0))
     z = F.col("zero")
