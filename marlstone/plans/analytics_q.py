@@ -76,7 +76,7 @@ CUBE = """with x as (select case when c_custkey % 9 = 0 then null else n_name en
 @query(CUBE)
 def cube_region_rollup(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    x = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select(F.when(F.col("c_custkey") % 9 != 0, F.col("n_name")).alias("region"), F.col("c_mktsegment").alias("kind"), dec("c_acctbal").alias("b"))
+    x = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.when(F.col("c_custkey") % 9 != 0, F.col("n_name")).alias("region"), F.col("c_mktsegment").alias("kind"), dec("c_acctbal").alias("b"))
     return K.region_cube(x, "region", "kind", [N().alias("n"), F.sum("b").cast("double").alias("total")])
 
 
@@ -143,7 +143,7 @@ def salary_gap(spark, d):
     a = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.median("c_acctbal").alias("posted"))
     b = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.median("s_acctbal").alias("official"))
     n = table(spark, d, "nation").withColumnRenamed("n_nationkey", "k")
-    return a.join(b, "k").join(F.broadcast(n), "k").select("n_name", "posted", "official", (F.col("posted") - F.col("official")).alias("gap"))
+    return a.join(b, "k").join(n, "k").select("n_name", "posted", "official", (F.col("posted") - F.col("official")).alias("gap"))
 
 
 @query("select n_name, count(c_custkey) as total, coalesce(any_value(s.n), 0) as base, case when coalesce(any_value(s.n), 0) > 0 then round(count(c_custkey) * 10000.0 / any_value(s.n), 2) end as per_10k from nation left join customer on c_nationkey = n_nationkey left join (select s_nationkey, count(*) as n from supplier group by 1) s on s_nationkey = n_nationkey group by n_name")
@@ -338,7 +338,7 @@ def operator_economics(spark, d):
     r, n = table(spark, d, "region"), table(spark, d, "nation")
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.countDistinct("s_suppkey").alias("suppliers"))
     c = table(spark, d, "customer").where("c_custkey < 50").groupBy(F.col("c_nationkey").alias("k")).agg(F.countDistinct("c_custkey").alias("customers"))
-    j = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).withColumnRenamed("n_nationkey", "k").join(s, "k", "left").join(c, "k", "left")
+    j = n.join(r, n["n_regionkey"] == r["r_regionkey"]).withColumnRenamed("n_nationkey", "k").join(s, "k", "left").join(c, "k", "left")
     return j.fillna(0, ["suppliers", "customers"]).select("n_name", "r_name", "suppliers", "customers")
 
 

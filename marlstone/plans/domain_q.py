@@ -101,7 +101,7 @@ def url_templates(spark, d):
 @query("with w as (select distinct n_name as v from nation where n_regionkey < 2), l as (select distinct r_name as k, n_name as v from nation join region on n_regionkey = r_regionkey) select k, count(*) as hits, count(*) / (select count(*) from w) as score from l where v in (select v from w) group by k")
 def recipe_overlaps(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    leaves = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(F.col("r_name").alias("k"), F.col("n_name").alias("v"))
+    leaves = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("r_name").alias("k"), F.col("n_name").alias("v"))
     return M.recipe_overlap(leaves, n.where("n_regionkey < 2").select(F.col("n_name").alias("v")), "k", "v")
 
 
