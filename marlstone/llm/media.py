@@ -5,13 +5,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.scale import mapped, slices, written
@@ -26,7 +25,28 @@ CONSENSUS, MISS, MISS_SHARE, CELL = 5, 3.0, 0.02, 8
 #: Matches of two images up to which every pair of them proposes a transform; beyond, each match proposes one by its own angle and scale.
 MOST_PAIRS = 96
 #: Rows of one part of a table bucket.
-PART = 4_000
+PART = 40_000
+
+
+def _subtables(t: int) -> np.ndarray:
+    """Masks (two words each) of the subtables of table ``t``.
+
+    The 112 bits beside the table's own are 16 pieces of 7, in four groups of
+    four. Of ``NEAR`` or fewer differing bits at most seven pieces differ, so
+    nine agree and some group has three that do: the four triples of each group
+    hold every pair.
+    """
+    rest = [16 * c + k for c in range(TABLES) if c != t for k in range(16)]
+    out = []
+    for g in range(4):
+        for left in range(4):
+            bits = [b for n in range(4) if n != left for b in rest[4 * g + n :: 16]]
+            out.append([sum(1 << 63 - b % 64 for b in bits if b // 64 == word) for word in (0, 1)])
+    return np.array(out, np.uint64)
+
+
+_SUBTABLES = [_subtables(t) for t in range(TABLES)]
+_CHUNKS = np.array([[65535 << 16 * (3 - t % 4) if t // 4 == word else 0 for word in (0, 1)] for t in range(TABLES)], np.uint64)
 
 _rng = np.random.default_rng(7)
 _POINTS = np.clip(_rng.normal(0, PATCH / 2.2, (TESTS, 2, 2)), -PATCH + 2, PATCH - 2)
@@ -135,38 +155,43 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     maxima only; the angle points to the patch's centre of mass, and tests
     compare smoothed grey levels at point pairs turned by that angle.
     """
-    found = []
-    for scale in SCALES:
+    smooth, strength, at = [], [], []
+    for k, scale in enumerate(SCALES):
         x = _resized(image, scale)
+        smooth.append(_box(x, 1))
         if min(x.shape) < 2 * PATCH + 3:
             continue
-        gy, gx = np.gradient(_box(x, 1))
+        gy, gx = np.gradient(smooth[k])
         a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         r = a * b - c * c - 0.05 * (a + b) ** 2
         inner = r[PATCH + 1 : -PATCH - 1, PATCH + 1 : -PATCH - 1]
         h, w = inner.shape
         around = reduce(np.maximum, [r[PATCH + 1 + dy : PATCH + 1 + dy + h, PATCH + 1 + dx : PATCH + 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
         y, z = np.nonzero((inner > around) & (inner > 1.0))
-        smooth = _box(x, 1)
-        for yy, zz in zip(y + PATCH + 1, z + PATCH + 1, strict=True):
-            found.append((-float(r[yy, zz]), scale, int(yy), int(zz), smooth))
-    found.sort(key=lambda t: t[:4])
-    points, codes, in_tile = [], [], Counter()
-    for _, scale, y, z, smooth in found:
-        tile = (int(y / scale) // TILE, int(z / scale) // TILE)
-        in_tile[tile] += 1
-        if in_tile[tile] > PER_TILE:
-            continue
-        mass = smooth[_DISC[:, 0] + y, _DISC[:, 1] + z]
-        mass = mass - mass.min()
-        angle = float(np.arctan2((mass * _DISC[:, 0]).sum(), (mass * _DISC[:, 1]).sum()))
-        p = _ROTATED[round(angle / (2 * np.pi) * _TURNS) % _TURNS]
-        bits = smooth[y + p[:, 0, 1], z + p[:, 0, 0]] < smooth[y + p[:, 1, 1], z + p[:, 1, 0]]
-        points.append((z / scale - image.shape[1] / 2, y / scale - image.shape[0] / 2, scale, angle))
-        codes.append(np.packbits(bits))
-    if not points:
+        at.append(np.stack([np.full(len(y), k), y + PATCH + 1, z + PATCH + 1], axis=1))
+        strength.append(inner[y, z])
+    if not sum(map(len, strength)):
         return np.zeros((0, 4), np.float32), np.zeros((0, 2), np.uint64)
-    return np.array(points, np.float32), np.array(codes).view(">u8").astype(np.uint64)
+    at, sizes = np.concatenate(at), np.array(SCALES)
+    at = at[np.lexsort((at[:, 2], at[:, 1], sizes[at[:, 0]], -np.concatenate(strength)))]
+    tile = (at[:, 1:] / sizes[at[:, :1]]).astype(np.int64) // TILE
+    tile = tile[:, 0] << 32 | tile[:, 1]
+    order = np.argsort(tile, kind="stable")
+    first = np.concatenate(([True], tile[order][1:] != tile[order][:-1]))
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    at = at[np.sort(order[place < PER_TILE])]
+    angles, codes = np.zeros(len(at)), np.zeros((len(at), TESTS // 8), np.uint8)
+    for k in np.unique(at[:, 0]):
+        rows = np.flatnonzero(at[:, 0] == k)
+        y, z = at[rows, 1][:, None], at[rows, 2][:, None]
+        mass = smooth[k][_DISC[:, 0] + y, _DISC[:, 1] + z]
+        mass = mass - mass.min(axis=1, keepdims=True)
+        angles[rows] = turn = np.arctan2((mass * _DISC[:, 0]).sum(axis=1), (mass * _DISC[:, 1]).sum(axis=1))
+        p = _ROTATED[np.rint(turn / (2 * np.pi) * _TURNS).astype(np.int64) % _TURNS]
+        codes[rows] = np.packbits(smooth[k][y + p[:, :, 0, 1], z + p[:, :, 0, 0]] < smooth[k][y + p[:, :, 1, 1], z + p[:, :, 1, 0]], axis=1)
+    scale = sizes[at[:, 0]]
+    points = np.stack([at[:, 2] / scale - image.shape[1] / 2, at[:, 1] / scale - image.shape[0] / 2, scale, angles], axis=1)
+    return points.astype(np.float32), codes.view(">u8").astype(np.uint64)
 
 
 def packed(points: np.ndarray) -> np.ndarray:
@@ -262,7 +287,7 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     classes = rows.groupBy("_class").agg(F.min("_id").alias("c"), F.count(F.lit(1)).alias("n"), F.max("_d").alias("d"))
     points = classes.where("c is not null").select("c", F.explode("d").alias("p")).select("c", "p.*")
     keys = [f"shiftrightunsigned(d{t // 4}, {16 * (3 - t % 4)}) & 65535L | {t}L << 16" for t in range(TABLES)]
-    found = matches(points.select("c", "g", "d0", "d1", F.explode(F.array(*map(F.expr, keys))).alias("key"))).distinct()
+    found = matches(points.select("c", "g", "d0", "d1", F.explode(F.array(*map(F.expr, keys))).alias("key")))
     links = written(agreed(found), "copies")
     degree = links.select(F.explode(F.array("u", "v")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("m"))
     found = components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("c"), "component")
@@ -272,8 +297,40 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     return rows.join(named, F.col("_class") == F.col("_k")).select(F.col("_id").alias(id_col), F.size("_d").cast("int").alias("keypoints"), "links", "class_id")
 
 
+def close_pairs(table: int, group: np.ndarray, c: np.ndarray, d0: np.ndarray, d1: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of one group and of different ``c`` within ``NEAR`` bits, each once over all tables and subtables.
+
+    Rows of a group agree in the bits of ``table``. In each subtable rows are
+    sorted by a hash of the group and the masked bits, and equal neighbours
+    compared: the work follows pairs that agree in 37 bits, not the square of a
+    bucket. A pair belongs to the first table, and there to the first subtable,
+    that holds it. ``side`` is -1 where all pairs count, else pairs of two
+    different sides do.
+    """
+    masks = _SUBTABLES[table]
+    for s, (m0, m1) in enumerate(masks):
+        h = (d0 & m0) * np.uint64(0x9E3779B97F4A7C15) + (d1 & m1) * np.uint64(0xC2B2AE3D27D4EB4F) + group.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+        order = np.argsort(h)
+        h = h[order]
+        near, apart = np.flatnonzero(h[1:] == h[:-1]), 1
+        while len(near):
+            i, j = order[near], order[near + apart]
+            x0, x1 = d0[i] ^ d0[j], d1[i] ^ d1[j]
+            hit = (np.bitwise_count(x0) + np.bitwise_count(x1) <= NEAR) & (c[i] != c[j]) & (group[i] == group[j]) & ((side[i] < 0) | (side[i] != side[j]))
+            i, j, x0, x1 = i[hit], j[hit], x0[hit], x1[hit]
+            if len(i):
+                fresh = (x0 & m0 | x1 & m1) == 0  # the hash of others may be equal
+                for a, b in (*_CHUNKS[:table], *masks[:s]):
+                    fresh &= (x0 & a | x1 & b) != 0
+                if fresh.any():
+                    yield i[fresh], j[fresh]
+            apart += 1
+            near = near[near + apart < len(h)]
+            near = near[h[near] == h[near + apart]]
+
+
 def matches(points: DataFrame) -> DataFrame:
-    """(u, v, gu, gv): classes u < v and their packed corners whose descriptors share a bucket and match."""
+    """(u, v, gu, gv): classes u < v and their packed corners whose descriptors share a bucket and match, each match once."""
     large = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
     large = written(large.select("key", F.ceil(F.col("n") / (PART / 2)).cast("int").alias("parts")), "large")
     if large.count() <= MOST_BROADCAST:
@@ -299,26 +356,16 @@ def matches(points: DataFrame) -> DataFrame:
             yield from pairs_of(held, [0, held.num_rows])
 
     def pairs_of(t: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
-        col = {n: t.column(n).to_numpy() for n in t.column_names}
-        d = np.stack([col["d0"], col["d1"]], axis=1).view(np.uint64)
-        for lo, hi in zip(bounds, bounds[1:], strict=False):
-            if hi - lo < 2:
-                continue
-            side = col["side"][lo:hi]
-            left = np.flatnonzero(side == 0) + lo
-            right = np.flatnonzero(side == 1) + lo if side.any() else left
-            for at in range(0, len(left), 256):
-                a = left[at : at + 256]
-                far = np.bitwise_count(d[a][:, None] ^ d[right][None]).sum(axis=2, dtype=np.int64)
-                i, j = np.nonzero((far <= NEAR) & (col["c"][a][:, None] != col["c"][right][None]))
-                i, j = a[i], right[j]
-                if right is left:
-                    i, j = i[one := col["c"][i] < col["c"][j]], j[one]
-                u = np.where(col["c"][i] < col["c"][j], i, j)
-                v = np.where(col["c"][i] < col["c"][j], j, i)
-                if not len(u):
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array(col[c][k]) for c, k in (("c", u), ("c", v), ("g", u), ("g", v))], ["u", "v", "gu", "gv"])
+        sizes = np.diff(bounds)
+        rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        group = np.repeat(np.arange(len(sizes)), sizes)[rows]
+        col = {n: t.column(n).to_numpy()[rows] for n in t.column_names}
+        for number in np.unique(col["key"] >> 16):
+            mine = np.flatnonzero(col["key"] >> 16 == number)
+            x = {n: c[mine] for n, c in col.items()}
+            for i, j in close_pairs(int(number), group[mine], x["c"], x["d0"].view(np.uint64), x["d1"].view(np.uint64), np.where(x["i"] == x["j"], -1, x["side"])):
+                u, v = np.where(x["c"][i] < x["c"][j], i, j), np.where(x["c"][i] < x["c"][j], j, i)
+                yield pa.RecordBatch.from_arrays([pa.array(x[c][k]) for c, k in (("c", u), ("c", v), ("g", u), ("g", v))], ["u", "v", "gu", "gv"])
 
     return mapped(points, run, "u long, v long, gu long, gv long")
 
@@ -337,13 +384,17 @@ def agreed(found: DataFrame) -> DataFrame:
     return mapped(rows, run, "u long, v long")
 
 
+#: Waves of drawn pictures have up to this many periods a pixel, down and across, to either side. Longer waves make unlike pictures alike.
+STEEP = 0.12
+
+
 def picture_of(values: np.ndarray, side: int = 96) -> np.ndarray:
-    """Plane waves whose directions, lengths, phases and heights are the vector's values, four at a time: close vectors draw close pictures."""
+    """Plane waves whose directions, lengths, phases and heights are the vector's values, four at a time."""
     z = values / (np.sqrt(np.mean(values**2)) or 1.0)
     u = 1 / (1 + np.exp(-1.7 * np.concatenate([z, np.roll(z, 2)[::-1]])))
     u = np.pad(u, (0, -len(u) % 4), constant_values=0.5).reshape(-1, 4)
     at, high = 2 * np.pi * np.arange(side), (0.3 + u[:, 3])[:, None]
-    down, across = np.multiply.outer(0.24 * (u[:, 0] - 0.5), at) + 2 * np.pi * u[:, 2:3], np.multiply.outer(0.24 * (u[:, 1] - 0.5), at)
+    down, across = np.multiply.outer(2 * STEEP * (u[:, 0] - 0.5), at) + 2 * np.pi * u[:, 2:3], np.multiply.outer(2 * STEEP * (u[:, 1] - 0.5), at)
     x = (high * np.cos(down)).T @ np.cos(across) - (high * np.sin(down)).T @ np.sin(across)  # sums of high * cos(down + across)
     return ((x - x.min()) / ((x.max() - x.min()) or 1) * 255).astype(np.uint8)
 
@@ -369,3 +420,57 @@ def rendered_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col:
     # vectors are small and drawing is much work: rows are spread first
     rows = embeddings.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).repartition(4 * embeddings.sparkSession.sparkContext.defaultParallelism)
     return mapped(rows, run, f"`{id_col}` long, image binary")
+
+
+def _turned(x: np.ndarray, degrees: float) -> np.ndarray:
+    """``x`` turned about its centre, edges repeated."""
+    h, w = x.shape
+    t, (y, z) = np.exp(1j * np.deg2rad(degrees)), np.mgrid[:h, :w]
+    at = ((z - (w - 1) / 2) + 1j * (y - (h - 1) / 2)) * t
+    y, z = np.clip(at.imag + (h - 1) / 2, 0, h - 1.001), np.clip(at.real + (w - 1) / 2, 0, w - 1.001)
+    a, b = y.astype(int), z.astype(int)
+    fy, fz = y - a, z - b
+    return (x[a, b] * (1 - fz) + x[a, b + 1] * fz) * (1 - fy) + (x[a + 1, b] * (1 - fz) + x[a + 1, b + 1] * fz) * fy
+
+
+#: Edits of a picture (grey levels; a generator for noise) by name, in the order of their numbers from 1.
+EDITS = {
+    "crop": lambda x, r: x[x.shape[0] // 10 : -(x.shape[0] // 10), x.shape[1] // 10 : -(x.shape[1] // 10)],
+    "corner": lambda x, r: x[: x.shape[0] * 3 // 4, : x.shape[1] * 3 // 4],
+    "smaller": lambda x, r: _resized(x, 0.75),
+    "larger": lambda x, r: _resized(x, 1.3),
+    "noisy": lambda x, r: x + r.normal(0, 3, x.shape),
+    "darker": lambda x, r: x * 0.8 + 10,
+    "turned": lambda x, r: _turned(x, 10),
+}
+
+
+def edited_copies(pictures: DataFrame, every: int = 100, id_col: str = "vec_id") -> DataFrame:
+    """(image_id, image): every picture as 8 * id, and for ids divisible by ``every`` its copies by ``EDITS`` as 8 * id + 1 to 8 * id + 7.
+
+    ``pictures`` has integer ids and images. Null ids and unreadable images have
+    no copies; a null id stays null. Noise is drawn from the id, so a rerun gives
+    the same bytes. Repeated rows each have their copies.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_i"):
+            ids, out = [], []
+            for k, data in zip(batch.column("_id").to_pylist(), batch.column("_i").to_pylist(), strict=True):
+                x = decode_image(data)
+                if x is None:
+                    continue
+                for n, edit in enumerate(EDITS.values(), 1):
+                    y = np.rint(np.clip(edit(x, np.random.default_rng([abs(k), n])), 0, 255)).astype(np.uint8)
+                    ids.append(8 * k + n)
+                    out.append(b"P5 %d %d 255\n" % (y.shape[1], y.shape[0]) + y.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["image_id", "image"])
+
+    rows = pictures.select(F.col(id_col).cast("long").alias("_id"), F.col("image").alias("_i"))
+    copies = mapped(rows.where(F.col("_id") % every == 0), run, "image_id long, image binary")
+    return rows.select((F.col("_id") * 8).alias("image_id"), F.col("_i").alias("image")).unionByName(copies)
+
+
+def edit_of(image_id: Column) -> Column:
+    """The name of the edit in an ``image_id`` of ``edited_copies``; null for the original."""
+    return F.element_at(F.array(*map(F.lit, [None, *EDITS])), (image_id.bitwiseAND(7) + 1).cast("int"))

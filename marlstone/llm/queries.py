@@ -20,8 +20,10 @@ def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
 
 
 def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector of ``embeddings`` as an image, and the class of copies that it is in."""
-    return media.image_copies(media.rendered_vectors(read(spark, sf_dir, "embeddings")), "vec_id")
+    """Every vector of ``embeddings`` as an image, edited copies beside those of ids divisible by 100, and each image's class."""
+    found = media.image_copies(media.edited_copies(media.rendered_vectors(read(spark, sf_dir, "embeddings"))), "image_id")
+    at = F.col("image_id")
+    return found.select(at, F.shiftright(at, 3).alias("vec_id"), media.edit_of(at).alias("edit"), "keypoints", "links", "class_id")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
