@@ -26,6 +26,18 @@ def nearest_rank_cells(df: DataFrame, by: list[str], value: str, ps: dict[str, f
     return r.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(hit(p), F.col(value))).alias(name) for name, p in ps.items()])
 
 
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., middle, upper, nearest): the mean of the two middle values, the upper one, and the nearest-rank median.
+
+    Read off ranks of different values, so no group is gathered. Nulls take no
+    rank; a group of nulls only has no row.
+    """
+    r = value_ranks(df, by, value)
+    hit = lambda at: F.max(F.when((F.col("rank") <= at) & (at < F.col("rank") + F.col("count")), F.col(value)))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    return r.groupBy(*by).agg(((hit(low) + hit(high)) / 2).alias("middle"), hit(high).alias("upper"), hit(F.floor((F.col("n") - 1) * 0.5 + 0.5)).alias("nearest"))
+
+
 def region_cube(df: DataFrame, region: str, kind: str, aggs: list[Column], all_regions: str = "ALL", all_kinds: str = "all") -> DataFrame:
     """Cube over region and kind with names for the totals; rows without region feed the totals over regions only."""
     out = df.cube(region, kind).agg(F.grouping(region).alias("_r"), F.grouping(kind).alias("_k"), *aggs)

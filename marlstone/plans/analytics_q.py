@@ -310,8 +310,7 @@ MEDIANS = """with a as (select o_custkey as g, list_sort(list(o_totalprice)) as
 
 @query(MEDIANS)
 def three_medians(spark, d):
-    a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("g")).agg(F.collect_list("o_totalprice").alias("a"))
-    return a.select("g", stats.median_of(F.col("a")).alias("middle"), stats.upper_median(F.col("a")).alias("upper"), stats.nearest_rank(F.col("a"), 0.5).alias("nearest"))
+    return K.medians(table(spark, d, "orders").select(F.col("o_custkey").alias("g"), "o_totalprice"), ["g"], "o_totalprice")
 
 
 @query("select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as slug, case when p_retailprice between 900 and 1900 then p_retailprice end as sane, cast(cast(floor(floor(p_retailprice / 100) * 100 / 1000) as integer) as varchar) || 'k' as band from part")

@@ -1,4 +1,4 @@
-"""Queries for text sources, scalars on given values, and streams run to their end."""
+"""Queries for text sources, scalars over texts made of the tables' values, and streams run to their end."""
 
 from __future__ import annotations
 
@@ -42,45 +42,58 @@ def census_rows(spark, d):
     return T.census(_values(spark, "cells array<string>", [(["a", "5", "-1"],), (["b", " ", "7"],), (["c", "(D)", "0"],)]), ["$place", "n", "m"])
 
 
-@query("select * from (values (1, '{\"a\":1}'), (2, '{\"b\":[1,2.5]}'), (3, null), (4, '{\"c\":\"x\"}')) t(k, value)")
+SALVAGE = "select event_id, case event_id % 4 when 2 then null else replace(props, ' ', '') end as value from events"
+
+
+@query(SALVAGE)
 def json_salvage(spark, d):
-    rows = [(1, ' {"a": 1} '), (2, '```json\n{"b": [1, 2.5]}\n```'), (3, "nothing"), (4, 'so: {"c": "x"} ok')]
-    return T.salvaged(_values(spark, "k int, t string", rows), "k", "t")
+    p, n = F.col("props"), F.pmod("event_id", F.lit(4))
+    said = F.when(n == 0, F.concat(F.lit(" "), p)).when(n == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(n == 2, "nothing").otherwise(F.concat(F.lit("so: "), p, F.lit(" ok")))
+    return T.salvaged(table(spark, d, "events").select("event_id", said.alias("said")), "event_id", "said").select("event_id", "value")
 
 
-@query("select * from (values ('2024-03-05', date '2024-03-05'), ('3/5/2024', date '2024-03-05'), ('2024-03-05T10:00:00Z', date '2024-03-05'), ('soon', null)) t(s, d)")
+@query("select o_orderkey, case when o_orderkey % 4 < 3 then cast(o_orderdate as date) end as d from orders")
 def parsed_dates(spark, d):
-    return _values(spark, "s string", [("2024-03-05",), ("3/5/2024",), ("2024-03-05T10:00:00Z",), ("soon",)]).select("s", S.parse_date(F.col("s")).alias("d"))
+    day, n = F.col("o_orderdate"), F.pmod("o_orderkey", F.lit(4))
+    s = F.when(n == 0, F.date_format(day, "yyyy-MM-dd")).when(n == 1, F.date_format(day, "M/d/yyyy")).when(n == 2, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("soon")
+    return table(spark, d, "orders").select("o_orderkey", S.parse_date(s).alias("d"))
 
 
-@query("select * from (values ('1.234,50', 1234.5), ('1,234.50', 1234.5), ('12,5', 12.5), ('99', 99.0), ('x', null)) t(s, v)")
+@query("select o_orderkey, case when o_orderkey % 4 < 3 then o_totalprice end as v from orders")
 def eu_amounts(spark, d):
-    return _values(spark, "s string", [("1.234,50",), ("1,234.50",), ("12,5",), ("99",), ("x",)]).select("s", S.eu_amount(F.col("s")).alias("v"))
+    grouped, n = F.format_number("o_totalprice", 2), F.pmod("o_orderkey", F.lit(4))
+    s = F.when(n == 0, F.translate(grouped, ",.", ".,")).when(n == 1, grouped).when(n == 2, F.translate(grouped, ",", "")).otherwise("x")
+    return table(spark, d, "orders").select("o_orderkey", S.eu_amount(s).alias("v"))
 
 
-@query("select * from (values ('Posted', 'open'), (' active ', 'open'), ('Archived', 'closed'), ('Odd', 'odd')) t(s, v)")
+@query("select o_orderkey, case o_orderstatus when 'F' then 'closed' when 'O' then 'open' else lower(o_orderpriority) end as v from orders")
 def status_words(spark, d):
-    return _values(spark, "s string", [("Posted",), (" active ",), ("Archived",), ("Odd",)]).select("s", S.norm_status(F.col("s")).alias("v"))
+    s = F.when(F.col("o_orderstatus") == "F", " Archived ").when(F.col("o_orderstatus") == "O", "Posted").otherwise(F.col("o_orderpriority"))
+    return table(spark, d, "orders").select("o_orderkey", S.norm_status(s).alias("v"))
 
 
-@query("select * from (values ('2024-01', 24288), ('2023-12', 24287), ('2023-13', null)) t(p, m)")
+@query("select o_orderkey, case when o_orderkey % 5 > 0 then year(o_orderdate) * 12 + month(o_orderdate) - 1 end as m from orders")
 def month_indexes(spark, d):
-    return _values(spark, "p string", [("2024-01",), ("2023-12",), ("2023-13",)]).select("p", S.month_index(F.col("p")).alias("m"))
+    s = F.when(F.col("o_orderkey") % 5 > 0, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyy-'13'"))
+    return table(spark, d, "orders").select("o_orderkey", S.month_index(s).alias("m"))
 
 
-@query("select * from (values ('Water FY2024 Grant 2025', 'Water Grant'), ('Plain', 'Plain')) t(s, v)")
+@query("select p_partkey, p_name || ' Grant' as v from part")
 def program_titles(spark, d):
-    return _values(spark, "s string", [("Water FY2024 Grant 2025",), ("Plain",)]).select("s", S.program_title(F.col("s")).alias("v"))
+    s = F.concat(F.col("p_name"), F.lit(" FY"), (F.col("p_partkey") % 30 + 2000).cast("string"), F.lit(" Grant "), (F.col("p_partkey") % 90 + 1950).cast("string"))
+    return table(spark, d, "part").select("p_partkey", S.program_title(s).alias("v"))
 
 
-@query("select * from (values ('http://x/?api_key=abc&q=1', 'http://x/?api_key=***&q=1'), ('http://x/?q=1', 'http://x/?q=1')) t(s, v)")
+@query("select page_id, split_part(url, '#', 1) || case when contains(split_part(url, '#', 1), '?') then '&' else '?' end || 'api_key=***&q=1' as v from pages")
 def redacted_urls(spark, d):
-    return _values(spark, "s string", [("http://x/?api_key=abc&q=1",), ("http://x/?q=1",)]).select("s", S.redact_key(F.col("s")).alias("v"))
+    base = F.substring_index("url", "#", 1)
+    s = F.concat(base, F.when(F.contains(base, F.lit("?")), "&").otherwise("?"), F.lit("api_key=k"), F.col("page_id").cast("string"), F.lit("&q=1"))
+    return table(spark, d, "pages").select("page_id", S.redact_key(s).alias("v"))
 
 
-@query("select * from (values (1, 30), (3, 600), (5, 7200), (6, null)) t(attempt, wait)")
+@query("select event_id, case event_id % 7 + 1 when 1 then 30 when 2 then 120 when 3 then 600 when 4 then 3600 when 5 then 7200 end as wait from events")
 def delivery_retries(spark, d):
-    return _values(spark, "attempt int", [(1,), (3,), (5,), (6,)]).select("attempt", feed.retry_after(F.col("attempt")).alias("wait"))
+    return table(spark, d, "events").select("event_id", feed.retry_after((F.pmod("event_id", F.lit(7)) + 1).cast("int")).alias("wait"))
 
 
 TRIGGER = "with e as (select 'job' || (event_id // 50) as job_id, event_type as dataset, cast(user_id as varchar) as key from events where event_type = 'purchase' and cast(json_extract_string(props, '$.k') as integer) >= 20) select 'big' as trigger, job_id, dataset, count(*) as n, list_sort(list(distinct key))[1:3] as keys, count(distinct key) > 3 as truncated from e group by all"
