@@ -91,7 +91,7 @@ def redacted_urls(spark, d):
     return table(spark, d, "pages").select("page_id", S.redact_key(s).alias("v"))
 
 
-@query("select event_id, case event_id % 7 + 1 when 1 then 30 when 2 then 120 when 3 then 600 when 4 then 3600 when 5 then 7200 end as wait from events")
+@query("select event_id, case event_id % 7 + 1 when 1 then 30 when 2 then 60 when 3 then 300 when 4 then 1800 when 5 then 7200 end as wait from events")
 def delivery_retries(spark, d):
     return table(spark, d, "events").select("event_id", feed.retry_after((F.pmod("event_id", F.lit(7)) + 1).cast("int")).alias("wait"))
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from marlstone.functions.filters import all_of, parse_filters
 
 # Seconds of the delivery retries, after which a delivery is dead.
-RETRY_LADDER = (30, 120, 600, 3600, 7200)
+RETRY_LADDER = (30, 60, 300, 1800, 7200)
 
 
 def change_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
