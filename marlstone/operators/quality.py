@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,16 +22,23 @@ COLLAPSE_DOCS, COLLAPSE_RUN, COLLAPSE_BASE = 5, 0.9, 0.1
 
 
 def field_sketch(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """A row a group: count, misses, length moments and log2 histogram, character shares, distinct ratio. Mergeable sums only but the last."""
+    """A row a group: count, misses, length moments and log2 histogram, character shares, distinct ratio. Mergeable sums only but the last.
+
+    Different values are counted by themselves: beside them, Spark would add
+    up the shares value by value in hash order, and not as the rows come.
+    """
     c = F.col(value)
     miss = c.isNull() | (F.trim(c) == "")
     n = F.length(c)
     shares = [F.sum(F.when(~miss, stats.char_shares(c)[k])) / F.nullif(F.count_if(~miss), F.lit(0)) for k in range(4)]
     hist = [F.count_if(~miss & (stats.len_bucket(n) == k)) for k in range(16)]
-    return values.groupBy(*by).agg(
+    sums = values.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(miss).alias("misses"), F.avg(F.when(~miss, n)).alias("mean_len"), F.stddev_pop(F.when(~miss, n)).alias("sd_len"),
-        F.array(*hist).alias("len_hist"), F.array(*shares).alias("classes"), (F.countDistinct(F.when(~miss, c)) / F.nullif(F.count_if(~miss), F.lit(0))).alias("distinct_ratio"),
+        F.array(*hist).alias("len_hist"), F.array(*shares).alias("classes"), F.count_if(~miss).alias("_held"),
     )
+    different = values.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.countDistinct(F.when(~miss, c)).alias("_different"))
+    both = sums.join(different, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]))
+    return both.withColumn("distinct_ratio", F.col("_different") / F.nullif("_held", F.lit(0))).drop("_held", "_different", *[f"_{k}" for k in by])
 
 
 def missrate_term(k: Column, n: Column, bk: Column, bn: Column) -> Column:
