@@ -7,6 +7,7 @@ values down to; only those rows are windowed, joined and judged.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +41,14 @@ class Limits:
 # --- sketches --------------------------------------------------------------
 
 
-def sketched(values: DataFrame, by: tuple[str, ...] = ("source", "run", "field"), value: str = "value", status: str = "status", coerced: str = "coerced", precision: int = 14) -> DataFrame:
+def sketched(values: DataFrame, by: tuple[str, ...] = ("source", "run", "field"), value: str = "value", status: str = "status", coerced: str = "coerced", precision: int = 14, exact: bool = False) -> DataFrame:
     """A row a group of ``by``: counts, length histogram and character counts of the values held, and a sketch of different ones.
 
     ``status`` is matched, empty, error or container_empty; ``coerced`` true or
     false where a value was to be coerced, else null. Sums and a HyperLogLog
-    sketch only, so ``merged`` parts equal the whole.
+    sketch only, so ``merged`` parts equal the whole. ``exact`` adds
+    ``different``, the exact number of different values, which judgements then
+    go by; it can't be merged.
     """
     v, s = F.col(value), F.col(status)
     held = (s == "matched") & v.isNotNull()
@@ -53,10 +56,15 @@ def sketched(values: DataFrame, by: tuple[str, ...] = ("source", "run", "field")
     found = [F.regexp_count(kept, F.lit(p)) for p in ("[0-9]", r"\p{IsAlphabetic}", r"\s")]
     chars = [*found, n - found[0] - found[1] - found[2]]
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return values.groupBy(*by).agg(
+    sums = values.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(s == k).alias(k) for k in ("empty", "error", "container_empty")], F.count_if(F.col(coerced)).alias("coerced"), F.count_if(~F.col(coerced)).alias("coercion_failed"), F.count_if(held).alias("held"),
         F.array(*[F.count_if(held & (stats.len_bucket(n) == k)) for k in range(BUCKETS)]).alias("lengths"), F.array(*map(total, chars)).alias("chars"), F.hll_sketch_agg(kept, precision).alias("seen"),
     )
+    if not exact:
+        return sums
+    different = values.where(held).select(*by, v.alias("_v")).distinct().groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.count(F.lit(1)).alias("_different"))
+    both = sums.join(different, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]), "left")
+    return both.select(*sums.columns, F.coalesce("_different", F.lit(0)).alias("different"))
 
 
 def merged(sketches: DataFrame, by: tuple[str, ...] = ("source", "run", "field")) -> DataFrame:
@@ -72,9 +80,10 @@ def _share(a: Column) -> Column:
 
 def _described(sketches: DataFrame) -> DataFrame:
     """Sketches with their ratios and profiles."""
+    different = F.col("different") if "different" in sketches.columns else F.hll_sketch_estimate("seen")
     return sketches.withColumns({
         "misses": F.col("empty") + F.col("error"), "tried": F.col("coerced") + F.col("coercion_failed"),
-        "distinct": F.when(F.col("held") > 0, F.least(F.lit(1.0), F.hll_sketch_estimate("seen") / F.col("held"))).otherwise(0.0), "length_shape": _share(F.col("lengths")), "char_class_shape": _share(F.col("chars")),
+        "distinct": F.when(F.col("held") > 0, F.least(F.lit(1.0), different / F.col("held"))).otherwise(0.0), "length_shape": _share(F.col("lengths")), "char_class_shape": _share(F.col("chars")),
     })
 
 

@@ -27,7 +27,7 @@ def _inputs(spark, d):
     values = over(RAW)
     runs = over(COHORTS).join(T.drifts(over(PRINTS)), ["source", "run"], "left").withColumn("healthy", F.lit(True))
     mined = spark.createDataFrame(MINED, "field string, kind string, detail string, support long").crossJoin(spark.range(2).withColumnRenamed("id", "source"))  # two sources of five rows
-    return T.sketched(values), runs, T.checked(values, mined)
+    return T.sketched(values, exact=True), runs, T.checked(values, mined)
 
 
 _CHARS = ["sum(length(regexp_replace(value, '[^0-9]', '', 'g')))", "sum(length(regexp_replace(value, '[^A-Za-z]', '', 'g')))", "sum(length(regexp_replace(value, '[^\\s]', '', 'g')))"]
