@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from marlstone.functions.fingerprints import signed
 from marlstone.operators.tiers import PINNED, STRIKE_LIMIT
 from marlstone.sources.shipping import ship
 
@@ -47,37 +48,48 @@ class NearKept(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getMapState("kept", "band int, value long, chunk int", "prints binary")
 
-    def near(self, fp: int) -> tuple[int | None, list[tuple[tuple, bytes]]]:
-        """A kept fingerprint within the distance, or None and where ``fp`` would be put."""
-        ends = []
-        for band, (shift, mask) in enumerate(self.bands):
-            value, chunk = fp >> shift & mask, 0
-            held = self.kept.getValue((band, value - (1 << 64) if value >> 63 else value, chunk))
-            while held is not None:
-                prints = np.frombuffer(held[0], np.uint64)
-                close = np.flatnonzero(np.bitwise_count(prints ^ np.uint64(fp)) <= self.distance)
-                if len(close):
-                    return int(prints[close[0]]), []
-                if len(prints) < CHUNK:
+    def bucket(self, held: dict, any_: bool, band: int, value: int) -> list:
+        """[fingerprints, their number, how many of them state has] of a band's value; read from state once a batch."""
+        found = held.get((band, value))
+        if found is None:
+            parts = []
+            while any_ and (x := self.kept.getValue((band, signed(value), len(parts)))) is not None:
+                parts.append(np.frombuffer(x[0], np.uint64))
+                if len(parts[-1]) < CHUNK:
                     break
-                chunk += 1
-                held = self.kept.getValue((band, value - (1 << 64) if value >> 63 else value, chunk))
-            ends.append(((band, value - (1 << 64) if value >> 63 else value, chunk), held[0] if held else b""))
-        return None, ends
+            prints = np.concatenate([*parts, np.zeros(8, np.uint64)])
+            found = held[band, value] = [prints, len(prints) - 8, len(prints) - 8]
+        return found
+
+    def near(self, fp: int, held: dict, any_: bool) -> int | None:
+        """A kept fingerprint within the distance; without one, ``fp`` is put to the kept ones."""
+        buckets = [self.bucket(held, any_, band, fp >> shift & mask) for band, (shift, mask) in enumerate(self.bands)]
+        one = np.uint64(fp)
+        for prints, n, _ in buckets:
+            if n:
+                close = np.bitwise_count(prints[:n] ^ one) <= self.distance
+                if (at := int(close.argmax())) or close[0]:
+                    return int(prints[at])
+        for x in buckets:
+            if x[1] == len(x[0]):
+                x[0] = np.concatenate([x[0], np.zeros(len(x[0]), np.uint64)])
+            x[0][x[1]] = one
+            x[1] += 1
+        return None
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # The batch's share of one scope, three numbers a row; files per trigger bound it.
+        # The batch's share of one scope, three numbers a row; files per trigger bound it. Each bucket that it touches is read once and written once.
         batch = pd.concat(rows).sort_values(["seq", "none", "print"], kind="stable")
-        found = []
-        for seq, signed, none in zip(batch["seq"], batch["print"], batch["none"], strict=True):
-            if signed == 0:  # no words, nothing to be near to
+        found, held, any_ = [], {}, self.kept.exists()
+        for seq, print_, none in zip(batch["seq"].tolist(), batch["print"].tolist(), batch["none"].tolist(), strict=True):
+            if print_ == 0:  # no words, nothing to be near to
                 found.append((seq, None if none else 0, True, None))
                 continue
-            fp = int(signed) & (1 << 64) - 1
-            other, ends = self.near(fp)
-            for at, before in ends:
-                self.kept.updateValue(at, (before + fp.to_bytes(8, "little"),))
-            found.append((seq, signed, other is None, None if other is None else other - (1 << 64) if other >> 63 else other))
+            other = self.near(print_ & (1 << 64) - 1, held, any_)
+            found.append((seq, print_, other is None, None if other is None else signed(other)))
+        for (band, value), (prints, n, before) in held.items():
+            for chunk in range(before // CHUNK, -(-n // CHUNK)) if n > before else ():
+                self.kept.updateValue((band, signed(value), chunk), (prints[chunk * CHUNK : min(n, (chunk + 1) * CHUNK)].tobytes(),))
         yield pd.DataFrame({"scope": [key[0]] * len(found), "seq": [x[0] for x in found], "fingerprint": pd.array([x[1] for x in found], "Int64"), "kept": [x[2] for x in found], "near": pd.array([x[3] for x in found], "Int64")})
 
 
