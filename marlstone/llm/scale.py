@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marlstone.sources.shipping import ship
-from marlstone.sources.stored import remove, shared_folder
+from marlstone.sources.stored import forget, shared_folder, written
 
 __all__ = ["crc32_mod", "forget", "held", "key_filter", "mapped", "marked", "shared_dir", "ship", "slices", "unused", "without", "written"]
 
@@ -28,23 +27,6 @@ SLICE_BYTES = 2 << 20
 shared_dir = shared_folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def forget(table: DataFrame) -> None:
-    """Remove a table of ``written`` that nothing reads any more. Another frame is left alone."""
-    path = getattr(table, "written_at", None)
-    if path:
-        remove(table.sparkSession, path)
-
-
 def key_filter(keys: DataFrame, key: Column) -> DataFrame:
     """A hashed bitmap of ``key`` as rows (word, mask), never more than 65,536 of them: fit to broadcast at any size."""
     at = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).cast("int")
