@@ -449,7 +449,7 @@ def least_differences(sizes: np.ndarray, by_size: dict[int, np.ndarray], i: np.n
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """Rows (_id, _x, fp, fp1, n, sketch, prefix): the text's hash, digest, size and sketch of its shingle set and the first shingles of it.
+    """Rows (_id, _x, fp, fp1, n, sketch, simhash, prefix): the text's hash, digest, size, sketch and SimHash of its shingle set and the first shingles of it.
 
     All sets are in one order: by hash, ``common`` ones last. Two sets of
     Jaccard ``similarity`` or more share a shingle of their prefixes, since
@@ -461,9 +461,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, simila
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("shingles",), lambda: None)  # what a stage before this one held in the worker goes
         for batch in slices(batches, "_t"):
-            digests, sizes, sketches, first = [], [], [], []
+            digests, sizes, sketches, votes, first = [], [], [], [], []
             for text in batch.column("_t").to_pylist():
                 h = np.unique(shingles(text or b"", words))
+                votes.append(majority(h))
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 sizes.append(len(h))
                 sketches.append(parity_sketch(h))
@@ -474,10 +475,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, simila
             fp = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in first])))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_x"), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists], ["_id", "_x", "fp", "fp1", "n", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_x"), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(np.array(votes, np.uint64).view(np.int64)), lists], ["_id", "_x", "fp", "fp1", "n", "sketch", "simhash", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_t")).withColumn("_x", F.xxhash64("_t"))
-    return mapped(rows, run, "_id long, _x long, fp long, fp1 long, n long, sketch binary, prefix array<long>")
+    return mapped(rows, run, "_id long, _x long, fp long, fp1 long, n long, sketch binary, simhash long, prefix array<long>")
 
 
 def may_be_similar(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, similarity: float) -> np.ndarray:
@@ -604,14 +605,26 @@ def apart_in_buckets(points: DataFrame, sketches: DataFrame, similarity: float,
     return mapped(rows, run, "a long, b long").distinct()
 
 
+def simhash_pairs(classes: DataFrame, radius: int, part: int) -> DataFrame:
+    """Pairs (a, b) of ids in ``classes`` (id, simhash) that connect fingerprints within ``radius`` bits; zero is linked like any other."""
+    known = written(classes.select("id", "simhash"), "known")
+    prints = written(known.groupBy("simhash").agg(F.min("id").alias("id")), "prints")
+    links = near_links(prints.select(F.col("simhash").alias("fp"), "id"), radius, part)
+    same = known.join(prints.select("simhash", F.col("id").alias("a")), "simhash").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))
+    return same.unionByName(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 #: Partners by sketch that a row is checked with first.
 FIRST = 3
 
 
-def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, part: int = PART, keyed: bool = False) -> DataFrame:
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, part: int = PART, keyed: bool = False, radius: int = 4) -> DataFrame:
     """One row (id, component_id[, _x]) for each row: texts whose shingle sets overlap by ``similarity`` (Jaccard) or more hang together, and no others.
 
-    Equal sets are one class. Similar sets share a shingle of their prefixes
+    Equal sets are one class. Classes whose SimHashes lie within ``radius``
+    bits, found by vantage-point trees as in ``near_dedup``, are checked on the
+    whole sets. SimHash alone would miss similar sets that lie further apart,
+    so prefixes follow. Similar sets share a shingle of their prefixes
     (``shingle_sets``), so rows meet in buckets by these. Of the pairs that can
     be similar by sizes, places and sketches, each row's best few are checked on
     the whole sets first. Then the pairs that these links left in different
@@ -622,15 +635,15 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = written(shingle_sets(docs, id_col, text_col, words, similarity, common_shingles(docs, id_col, text_col, words)), "shingles")
     one = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_x"))).alias("one")
-    classes = rows.groupBy("fp", "fp1").agg(one, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    classes = written(classes.select("fp", "fp1", "one.*", "n", "sketch", "prefix", F.monotonically_increasing_id().alias("id")), "classes")
+    classes = rows.groupBy("fp", "fp1").agg(one, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("simhash").alias("simhash"), F.first("prefix").alias("prefix"))
+    classes = written(classes.select("fp", "fp1", "one.*", "n", "sketch", "simhash", "prefix", F.monotonically_increasing_id().alias("id")), "classes")
     known = classes.where("_id is not null")
     points = known.select("id", "n", F.posexplode("prefix").alias("pos", "h"))
     hot = written(points.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FEW).select("h", F.lit(True).alias("hot")), "hot")
     some = hot.count()
     points = points.join(F.broadcast(hot) if some <= MOST_BROADCAST else hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     close = written(possible(close_pairs(points, similarity), known, similarity), "pairs")
-    best = written(close.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(F.col("r") <= FIRST).select("a", "b"), "best")
+    best = written(close.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(F.col("r") <= FIRST).select("a", "b").unionByName(simhash_pairs(known, radius, part)).distinct(), "best")
     ids = best.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = sets_of(known.join(ids, "id", "left_semi"), docs, id_col, text_col, words)
     links = written(verified(best, sets, similarity), "similar")
