@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,24 +23,66 @@ FETCH_FLOOR, DEGRADE, MIN_DOCS = 0.7, 0.5, 10
 COLLAPSE_DOCS, COLLAPSE_RUN, COLLAPSE_BASE = 5, 0.9, 0.1
 
 
-def field_sketch(values: DataFrame, by: list[str], value: str) -> DataFrame:
+def field_sketch(values: DataFrame, by: list[str], value: str, at: list[str] | None = None) -> DataFrame:
     """A row a group: count, misses, length moments and log2 histogram, character shares, distinct ratio. Mergeable sums only but the last.
 
     Different values are counted by themselves: beside them, Spark would add
-    up the shares value by value in hash order, and not as the rows come.
+    up the shares value by value in hash order, and not as the rows come. With
+    ``at``, columns that order the rows, the shares are added up in that order
+    whatever tasks the rows are dealt to, as SQL does on one thread; else as
+    the partial sums come, which leaves the last digits open.
     """
     c = F.col(value)
     miss = c.isNull() | (F.trim(c) == "")
     n = F.length(c)
-    shares = [F.sum(F.when(~miss, stats.char_shares(c)[k])) / F.nullif(F.count_if(~miss), F.lit(0)) for k in range(4)]
+    names = [f"_share{k}" for k in range(4)]
+    shares = [] if at else [F.sum(F.when(~miss, stats.char_shares(c)[k])).alias(names[k]) for k in range(4)]
     hist = [F.count_if(~miss & (stats.len_bucket(n) == k)) for k in range(16)]
     sums = values.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(miss).alias("misses"), F.avg(F.when(~miss, n)).alias("mean_len"), F.stddev_pop(F.when(~miss, n)).alias("sd_len"),
-        F.array(*hist).alias("len_hist"), F.array(*shares).alias("classes"), F.count_if(~miss).alias("_held"),
+        F.array(*hist).alias("len_hist"), *shares, F.count_if(~miss).alias("_held"),
     )
     different = values.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.countDistinct(F.when(~miss, c)).alias("_different"))
-    both = sums.join(different, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]))
-    return both.withColumn("distinct_ratio", F.col("_different") / F.nullif("_held", F.lit(0))).drop("_held", "_different", *[f"_{k}" for k in by])
+    same = lambda prefix: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in by])
+    both = sums.join(different, same("_"))
+    if at:
+        rows = values.where(~miss).select(*by, *at, F.transform(stats.char_shares(c), lambda x: x.cast("double")).alias("_shares"))
+        added = added_in_order(rows, by, at, "_shares").withColumnsRenamed({k: f"_of_{k}" for k in by})
+        both = both.join(added.select(*[f"_of_{k}" for k in by], *[F.col("_shares")[k].alias(names[k]) for k in range(4)]), same("_of_"), "left")
+    held = F.nullif(F.col("_held"), F.lit(0))
+    classes = F.array(*[F.col(k) / held for k in names])
+    return both.select(*by, "n", "misses", "mean_len", "sd_len", "len_hist", classes.alias("classes"), (F.col("_different") / held).alias("distinct_ratio"))
+
+
+def added_in_order(rows: DataFrame, by: list[str], at: list[str], values: str) -> DataFrame:
+    """(by, values): the arrays of doubles of each group added up place by place, row after row in the order of ``at``.
+
+    Sums of doubles depend on their order, so a group is one task's stream of
+    narrow rows; it holds a batch at a time, and the sort before it spills.
+    """
+    ship(rows.sparkSession)
+    kinds = {k: rows.schema[k].dataType.simpleString() for k in by}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, kind = None, None, None
+        for batch in batches:
+            kind, start = batch.schema, 0
+            lists = batch.column(values)
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else None
+            for group, same in itertools.groupby(zip(*(batch.column(k).to_pylist() for k in by), strict=True)):
+                end = start + sum(1 for _ in same)
+                if group != key and total is not None:
+                    yield made(key, total, kind)
+                first = x[start:end] if group != key or total is None else np.concatenate([total[None], x[start:end]])
+                key, total, start = group, np.add.accumulate(first)[-1], end
+        if total is not None:
+            yield made(key, total, kind)
+
+    def made(key: tuple, total: np.ndarray, kind: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array([v], kind.field(k).type) for k, v in zip(by, key, strict=True)), pa.array([total.tolist()], pa.list_(pa.float64()))], [*by, values])
+
+    sorted_rows = rows.select(*by, *at, values).repartition(*by).sortWithinPartitions(*by, *at).select(*by, values)
+    return sorted_rows.mapInArrow(run, ", ".join([f"`{k}` {t}" for k, t in kinds.items()] + [f"`{values}` array<double>"]))
 
 
 def missrate_term(k: Column, n: Column, bk: Column, bn: Column) -> Column:
