@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.scale import mapped, slices, written
-from marlstone.llm.simhash import MOST_BROADCAST, components, grouped
+from marlstone.llm.simhash import MOST_BROADCAST, components
 
 #: Corners described in each tile of an image, strongest first over all scales, and a tile's side in pixels: larger images have more corners, and crops keep those of their tiles.
 PER_TILE, TILE, SCALES = 10, 48, (1.0, 0.84, 0.71, 0.59, 0.5)
@@ -26,6 +27,10 @@ CONSENSUS, MISS, MISS_SHARE, CELL = 5, 3.0, 0.02, 8
 MOST_PAIRS = 96
 #: Rows of one part of a table bucket.
 PART = 40_000
+#: Rows that agree in a subtable from which on they are compared in blocks, all pairs, and not neighbour by neighbour.
+LONG = 48
+#: Rows of whole groups that are worked on at once, if no group is larger.
+TOGETHER = 1 << 17
 
 
 def _subtables(t: int) -> np.ndarray:
@@ -308,25 +313,81 @@ def close_pairs(table: int, group: np.ndarray, c: np.ndarray, d0: np.ndarray, d1
     different sides do.
     """
     masks = _SUBTABLES[table]
+    low = np.uint64((1 << max(1, (len(c) - 1).bit_length())) - 1)
+    number, turned = np.arange(len(c), dtype=np.uint64), group.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
     for s, (m0, m1) in enumerate(masks):
-        h = (d0 & m0) * np.uint64(0x9E3779B97F4A7C15) + (d1 & m1) * np.uint64(0xC2B2AE3D27D4EB4F) + group.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
-        order = np.argsort(h)
-        h = h[order]
-        near, apart = np.flatnonzero(h[1:] == h[:-1]), 1
-        while len(near):
-            i, j = order[near], order[near + apart]
-            x0, x1 = d0[i] ^ d0[j], d1[i] ^ d1[j]
-            hit = (np.bitwise_count(x0) + np.bitwise_count(x1) <= NEAR) & (c[i] != c[j]) & (group[i] == group[j]) & ((side[i] < 0) | (side[i] != side[j]))
-            i, j, x0, x1 = i[hit], j[hit], x0[hit], x1[hit]
-            if len(i):
-                fresh = (x0 & m0 | x1 & m1) == 0  # the hash of others may be equal
-                for a, b in (*_CHUNKS[:table], *masks[:s]):
-                    fresh &= (x0 & a | x1 & b) != 0
-                if fresh.any():
-                    yield i[fresh], j[fresh]
-            apart += 1
-            near = near[near + apart < len(h)]
-            near = near[h[near] == h[near + apart]]
+        h = (d0 & m0) * np.uint64(0x9E3779B97F4A7C15) + (d1 & m1) * np.uint64(0xC2B2AE3D27D4EB4F) + turned
+        h = np.sort(h & ~low | number)  # row numbers in the low bits: numpy sorts numbers faster than it finds their order
+        order = (h & low).astype(np.int64)
+        x0, x1 = d0[order], d1[order]
+        for near, other in _within(h & ~low, x0, x1):
+            i, j = order[near], order[other]
+            hit = (c[i] != c[j]) & (group[i] == group[j]) & ((side[i] < 0) | (side[i] != side[j]))
+            y0, y1 = x0[near] ^ x0[other], x1[near] ^ x1[other]
+            hit &= (y0 & m0 | y1 & m1) == 0  # the hash of others may be equal
+            for a, b in (*_CHUNKS[:table], *masks[:s]):
+                hit &= (y0 & a | y1 & b) != 0
+            if hit.any():
+                yield i[hit], j[hit]
+
+
+def _within(h: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (p, q), p < q, of equal sorted hashes whose bits differ in ``NEAR`` at most; some 2^20 pairs of places at a time or fewer."""
+    edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+    sizes = np.diff(edges)
+    found, n = [], 0
+    for start, end in zip(edges[:-1][sizes >= LONG].tolist(), edges[1:][sizes >= LONG].tolist(), strict=True):
+        for lo in range(start, end, 32):  # rows of a long run against the rows from them on
+            y0, y1 = x0[lo : min(lo + 32, end), None], x1[lo : min(lo + 32, end), None]
+            for at in range(lo, end, 1024):
+                z0, z1 = x0[at : min(at + 1024, end)], x1[at : min(at + 1024, end)]
+                hit = np.flatnonzero(np.bitwise_count(y0 ^ z0) + np.bitwise_count(y1 ^ z1) <= NEAR)  # faster than places in two dimensions
+                p, q = lo + hit // len(z0), at + hit % len(z0)
+                found.append((p[p < q], q[p < q]))
+                n += len(hit)
+                if n >= 1 << 20:
+                    yield tuple(map(np.concatenate, zip(*found, strict=True)))
+                    found, n = [], 0
+    short = (sizes > 1) & (sizes < LONG)
+    at, left = edges[:-1][short], sizes[short] - 1
+    near = np.repeat(at - np.concatenate([[0], np.cumsum(left)[:-1]]), left) + np.arange(left.sum()) if len(at) else at
+    ends = np.repeat(at + left, left)  # the last place of each one's run
+    apart = 1
+    while len(near):
+        q = near + apart
+        hit = np.flatnonzero(np.bitwise_count(x0[near] ^ x0[q]) + np.bitwise_count(x1[near] ^ x1[q]) <= NEAR)
+        found.append((near[hit], q[hit]))
+        n += len(hit)
+        if n >= 1 << 20:
+            yield tuple(map(np.concatenate, zip(*found, strict=True)))
+            found, n = [], 0
+        apart += 1
+        more = q < ends
+        near, ends = near[more], ends[more]
+    if n:
+        yield tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], key: Callable[[pa.Table], np.ndarray]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows, sorted by ``key``, with their bounds: where each group starts, and the number of rows."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < TOGETHER:
+                continue
+        if rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            k = key(t)
+            new = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            if batch is None:
+                yield t, np.concatenate([[0], new, [rows]])
+            elif len(new):
+                yield t.slice(0, new[-1]), np.concatenate([[0], new])
+                t = t.slice(new[-1])
+            held, rows = t.to_batches(), t.num_rows
 
 
 def matches(points: DataFrame) -> DataFrame:
@@ -340,22 +401,13 @@ def matches(points: DataFrame) -> DataFrame:
     pairs = F.expr("""if(parts is null, array(named_struct('i', 0, 'j', 0, 'side', 0)), transform(sequence(0, parts - 1),
         x -> named_struct('i', least(x, at), 'j', greatest(x, at), 'side', if(at > x, 1, 0))))""")
     points = points.withColumn("p", F.explode(pairs)).select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.side").alias("side"), "c", "g", "d0", "d1")
-    points = points.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
+    points = points.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            k = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            new = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            if len(new):
-                yield from pairs_of(held.slice(0, new[-1]), [0, *new.tolist()])
-                held = held.slice(new[-1])
-        if held is not None and held.num_rows:
-            yield from pairs_of(held, [0, held.num_rows])
+        for t, bounds in _whole(batches, lambda t: np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)):
+            yield from pairs_of(t, bounds)
 
-    def pairs_of(t: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+    def pairs_of(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(bounds)
         rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
         group = np.repeat(np.arange(len(sizes)), sizes)[rows]
@@ -375,11 +427,14 @@ def agreed(found: DataFrame) -> DataFrame:
     rows = found.repartition("u", "v").sortWithinPartitions("u", "v", "gu", "gv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for x in grouped(batches, ["u", "v"]):
-            if x.num_rows >= CONSENSUS and agreeing(x.column("gu").to_numpy(), x.column("gv").to_numpy()) >= CONSENSUS:
-                out.append((x.column("u")[0].as_py(), x.column("v")[0].as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+        for t, bounds in _whole(batches, lambda t: np.stack([t.column(c).to_numpy() for c in ("u", "v")], axis=1)):
+            out, (u, v, gu, gv) = [], (t.column(c).to_numpy() for c in ("u", "v", "gu", "gv"))
+            for k in np.flatnonzero(np.diff(bounds) >= CONSENSUS):
+                part = slice(bounds[k], bounds[k + 1])
+                if agreeing(gu[part], gv[part]) >= CONSENSUS:
+                    out.append(bounds[k])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(u[out]), pa.array(v[out])], ["u", "v"])
 
     return mapped(rows, run, "u long, v long")
 
