@@ -25,6 +25,8 @@ PATCH, TESTS, TABLES, NEAR = 9, 128, 8, 7
 CONSENSUS, MISS, MISS_SHARE, CELL = 5, 3.0, 0.02, 8
 #: Matches of two images up to which every pair of them proposes a transform; beyond, each match proposes one by its own angle and scale.
 MOST_PAIRS = 96
+#: Pixels of images that are described together.
+DESCRIBED = 1 << 16
 #: Rows of one part of a table bucket.
 PART = 40_000
 #: Rows that agree in a subtable from which on they are compared in blocks, all pairs, and not neighbour by neighbour.
@@ -132,25 +134,49 @@ def _png(data: bytes) -> np.ndarray | None:
 
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
-    """Means over (2r + 1) squares, edges repeated."""
-    k, (h, w) = 2 * r + 1, x.shape
-    p = np.concatenate([x[:1]] * r + [x] + [x[-1:]] * r)
-    s = reduce(np.add, [p[i : i + h] for i in range(k)])
-    p = np.concatenate([s[:, :1]] * r + [s] + [s[:, -1:]] * r, axis=1)
-    return (reduce(np.add, [p[:, i : i + w] for i in range(k)]) / (k * k)).astype(np.float32)
+    """Means over (2r + 1) squares of the last two axes, edges repeated."""
+    k, h, w = 2 * r + 1, *x.shape[-2:]
+    p = np.concatenate([x[..., :1, :]] * r + [x] + [x[..., -1:, :]] * r, axis=-2)
+    s = p[..., :h, :] + p[..., 1 : 1 + h, :]
+    for i in range(2, k):
+        s += p[..., i : i + h, :]
+    p = np.concatenate([s[..., :1]] * r + [s] + [s[..., -1:]] * r, axis=-1)
+    s = p[..., :w] + p[..., 1 : 1 + w]
+    for i in range(2, k):
+        s += p[..., i : i + w]
+    s /= k * k
+    return s.astype(np.float32, copy=False)
 
 
 def _resized(x: np.ndarray, scale: float) -> np.ndarray:
     if scale == 1.0:
         return x
-    h, w = max(1, round(x.shape[0] * scale)), max(1, round(x.shape[1] * scale))
+    high, wide = x.shape[-2:]
+    h, w = max(1, round(high * scale)), max(1, round(wide * scale))
     y, z = (np.arange(h) + 0.5) / scale - 0.5, (np.arange(w) + 0.5) / scale - 0.5
-    y, z = np.clip(y, 0, x.shape[0] - 1), np.clip(z, 0, x.shape[1] - 1)
+    y, z = np.clip(y, 0, high - 1), np.clip(z, 0, wide - 1)
     y0, z0 = np.floor(y).astype(int), np.floor(z).astype(int)
-    y1, z1 = np.minimum(y0 + 1, x.shape[0] - 1), np.minimum(z0 + 1, x.shape[1] - 1)
+    y1, z1 = np.minimum(y0 + 1, high - 1), np.minimum(z0 + 1, wide - 1)
     fy, fz = (y - y0)[:, None], (z - z0)[None, :]
-    rows = x[y0] * (1 - fy) + x[y1] * fy
-    return (rows[:, z0] * (1 - fz) + rows[:, z1] * fz).astype(np.float32)
+    rows = x.take(y0, -2) * (1 - fy) + x.take(y1, -2) * fy
+    return (rows.take(z0, -1) * (1 - fz) + rows.take(z1, -1) * fz).astype(np.float32)
+
+
+def _strength(smooth: np.ndarray) -> np.ndarray:
+    """Corner strength of images from their gradients' second moments."""
+    gy, gx = np.gradient(smooth, axis=(-2, -1))
+    a, b, c = _box(np.stack([gx * gx, gy * gy, gx * gy]), 2)
+    return a * b - c * c - 0.05 * (a + b) ** 2
+
+
+def _peaks(r: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places (image, y, x) of strengths above 1 and above all eight around, away from the edges."""
+    e = PATCH + 1
+    sides = np.maximum(r[:, e - 1 : -e + 1, e - 1 : -e - 1], r[:, e - 1 : -e + 1, e + 1 : r.shape[2] - e + 1])
+    rows = np.maximum(sides, r[:, e - 1 : -e + 1, e:-e])
+    inner = r[:, e:-e, e:-e]
+    b, y, z = np.nonzero((inner > np.maximum(np.maximum(rows[:, :-2], rows[:, 2:]), sides[:, 1:-1])) & (inner > 1.0))
+    return b, y + e, z + e
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,43 +186,45 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     maxima only; the angle points to the patch's centre of mass, and tests
     compare smoothed grey levels at point pairs turned by that angle.
     """
+    return described(image[None])[0]
+
+
+def described(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``describe`` of each of some images of one size."""
     smooth, strength, at = [], [], []
     for k, scale in enumerate(SCALES):
-        x = _resized(image, scale)
+        x = _resized(images, scale)
         smooth.append(_box(x, 1))
-        if min(x.shape) < 2 * PATCH + 3:
+        if min(x.shape[1:]) < 2 * PATCH + 3:
             continue
-        gy, gx = np.gradient(smooth[k])
-        a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        r = a * b - c * c - 0.05 * (a + b) ** 2
-        inner = r[PATCH + 1 : -PATCH - 1, PATCH + 1 : -PATCH - 1]
-        h, w = inner.shape
-        around = reduce(np.maximum, [r[PATCH + 1 + dy : PATCH + 1 + dy + h, PATCH + 1 + dx : PATCH + 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-        y, z = np.nonzero((inner > around) & (inner > 1.0))
-        at.append(np.stack([np.full(len(y), k), y + PATCH + 1, z + PATCH + 1], axis=1))
-        strength.append(inner[y, z])
+        r = _strength(smooth[k])
+        b, y, z = _peaks(r)
+        at.append(np.stack([b, np.full(len(y), k), y, z], axis=1))
+        strength.append(r[b, y, z])
     if not sum(map(len, strength)):
-        return np.zeros((0, 4), np.float32), np.zeros((0, 2), np.uint64)
+        return [(np.zeros((0, 4), np.float32), np.zeros((0, 2), np.uint64))] * len(images)
     at, sizes = np.concatenate(at), np.array(SCALES)
-    at = at[np.lexsort((at[:, 2], at[:, 1], sizes[at[:, 0]], -np.concatenate(strength)))]
-    tile = (at[:, 1:] / sizes[at[:, :1]]).astype(np.int64) // TILE
-    tile = tile[:, 0] << 32 | tile[:, 1]
-    order = np.argsort(tile, kind="stable")
-    first = np.concatenate(([True], tile[order][1:] != tile[order][:-1]))
+    at = at[np.lexsort((at[:, 3], at[:, 2], sizes[at[:, 1]], -np.concatenate(strength), at[:, 0]))]
+    tile = (at[:, 2:] / sizes[at[:, 1:2]]).astype(np.int64) // TILE
+    order = np.lexsort((tile[:, 1], tile[:, 0], at[:, 0]))
+    tile = np.column_stack([at[:, 0], tile])[order]
+    first = np.concatenate(([True], (tile[1:] != tile[:-1]).any(axis=1)))
     place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     at = at[np.sort(order[place < PER_TILE])]
     angles, codes = np.zeros(len(at)), np.zeros((len(at), TESTS // 8), np.uint8)
-    for k in np.unique(at[:, 0]):
-        rows = np.flatnonzero(at[:, 0] == k)
-        y, z = at[rows, 1][:, None], at[rows, 2][:, None]
-        mass = smooth[k][_DISC[:, 0] + y, _DISC[:, 1] + z]
+    for k in np.unique(at[:, 1]):
+        rows = np.flatnonzero(at[:, 1] == k)
+        flat, (h, w) = smooth[k].ravel(), smooth[k].shape[1:]
+        centre = ((at[rows, 0] * h + at[rows, 2]) * w + at[rows, 3])[:, None]
+        mass = flat[centre + (_DISC[:, 0] * w + _DISC[:, 1])]
         mass = mass - mass.min(axis=1, keepdims=True)
         angles[rows] = turn = np.arctan2((mass * _DISC[:, 0]).sum(axis=1), (mass * _DISC[:, 1]).sum(axis=1))
-        p = _ROTATED[np.rint(turn / (2 * np.pi) * _TURNS).astype(np.int64) % _TURNS]
-        codes[rows] = np.packbits(smooth[k][y + p[:, :, 0, 1], z + p[:, :, 0, 0]] < smooth[k][y + p[:, :, 1, 1], z + p[:, :, 1, 0]], axis=1)
-    scale = sizes[at[:, 0]]
-    points = np.stack([at[:, 2] / scale - image.shape[1] / 2, at[:, 1] / scale - image.shape[0] / 2, scale, angles], axis=1)
-    return points.astype(np.float32), codes.view(">u8").astype(np.uint64)
+        tests = (_ROTATED[..., 1] * w + _ROTATED[..., 0])[np.rint(turn / (2 * np.pi) * _TURNS).astype(np.int64) % _TURNS]
+        codes[rows] = np.packbits(flat[centre + tests[:, :, 0]] < flat[centre + tests[:, :, 1]], axis=1)
+    scale = sizes[at[:, 1]]
+    points = np.stack([at[:, 3] / scale - images.shape[2] / 2, at[:, 2] / scale - images.shape[1] / 2, scale, angles], axis=1).astype(np.float32)
+    codes, cuts = codes.view(">u8").astype(np.uint64), np.searchsorted(at[:, 0], np.arange(1, len(images)))
+    return list(zip(np.split(points, cuts), np.split(codes, cuts), strict=True))
 
 
 def packed(points: np.ndarray) -> np.ndarray:
@@ -248,23 +276,29 @@ def agreeing(u: np.ndarray, v: np.ndarray) -> int:
 def descriptors(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
     """Rows (_id, _class binary, _n, _d array<struct<g,d0,d1>>) for every image; _class digests the decoded pixels, or the bytes."""
 
+    kind = pa.struct([(k, pa.int64()) for k in ("g", "d0", "d1")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_i"):
-            digest, all_d = [], []
-            known: dict[bytes, list[dict]] = {}
+            digest, same = [], {}  # different pictures of one size are described together
             for data in batch.column("_i").to_pylist():
                 image = decode_image(data)
                 if image is None:
                     digest.append(hashlib.blake2b(b"raw" + (data or b""), digest_size=16).digest())
-                    all_d.append([])
                     continue
                 digest.append(hashlib.blake2b(repr(image.shape).encode() + image.tobytes(), digest_size=16).digest())
-                if digest[-1] not in known:
-                    points, codes = describe(image)
-                    known[digest[-1]] = [{"g": g, "d0": d0, "d1": d1} for g, (d0, d1) in zip(packed(points).tolist(), codes.view(np.int64).tolist(), strict=True)]
-                all_d.append(known[digest[-1]])
-            kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("g", "d0", "d1")]))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(digest, pa.binary()), pa.array(all_d, kind)], ["_id", "_class", "_d"])
+                same.setdefault(image.shape, {})[digest[-1]] = image
+            known = {}
+            for (h, w), found in same.items():
+                some, step = list(found), max(1, DESCRIBED // (h * w))
+                for at in range(0, len(some), step):
+                    known |= zip(some[at : at + step], described(np.stack([found[x] for x in some[at : at + step]])), strict=True)
+            none = np.zeros((0, 4), np.float32), np.zeros((0, 2), np.uint64)
+            parts = [known.get(x, none) for x in digest]
+            values = [np.concatenate([packed(x) for x, _ in parts]), *np.concatenate([y for _, y in parts]).view(np.int64).T]
+            all_d = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in values], fields=list(kind))
+            ends = np.cumsum([0, *(len(x) for x, _ in parts)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), all_d)], ["_id", "_class", "_d"])
 
     rows = images.select(F.col(id_col).cast("long").alias("_id"), F.col(image_col).alias("_i"))
     return mapped(rows, run, "_id long, _class binary, _d array<struct<g:long,d0:long,d1:long>>")
@@ -510,20 +544,22 @@ def edited_copies(pictures: DataFrame, every: int = 100, id_col: str = "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_i"):
-            ids, out = [], []
-            for k, data in zip(batch.column("_id").to_pylist(), batch.column("_i").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([batch.column("_of"), batch.column("_i")], ["image_id", "image"])
+            chosen = batch.filter(batch.column("_chosen"))  # null ids aren't
+            for k, data in zip(chosen.column("_id").to_pylist(), chosen.column("_i").to_pylist(), strict=True):
                 x = decode_image(data)
                 if x is None:
                     continue
+                ids, out = [], []
                 for n, edit in enumerate(EDITS.values(), 1):
                     y = np.rint(np.clip(edit(x, np.random.default_rng([abs(k), n])), 0, 255)).astype(np.uint8)
                     ids.append(8 * k + n)
                     out.append(b"P5 %d %d 255\n" % (y.shape[1], y.shape[0]) + y.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["image_id", "image"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["image_id", "image"])
 
+    at = F.col("_id")
     rows = pictures.select(F.col(id_col).cast("long").alias("_id"), F.col("image").alias("_i"))
-    copies = mapped(rows.where(F.col("_id") % every == 0), run, "image_id long, image binary")
-    return rows.select((F.col("_id") * 8).alias("image_id"), F.col("_i").alias("image")).unionByName(copies)
+    return mapped(rows.select("_id", "_i", (at * 8).alias("_of"), (at % every == 0).alias("_chosen")), run, "image_id long, image binary")
 
 
 def edit_of(image_id: Column) -> Column:
